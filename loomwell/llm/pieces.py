@@ -28,7 +28,7 @@ class PieceEncoder:
     ``limit`` bounds the table of pieces; it is emptied when it is full.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 900_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -92,28 +92,32 @@ class PieceEncoder:
         """Ids of each text as the library gives them without special tokens."""
         if self.kind is None:
             return [np.array(x, self.dtype).tobytes() for x in self._ids(texts)]
-        out, find = [], self.find
-        some: list[list[str]] = []
-        size = 0
+        out: list[bytes] = []
+        find, table, get = self.find, self.table, self.table.get
+        waiting: list[tuple] = []
+        new: set[str] = set()
         for k, text in enumerate(texts):
-            some.append(find(text))
-            size += len(some[-1])
-            if size < 60_000 and k < len(texts) - 1:
+            ps = find(text)
+            got = list(map(get, ps))
+            missing = [i for i, g in enumerate(got) if g is None] if None in got else []
+            new.update([ps[i] for i in missing])
+            waiting.append((ps, got, missing))
+            if len(new) < 20_000 and len(waiting) < 256 and k < len(texts) - 1:
                 continue
-            table = self.table
-            new = [p for p in dict.fromkeys(p for ps in some for p in ps) if p not in table]
-            if len(table) + len(new) > self.limit:
-                table.clear()
-                new = list(dict.fromkeys(p for ps in some for p in ps))
             if new:
-                self._learn(new)
-            look = table.__getitem__
-            out += [b"".join(map(look, ps)) for ps in some]
-            some, size = [], 0
+                if len(table) + len(new) > self.limit:
+                    table.clear()
+                self._learn(list(new))
+                new = set()
+            for ps, got, missing in waiting:
+                for i in missing:
+                    got[i] = table[ps[i]]
+                out.append(b"".join(got))
+            waiting = []
         return out
 
 
-def encoder(path: str, limit: int = 400_000) -> PieceEncoder:
+def encoder(path: str, limit: int = 900_000) -> PieceEncoder:
     """The encoder of this worker process, kept from task to task."""
     key = (path, limit)
     if key not in _KEPT:

@@ -23,8 +23,74 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, place).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import packing
+
+    return packing.pack(_docs(spark, sf_dir), _path("word_bpe_49k.json"), size=4096, end_id=1)
+
+
+def op7_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import chunk_bpe
+
+    return chunk_bpe.digests(_docs(spark, sf_dir), _path("byte_bpe_50k.json"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality_rules
+
+    return quality_rules.judge(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from . import labelled, toxicity
+
+    docs = _docs(spark, sf_dir)
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), held_out=(5, 0))
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", (labelled.fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_sentences", "n_offending", "worst_start", "worst_end")
+
+
+def op9_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from . import byte_cnn, labelled
+
+    docs = _docs(spark, sf_dir)
+    net = byte_cnn.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), held_out=(3, 1))
+    found = byte_cnn.score(docs, net)
+    return found.select("doc_id", (labelled.fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import simhash
+
+    return simhash.groups(_docs(spark, sf_dir))
+
+
+def op4_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import embed_dedup
+
+    return embed_dedup.dedup(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), least=0.93)
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import secrets
+
+    return secrets.scan(_docs(spark, sf_dir), secrets.fit(spark))
+
+
 QUERIES = {
+    "op1_packing": op1_packing,
     "op2_token_files": op2_token_files,
+    "op4_embed_dedup": op4_embed_dedup,
+    "op5_secrets": op5_secrets,
+    "op6_toxicity": op6_toxicity,
+    "op7_chunk_bpe": op7_chunk_bpe,
+    "op8_quality_rules": op8_quality_rules,
+    "op9_quality_cnn": op9_quality_cnn,
+    "op10_simhash": op10_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {}
