@@ -60,15 +60,15 @@ def with_prefix(df: DataFrame, keys: list[str], order: list[Column], *, weight:
     rows = df.withColumn(cell, bucket).withColumn(w, (weight if weight is not None else F.lit(1)).cast("long"))
     cells = rows.groupBy(*keys, cell).agg(F.sum(w).alias(f"_{name}_sum"))
     before = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    cells = cells.select(*keys, cell, (F.sum(f"_{name}_sum").over(before.orderBy(cell)) - F.col(f"_{name}_sum")).alias(f"_{name}_base"))
+    renamed = [F.col(k).alias(f"_{name}_key{i}") for i, k in enumerate([*keys, cell])]
+    cells = cells.select(*renamed, (F.sum(f"_{name}_sum").over(before.orderBy(cell)) - F.col(f"_{name}_sum")).alias(f"_{name}_base"))
     local = Window.partitionBy(*keys, cell).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn(f"_{name}_run", F.sum(w).over(local) - F.col(w))
-    same = [rows[k].eqNullSafe(cells[k]) for k in [*keys, cell]]
-    cond = same[0]
-    for c in same[1:]:
-        cond = cond & c
+    cond = F.lit(True)
+    for i, k in enumerate([*keys, cell]):
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_{name}_key{i}"))
     out = rows.join(F.broadcast(cells), cond)
-    return out.select(*[rows[c] for c in df.columns], (rows[f"_{name}_run"] + cells[f"_{name}_base"]).alias(name))
+    return out.select(*df.columns, (F.col(f"_{name}_run") + F.col(f"_{name}_base")).alias(name))
 
 
 def task_id() -> int:

@@ -81,9 +81,16 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_docs(spark, sf_dir), secrets.fit(spark))
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import sharding
+
+    return sharding.shards(_docs(spark, sf_dir), shards=40)
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_token_files": op2_token_files,
+    "op3_sharding": op3_sharding,
     "op4_embed_dedup": op4_embed_dedup,
     "op5_secrets": op5_secrets,
     "op6_toxicity": op6_toxicity,
