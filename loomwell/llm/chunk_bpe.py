@@ -68,12 +68,12 @@ def _whole(raw: bytes, p: int) -> int:
 
 
 class ChunkEncoder:
-    """Encodes documents with a table of at most ``limit`` chunks."""
+    """Encodes documents with a table of at most ``limit`` chunks and one of ``pieces_limit`` pieces."""
 
-    def __init__(self, tokenizer: str, limit: int = 40_000):
+    def __init__(self, tokenizer: str, limit: int = 16_000, pieces_limit: int = 250_000):
         import xxhash
 
-        self.enc = pieces.encoder(tokenizer)
+        self.enc = pieces.encoder(tokenizer, pieces_limit)
         self.limit, self.key = limit, xxhash.xxh3_128_digest
         self.table = _CHUNKS.setdefault((tokenizer, limit), {})
         self.gear = _gear()
@@ -166,7 +166,7 @@ _TABLES: dict[str, list[bytes]] = {}
 
 def _table(tokenizer: str) -> list[bytes]:
     if tokenizer not in _TABLES:
-        _TABLES[tokenizer] = token_bytes(pieces.encoder(tokenizer).tokenizer)
+        _TABLES[tokenizer] = token_bytes(pieces.encoder(tokenizer, 250_000).tokenizer)
     return _TABLES[tokenizer]
 
 

@@ -28,7 +28,7 @@ class PieceEncoder:
     ``limit`` bounds the table of pieces; it is emptied when it is full.
     """
 
-    def __init__(self, path: str, limit: int = 900_000):
+    def __init__(self, path: str, limit: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -50,9 +50,9 @@ class PieceEncoder:
         elif self.kind == "words":  # white space is dropped
             self.find = re.compile(f"[^{SPACES}]+").findall
             self.plain = re.compile(f"[^{SPACES}]+").fullmatch
-            self.part = self.specials[-1]
+            self.part = " \x00 "
         if self.kind:
-            self.part_id = self._ids([self.part])[0][0]
+            (self.part_id,) = self._ids([self.part])[0]
 
     @staticmethod
     def _kind(spec: dict) -> str | None:
@@ -70,23 +70,23 @@ class PieceEncoder:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, pieces: list[str]) -> None:
-        easy, other = [], []
-        for p in pieces:
-            (easy if self.plain(p) and not any(s in p for s in self.specials) else other).append(p)
-        for i in range(0, len(easy), 2000):
-            some = easy[i:i + 2000]
-            ids = np.array(self._ids([self.part.join(some)])[0], self.dtype)
-            at = np.flatnonzero(ids == self.part_id) * self.width
-            if len(at) != len(some) - 1:  # never met with the kinds above
-                other += some
-                continue
-            buf = ids.tobytes()
-            ends = [*at.tolist(), len(buf)]
-            starts = [0, *(at + self.width).tolist()]
-            self.table.update(zip(some, [buf[a:b] for a, b in zip(starts, ends)]))
+        plain, table, width = self.plain, self.table, self.width
+        easy = [p for p in pieces if plain(p)]
+        other = [p for p in pieces if not plain(p)] if len(easy) < len(pieces) else []
+        for i in range(0, len(easy), 20_000):
+            groups = [easy[j:j + 100] for j in range(i, min(i + 20_000, len(easy)), 100)]
+            joined = [self.part.join(g) for g in groups]
+            for g, text, ids in zip(groups, joined, self._ids(joined)):
+                ids = np.array(ids, self.dtype)
+                at = np.flatnonzero(ids == self.part_id) * width
+                if len(at) != len(g) - 1 or any(x in text for x in self.specials):
+                    other += g  # one of them holds a special token
+                    continue
+                buf, at = ids.tobytes(), at.tolist()
+                table.update(zip(g, [buf[x:y] for x, y in zip([0, *(x + width for x in at)], [*at, len(buf)])]))
         for i in range(0, len(other), 500):
             some = other[i:i + 500]
-            self.table.update(zip(some, [np.array(x, self.dtype).tobytes() for x in self._ids(some)]))
+            table.update(zip(some, [np.array(x, self.dtype).tobytes() for x in self._ids(some)]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as the library gives them without special tokens."""
@@ -117,7 +117,7 @@ class PieceEncoder:
         return out
 
 
-def encoder(path: str, limit: int = 900_000) -> PieceEncoder:
+def encoder(path: str, limit: int = 500_000) -> PieceEncoder:
     """The encoder of this worker process, kept from task to task."""
     key = (path, limit)
     if key not in _KEPT:
