@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from loomwell.plans import audits, corpus, generation, retrieval, statistics
+from loomwell.plans.catalog import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "audits", "corpus", "generation", "retrieval", "statistics"]
