@@ -1,9 +1,8 @@
 """Statistical expressions."""
 
-from __future__ import annotations
-
 import math
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,18 +45,17 @@ def mcnemar(b: Column, c: Column) -> Column:
     return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.lit(2.0) * binomial_tail(F.least(b, c).cast("long"), n)))
 
 
+def _erfc_root(v: pd.Series) -> pd.Series:
+    return v.map(lambda t: math.erfc(math.sqrt(t / 2)) if t == t else None)
+
+
 def chi_square_survival(x: Column, df: Column) -> Column:
     """Survival function for 1, 2 or 3 degrees of freedom.
 
     Two degrees are native. The others need the complementary error function,
     which comes from an Arrow-batched function.
     """
-    import pandas as pd
-
-    @F.pandas_udf("double")
-    def erfc_root(v: pd.Series) -> pd.Series:
-        return v.map(lambda t: math.erfc(math.sqrt(t / 2)) if t == t else None)
-
+    erfc_root = F.pandas_udf(_erfc_root, "double")
     two = F.exp(-x / 2)
     one = erfc_root(x.cast("double"))
     three = one + F.sqrt(F.lit(2.0) * x / F.lit(math.pi)) * F.exp(-x / 2)

@@ -83,3 +83,8 @@ def attempt_faults(attempts: DataFrame, responses: DataFrame, key: str, most: in
     n = attempts.groupBy(key).agg(F.count("*").alias("attempts"))
     rows = responses.select(key, "retry_count").join(n, key, "full")
     return rows.filter(~F.coalesce((F.col("attempts") >= 1) & (F.col("attempts") <= most) & (F.col("attempts") == F.col("retry_count") + 1), F.lit(False)))
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Places from 1 of the few rows of a report."""
+    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)))

@@ -1 +1,282 @@
-"""Queries."""
+"""Lines, regions, intervals and chunks from ``documents``, ``pages``, ``events`` and ``lineitem``."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from loomwell.functions import text as t
+from loomwell.operators import audit, chunking, cleaning, intervals, ordering
+from loomwell.plans.catalog import query, table
+
+LICENSE = r"(?i)^.*(copyright|licen[sc]e|all rights reserved).*$"
+HEIGHT = 60.0
+
+_LINES = """l AS (SELECT doc_id, lang, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i, unnest(string_split(text, chr(10))) AS line, len(string_split(text, chr(10))) AS n FROM documents),
+c AS (SELECT *, 20.0::DOUBLE + 12.0 * i AS y0, 30.0::DOUBLE + 12.0 * i AS y1,
+CASE WHEN 30 + 12 * i <= 40 THEN 'running_header' WHEN i = n - 1 AND trim(line, ' ' || chr(9) || chr(13) || chr(10)) = (doc_id - 24)::VARCHAR THEN 'printed_page_number'
+WHEN regexp_matches(trim(line, ' ' || chr(9) || chr(13) || chr(10)), '(?i)^.*(copyright|licen[sc]e|all rights reserved).*$') THEN 'copyright' END AS reason FROM l)"""
+
+
+def classified(spark, sf_dir) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lines = cleaning.explode_lines(docs.withColumn("n_lines", F.size(F.split("text", "\n", -1))), "doc_id")
+    label = t.expected_page_label(F.col("doc_id"), 24)
+    return lines.withColumn("reason", cleaning.structural_reason(F.col("line"), F.col("y1"), is_last=F.col("line_index") == F.col("n_lines") - 1, expected_label=label, copyright_line=LICENSE))
+
+
+@query(f"WITH {_LINES} SELECT doc_id, i::INTEGER AS line_index, trim(line, ' ' || chr(9) || chr(13) || chr(10)) AS line FROM c WHERE reason IS NULL")
+def line_cleaning(spark, sf_dir):
+    return classified(spark, sf_dir).filter("reason IS NULL").select("doc_id", "line_index", t.edge_trim(F.col("line")).alias("line"))
+
+
+@query(f"WITH {_LINES} SELECT r.ord::INTEGER AS ord, r.reason, count(c.reason) AS n FROM (VALUES (0, 'running_header'), (1, 'printed_page_number'), (2, 'copyright')) r(ord, reason) LEFT JOIN c ON c.reason = r.reason GROUP BY ALL")
+def structural_removal_counts(spark, sf_dir):
+    counts = classified(spark, sf_dir).filter("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("n"))
+    return cleaning.zero_filled(counts, "reason", cleaning.REASONS)
+
+
+@query(f"WITH {_LINES} SELECT lang, CASE WHEN y0 < 40 THEN 'top' WHEN y0 >= 200 THEN 'bottom' ELSE 'body' END AS zone, count(*) AS n, sum(length(line))::BIGINT AS characters FROM c GROUP BY ALL")
+def line_zone_counts(spark, sf_dir):
+    rows = classified(spark, sf_dir).withColumn("zone", cleaning.zone(F.col("y0"), top=40.0, bottom=200.0))
+    return rows.groupBy("lang", "zone").agg(F.count("*").alias("n"), F.sum(F.char_length("line")).alias("characters"))
+
+
+@query("""WITH c AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^A-Za-z0-9 ]')) AS ch FROM documents) SELECT ord(ch)::INTEGER AS code_point, count(*) AS n, count(DISTINCT doc_id) AS texts FROM c GROUP BY ALL""")
+def control_char_inventory(spark, sf_dir):
+    return cleaning.characters(table(spark, sf_dir, "documents"), "doc_id", "text", "[^A-Za-z0-9 ]")
+
+
+@query("""SELECT source, sum(len(regexp_extract_all(text, chr(65533))))::BIGINT AS replacement_characters, sum(len(regexp_extract_all(text, '\\(cid:[0-9]+\\)')))::BIGINT AS cid_codes, sum(len(regexp_extract_all(text, '/H[0-9]+')))::BIGINT AS glyph_names,
+sum(len(regexp_extract_all(text, '\\x0c')))::BIGINT AS form_feeds, sum(len(regexp_extract_all(text, '[\\x00-\\x08\\x0b\\x0e-\\x1f\\x7f]')))::BIGINT AS control_characters FROM documents GROUP BY source""")
+def anomaly_counts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy("source").agg(*[F.sum(c).alias(n) for n, c in t.anomalies(F.col("text")).items()])
+
+
+_HTML = """h AS (SELECT page_id, replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', chr(10), 'g'), '(?s)<!--.*?-->', chr(10), 'g'), '<[^>]*>', chr(10), 'g'),
+'&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&') AS body FROM pages),
+x AS (SELECT page_id, list_filter(list_transform(string_split(body, chr(10)), lambda s: trim(s, ' ' || chr(9) || chr(13) || chr(10))), lambda s: s <> '') AS ls FROM h)"""
+
+
+@query(f"WITH {_HTML} SELECT page_id, (generate_subscripts(ls, 1) - 1)::INTEGER AS line_index, unnest(ls) AS line FROM x")
+def html_line_extract(spark, sf_dir):
+    return cleaning.html_lines(table(spark, sf_dir, "pages"))
+
+
+@query("""WITH e AS (SELECT user_id, ts, event_id, event_type = (SELECT min(event_type) FROM events) AS o, event_type = (SELECT max(event_type) FROM events) AS c FROM events),
+m AS (SELECT *, sum(o::INT) OVER w AS i, sum(c::INT) OVER w AS k FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
+p AS (SELECT *, i + max(k + 1 - i) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS take FROM m WHERE o)
+SELECT p.user_id, p.event_id AS opening_id, q.event_id AS closing_id FROM p LEFT JOIN m q ON q.user_id = p.user_id AND q.c AND q.k = p.take""")
+def heading_pairing(spark, sf_dir):
+    """Events of the first kind of a user open, those of the last kind close."""
+    events = table(spark, sf_dir, "events")
+    ends = F.broadcast(events.agg(F.min("event_type").alias("first"), F.max("event_type").alias("last")))
+    rows = events.crossJoin(ends)  # one row
+    rows = rows.withColumn("opens", F.col("event_type") == F.col("first")).withColumn("closes", F.col("event_type") == F.col("last"))
+    got = intervals.pair_forward(rows, "user_id", ["ts", "event_id"], F.col("opens"), F.col("closes"))
+    return got.select("user_id", F.col("event_id").alias("opening_id"), F.col("pair.event_id").alias("closing_id"))
+
+
+@query("""WITH e AS (SELECT user_id, ts, event_id, event_type = (SELECT min(event_type) FROM events) AS o, event_type = (SELECT max(event_type) FROM events) AS c FROM events),
+m AS (SELECT *, sum(o::INT) OVER w AS i, sum(c::INT) OVER w AS k FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
+p AS (SELECT *, i + max(k + 1 - i) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS take FROM m WHERE o)
+SELECT q.user_id, q.event_id FROM m q WHERE q.c AND NOT EXISTS (SELECT 1 FROM p WHERE p.user_id = q.user_id AND p.take = q.k)""")
+def leftover_closings(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    last = F.broadcast(events.agg(F.max("event_type").alias("last")))
+    closes = events.join(last, F.col("event_type") == F.col("last")).select("user_id", "event_id")
+    used = heading_pairing(spark, sf_dir).select("user_id", F.col("closing_id").alias("event_id"))
+    return closes.join(used, ["user_id", "event_id"], "left_anti")
+
+
+_IV = "v AS (SELECT l_orderkey AS page, l_quantity AS y0, l_quantity + l_discount * 100 AS y1 FROM lineitem WHERE l_discount > 0)"
+_ISLANDS = _IV + """,
+m AS (SELECT *, max(y1) OVER (PARTITION BY page ORDER BY y0, y1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM v),
+i AS (SELECT *, sum(CASE WHEN reach IS NULL OR y0 > reach + 1e-6 THEN 1 ELSE 0 END) OVER (PARTITION BY page ORDER BY y0, y1 ROWS UNBOUNDED PRECEDING) AS island FROM m),
+g AS (SELECT page, island, min(y0) AS y0, max(y1) AS y1, count(*) AS merged FROM i GROUP BY ALL)"""
+_GAPS = _ISLANDS + """,
+c AS (SELECT page, greatest(y0, 0) AS y0, least(y1, 60) AS y1 FROM g WHERE least(y1, 60) > greatest(y0, 0)),
+o AS (SELECT page, coalesce(lag(y1) OVER w, 0) AS a, y0 AS b FROM c WINDOW w AS (PARTITION BY page ORDER BY y0) UNION ALL SELECT page, max(y1), 60 FROM c GROUP BY page),
+r AS (SELECT page, a::DOUBLE AS y0, b::DOUBLE AS y1 FROM o WHERE b - a > 1e-6)"""
+
+
+def spans(spark, sf_dir) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").filter("l_discount > 0")
+    return rows.select(F.col("l_orderkey").alias("page"), F.col("l_quantity").alias("y0"), (F.col("l_quantity") + F.col("l_discount") * 100).alias("y1"))
+
+
+def islands(spark, sf_dir) -> DataFrame:
+    return intervals.merge(spans(spark, sf_dir), "page", "y0", "y1")
+
+
+@query(f"WITH {_ISLANDS} SELECT page, island::BIGINT AS island, round(y0, 6) AS y0, round(y1, 6) AS y1, merged FROM g")
+def interval_merge(spark, sf_dir):
+    return islands(spark, sf_dir).select("page", "island", F.round("y0", 6).alias("y0"), F.round("y1", 6).alias("y1"), "merged")
+
+
+@query(f"WITH {_GAPS} SELECT page, round(y0, 6) AS y0, round(y1, 6) AS y1 FROM r")
+def interval_complement(spark, sf_dir):
+    got = intervals.complement(islands(spark, sf_dir), "page", "y0", "y1", HEIGHT)
+    return got.select("page", F.round("y0", 6).alias("y0"), F.round("y1", 6).alias("y1"))
+
+
+@query(f"""WITH {_ISLANDS}, s AS (SELECT page, sum(least(y1, 60) - greatest(y0, 0)) AS covered FROM g WHERE least(y1, 60) > greatest(y0, 0) GROUP BY page),
+p AS (SELECT o.o_orderkey, CASE WHEN coalesce(covered, 0) <= 1e-6 THEN 'fully_retained' WHEN covered >= 60 - 1e-6 THEN 'fully_excluded' ELSE 'partially_retained' END AS state FROM orders o LEFT JOIN s ON s.page = o.o_orderkey)
+SELECT d.ord::INTEGER AS ord, d.state, count(p.state) AS n FROM (VALUES (0, 'fully_retained'), (1, 'partially_retained'), (2, 'fully_excluded')) d(ord, state) LEFT JOIN p USING (state) GROUP BY ALL""")
+def page_state(spark, sf_dir):
+    height = F.least("y1", F.lit(HEIGHT)) - F.greatest("y0", F.lit(0.0))
+    covered = islands(spark, sf_dir).withColumn("h", height).filter("h > 0").groupBy("page").agg(F.sum("h").alias("covered"))
+    pages = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page")).join(covered, "page", "left")
+    counts = pages.groupBy(intervals.page_state(F.col("covered"), HEIGHT).alias("state")).agg(F.count("*").alias("n"))
+    return cleaning.zero_filled(counts, "state", ["fully_retained", "partially_retained", "fully_excluded"])
+
+
+@query(f"""WITH {_ISLANDS}, s AS (SELECT page, sum(least(y1, 60) - greatest(y0, 0)) AS covered FROM g WHERE least(y1, 60) > greatest(y0, 0) GROUP BY page)
+SELECT count(*) AS pages, round(sum(coalesce(covered, 0)) / 60, 6) AS page_equivalents, round(100 * sum(coalesce(covered, 0)) / (60.0 * count(*)), 6) AS excluded_percent FROM orders o LEFT JOIN s ON s.page = o.o_orderkey""")
+def excluded_area(spark, sf_dir):
+    height = F.least("y1", F.lit(HEIGHT)) - F.greatest("y0", F.lit(0.0))
+    covered = islands(spark, sf_dir).withColumn("h", height).filter("h > 0").groupBy("page").agg(F.sum("h").alias("covered"))
+    pages = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page")).join(covered, "page", "left")
+    total = F.sum(F.coalesce("covered", F.lit(0.0)))
+    return pages.agg(F.count("*").alias("pages"), F.round(total / HEIGHT, 6).alias("page_equivalents"), F.round(100 * total / (HEIGHT * F.count("*")), 6).alias("excluded_percent"))
+
+
+@query(f"""WITH {_GAPS} SELECT l.l_orderkey AS page, l.l_linenumber AS line_number FROM lineitem l JOIN r ON r.page = l.l_orderkey AND l.l_quantity >= r.y0 - 1e-6 AND l.l_quantity + 1 <= r.y1 + 1e-6""")
+def lines_in_retained(spark, sf_dir):
+    """Lines of height 1 at their quantity that lie within what is retained of their page."""
+    kept = intervals.complement(islands(spark, sf_dir), "page", "y0", "y1", HEIGHT)
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("line_number"), F.col("l_quantity").alias("q"))
+    return lines.join(kept, "page").filter(intervals.within(F.col("q"), F.col("q") + 1, F.col("y0"), F.col("y1"))).select("page", "line_number")
+
+
+@query("""WITH s AS (SELECT l_orderkey AS section, l_linenumber AS part, l_linenumber AS first, l_linenumber + (l_suppkey % 4)::INTEGER AS last, l_quantity AS y0, l_tax * 100 + 1 AS y1 FROM lineitem),
+p AS (SELECT *, unnest(range(first, last + 1))::INTEGER AS page FROM s)
+SELECT section, part, page, round(CASE WHEN page = first THEN y0 ELSE 0 END, 6)::DOUBLE AS page_y0, round(CASE WHEN page = last THEN y1 ELSE 60 END, 6)::DOUBLE AS page_y1 FROM p""")
+def section_pages(spark, sf_dir):
+    s = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("section"), F.col("l_linenumber").alias("part"), F.col("l_linenumber").alias("first"), (F.col("l_linenumber") + (F.col("l_suppkey") % 4).cast("int")).alias("last"), F.col("l_quantity").alias("y0"), (F.col("l_tax") * 100 + 1).alias("y1"))
+    got = intervals.over_pages(s, first="first", last="last", y0="y0", y1="y1", top=0.0, bottom=HEIGHT)
+    return got.select("section", "part", "page", F.round("page_y0", 6).alias("page_y0"), F.round("page_y1", 6).alias("page_y1"))
+
+
+_REGIONS = _LINES + """,
+k AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS g FROM c WHERE reason IS NULL),
+r AS (SELECT doc_id, g, count(*) AS line_count, min(i)::INTEGER AS first_line, string_agg(line, chr(10) ORDER BY i) AS text FROM k GROUP BY doc_id, g),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY g)::INTEGER AS region_index FROM r)"""
+
+
+def regions(spark, sf_dir) -> DataFrame:
+    return cleaning.regions(classified(spark, sf_dir), "doc_id", keep=F.col("reason").isNull())
+
+
+@query(f"WITH {_REGIONS} SELECT format('doc:pdf-{{:04d}}:region-{{:02d}}', doc_id, region_index) AS record_id, doc_id, region_index, line_count, first_line, length(text)::INTEGER AS character_count, sha256(text) AS text_sha256 FROM n")
+def region_records(spark, sf_dir):
+    name = F.format_string("doc:pdf-%04d:region-%02d", "doc_id", "region_index")
+    return regions(spark, sf_dir).select(name.alias("record_id"), "doc_id", "region_index", "line_count", "first_line", "character_count", t.fingerprint(F.col("text")).alias("text_sha256"))
+
+
+@query(f"""WITH {_LINES} SELECT doc_id, count(*) AS raw_lines, count(*) FILTER (reason IS NULL) AS cleaned_lines, count(reason) AS removed_lines, sum(length(line))::BIGINT AS raw_characters, coalesce(sum(length(line)) FILTER (reason IS NULL), 0)::BIGINT AS cleaned_characters,
+count(*) = count(*) FILTER (reason IS NULL) + count(reason) AS accounted FROM c GROUP BY doc_id""")
+def page_audit(spark, sf_dir):
+    kept = F.col("reason").isNull()
+    got = classified(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("raw_lines"), F.count_if(kept).alias("cleaned_lines"), F.count("reason").alias("removed_lines"), F.sum(F.char_length("line")).alias("raw_characters"), F.sum(F.when(kept, F.char_length("line")).otherwise(0)).alias("cleaned_characters"))
+    return got.withColumn("accounted", F.col("raw_lines") == F.col("cleaned_lines") + F.col("removed_lines"))
+
+
+@query(f"WITH {_LINES} SELECT count(DISTINCT doc_id) AS texts, 0::BIGINT AS different FROM c")
+def line_reconstruction(spark, sf_dir):
+    """Lines joined again have to be the text they came from."""
+    lines = cleaning.explode_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    again = lines.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_index", "line"))), lambda x: x["line"]), "\n").alias("again"))
+    both = table(spark, sf_dir, "documents").select("doc_id", "text").join(again, "doc_id", "full")
+    return both.agg(F.count("*").alias("texts"), F.count_if(~F.col("text").eqNullSafe(F.col("again"))).alias("different"))
+
+
+def _chunks_sql(atoms: str, joiner: str, where: str = "true") -> str:
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, {atoms} AS ps FROM documents WHERE {where}),
+a AS (SELECT doc_id, generate_subscripts(ps, 1) - 1 AS i, unnest(ps) AS p FROM d),
+o AS (SELECT doc_id, i, length(p) AS n, sum(length(p) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) - length(p) - 1 AS c FROM a),
+q AS (SELECT *, c + n AS z FROM o),
+b AS (SELECT s.doc_id, s.i, s.c, coalesce(min(t.i), max(u.m) + 1) AS stop FROM q s JOIN (SELECT doc_id, max(i) AS m FROM q GROUP BY doc_id) u ON u.doc_id = s.doc_id LEFT JOIN q t ON t.doc_id = s.doc_id AND t.i > s.i AND t.i <= s.i + 101 AND t.z - s.c > 200 GROUP BY s.doc_id, s.i, s.c),
+x AS (SELECT b.doc_id, b.i, b.stop, q.z - b.c AS len, b.c AS c0, q.z AS z0, nx.z AS nz, nx.i AS ni FROM b JOIN q ON q.doc_id = b.doc_id AND q.i = b.stop - 1 LEFT JOIN q nx ON nx.doc_id = b.doc_id AND nx.i = b.stop),
+y AS (SELECT x.doc_id, x.i, min(w.i) AS again FROM x JOIN q w ON w.doc_id = x.doc_id AND w.i >= x.i AND w.i < x.stop AND w.i >= x.stop - 12 AND x.z0 - w.c <= 10 AND x.nz - w.c <= 200 GROUP BY ALL),
+f AS (SELECT x.doc_id, x.i, x.stop, x.len, x.c0, x.ni, CASE WHEN x.ni IS NULL THEN NULL ELSE coalesce(y.again, x.stop) END AS nxt FROM x LEFT JOIN y ON y.doc_id = x.doc_id AND y.i = x.i),
+r AS (SELECT doc_id, 0 AS k, i, stop, len, c0, nxt FROM f WHERE i = 0 UNION ALL SELECT f.doc_id, r.k + 1, f.i, f.stop, f.len, f.c0, f.nxt FROM r JOIN f ON f.doc_id = r.doc_id AND f.i = r.nxt),
+t AS (SELECT r.doc_id, r.k::INTEGER AS chunk_index, r.i::INTEGER AS first_atom, r.stop::INTEGER AS end_atom, r.c0::BIGINT AS start, (r.c0 + r.len)::BIGINT AS "end", r.len > 200 AS oversize, array_to_string(d.ps[r.i + 1:r.stop], {joiner}) AS chunk FROM r JOIN d ON d.doc_id = r.doc_id)"""
+
+
+_WORDS = "regexp_extract_all(text, '[^ \\t\\n\\r\\f\\v]+')"
+_STRICT = "NOT list_bool_or(list_transform(string_split(text, chr(10)), lambda s: length(s) > 200))"
+
+
+def strict_docs(spark, sf_dir) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.filter(~F.exists(F.split("text", "\n", -1), lambda x: F.char_length(x) > 200))
+
+
+def word_chunks(spark, sf_dir) -> DataFrame:
+    return chunking.chunk(table(spark, sf_dir, "documents"), size=200, overlap=10, atoms="words")
+
+
+_DIGEST = 'SELECT doc_id, chunk_index, first_atom, end_atom, start, "end", oversize, sha256(chunk) AS chunk_sha256 FROM t'
+
+
+def _digest(chunks: DataFrame) -> DataFrame:
+    return chunks.withColumn("chunk_sha256", t.fingerprint(F.col("chunk"))).drop("chunk")
+
+
+@query(_chunks_sql("string_split(text, chr(10))", "chr(10)", _STRICT) + _DIGEST)
+def chunk_strict(spark, sf_dir):
+    return _digest(chunking.chunk(strict_docs(spark, sf_dir), size=200, overlap=10, atoms="lines"))
+
+
+@query(_chunks_sql(_WORDS, "' '") + _DIGEST)
+def chunk_words(spark, sf_dir):
+    return _digest(word_chunks(spark, sf_dir))
+
+
+@query("SELECT doc_id, n_long AS lines_too_long, longest::INTEGER AS longest FROM (SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda s: length(s) > 200)) AS n_long, list_max(list_transform(string_split(text, chr(10)), lambda s: length(s))) AS longest FROM documents) WHERE n_long > 0")
+def chunk_quarantine(spark, sf_dir):
+    lengths = F.transform(F.split("text", "\n", -1), lambda x: F.char_length(x))
+    rows = table(spark, sf_dir, "documents").select("doc_id", lengths.alias("ls"))
+    return rows.select("doc_id", F.size(F.filter("ls", lambda n: n > 200)).cast("long").alias("lines_too_long"), F.array_max("ls").alias("longest")).filter("lines_too_long > 0")
+
+
+@query("SELECT NULL::BIGINT AS doc_id, NULL::INTEGER AS chunk_index, NULL::VARCHAR AS violation WHERE false")
+def chunk_invariants(spark, sf_dir):
+    return chunking.violations(word_chunks(spark, sf_dir))
+
+
+@query(_chunks_sql(_WORDS, "' '") + """, g AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id)
+SELECT (SELECT count(*) FROM t) AS chunks, (SELECT sum(n - 1)::BIGINT FROM g) AS adjacent_pairs, (SELECT max("end" - start) FROM t) AS longest, (SELECT sum("end" - start)::BIGINT FROM t) AS characters, max(n) AS most_in_a_parent, count(*) FILTER (n = 1) AS single_chunk_parents FROM g""")
+def chunk_audit(spark, sf_dir):
+    chunks = word_chunks(spark, sf_dir)
+    one = chunks.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("end") - F.col("start")).alias("m"), F.sum(F.col("end") - F.col("start")).alias("c"))
+    return one.agg(F.sum("n").alias("chunks"), F.sum(F.col("n") - 1).alias("adjacent_pairs"), F.max("m").alias("longest"), F.sum("c").alias("characters"), F.max("n").alias("most_in_a_parent"), F.count_if(F.col("n") == 1).alias("single_chunk_parents"))
+
+
+@query("""WITH w AS (SELECT len(regexp_extract_all(text, '\\S+')) AS n, text FROM documents) SELECT count(*) AS texts, min(n) AS least, median(n) AS median, quantile_disc(n, 0.95) AS p95, max(n) AS most, sum(n)::BIGINT AS total,
+count(*) - count(DISTINCT text) AS duplicates, count(*) FILTER (n > 2000) AS over_limit FROM w""")
+def token_audit(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select(t.word_count(F.col("text")).cast("long").alias("n"), t.fingerprint(F.col("text")).alias("h"))
+    return rows.agg(F.count("*").alias("texts"), F.min("n").alias("least"), F.median("n").alias("median"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY n)").cast("long").alias("p95"), F.max("n").alias("most"), F.sum("n").alias("total"),
+                    (F.count("*") - F.count_distinct("h")).alias("duplicates"), F.count_if(F.col("n") > 2000).alias("over_limit"))
+
+
+@query("""WITH p AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS position, len(regexp_extract_all(text, '\\S+')) AS n FROM documents)
+SELECT (position // 256)::BIGINT AS batch_index, min(position) AS first, max(position) + 1 AS "end", count(*) AS n, sum(n)::BIGINT AS tokens FROM p GROUP BY 1""")
+def batch_plan(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", t.word_count(F.col("text")).cast("long").alias("tokens"))
+    at = ordering.with_position(rows, [F.col("doc_id")])
+    return at.groupBy(F.floor(F.col("position") / 256).alias("batch_index")).agg(F.min("position").alias("first"), (F.max("position") + 1).alias("end"), F.count("*").alias("n"), F.sum("tokens").alias("tokens"))
+
+
+@query("SELECT sha256(text) AS text_sha256, count(*) AS n, min(doc_id) AS first_doc_id FROM documents GROUP BY text HAVING count(*) > 1")
+def duplicate_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy(t.fingerprint(F.col("text")).alias("text_sha256")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc_id")).filter("n > 1")
+
+
+@query("SELECT row_number() OVER (ORDER BY n DESC, doc_id)::INTEGER AS place, doc_id, n AS tokens FROM (SELECT doc_id, len(regexp_extract_all(text, '\\S+')) AS n FROM documents) ORDER BY n DESC, doc_id LIMIT 10")
+def longest_texts(spark, sf_dir):
+    """The ten texts with most tokens: the limit is the report."""
+    top = table(spark, sf_dir, "documents").select("doc_id", t.word_count(F.col("text")).cast("long").alias("tokens")).orderBy(F.desc("tokens"), "doc_id").limit(10)
+    return audit.numbered(top, [F.desc("tokens"), F.col("doc_id")], "place")

@@ -1 +1,109 @@
-"""Queries."""
+"""Requests, costs, reservations and retries over ``benchmark`` and ``events``."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from loomwell.functions import money
+from loomwell.functions import text as t
+from loomwell.operators import audit, requests
+from loomwell.plans import retrieval as ret
+from loomwell.plans.catalog import query, table
+
+CONFIG = "generation-v1"
+TEMPLATE = "Use the excerpts to answer.\n\n{context}\n\nQuestion: {question}"
+BARE = "Question: {question}"
+
+_VALUES = ", ".join("('{}', {}, '{}', {}, {}, {}, {}, {}, {})".format(c, o, m, k, "NULL" if x is None else x, "NULL" if e is None else f"'{e}'", f"'{i}'", f"'{u}'", w) for c, o, m, k, x, e, i, u, w in requests.CONDITIONS)
+_CONDS = f"k(condition, ord, model, results, temperature, effort, rate_in, rate_out, win) AS (VALUES {_VALUES})"
+_CONTEXT = ret._NORM + """,
+x AS (SELECT query_id AS question_id, count(*)::INTEGER AS excerpts, max(rank) = count(*) AS in_order, string_agg('[Retrieved excerpt ' || rank || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context
+FROM (SELECT f.query_id, row_number() OVER (PARTITION BY f.query_id ORDER BY f.rank) AS rank, d.text FROM f JOIN documents d ON d.doc_id = f.id WHERE f.rank <= 30) WHERE rank <= 3 GROUP BY query_id)"""
+_MANIFEST = f"""WITH {_CONTEXT}, {_CONDS},
+p AS (SELECT k.*, b.item_id AS question_id, b.item_id AS position, CASE WHEN k.results > 0 THEN 'Use the excerpts to answer.' || chr(10) || chr(10) || coalesce(x.context, '') || chr(10) || chr(10) || 'Question: ' || b.text ELSE 'Question: ' || b.text END AS prompt,
+results = 0 OR x.context IS NOT NULL AS sound FROM benchmark b CROSS JOIN k LEFT JOIN x ON x.question_id = b.item_id),
+m AS (SELECT sha256(concat('{CONFIG}', chr(31), condition, chr(31), question_id)) AS blinded_response_id, condition, ord::INTEGER AS ord, question_id, position, model, CASE WHEN effort IS NULL THEN 'max_tokens' ELSE 'max_completion_tokens' END AS limit_field,
+temperature::DOUBLE AS temperature, effort, sha256(prompt) AS prompt_sha256, len(regexp_extract_all(prompt, '\\S+')) + 24 AS input_tokens, 2000::BIGINT AS reserved_tokens, win::BIGINT AS "window", rate_in, rate_out, sound FROM p),
+h AS (SELECT *, "window" - input_tokens - reserved_tokens AS headroom, (input_tokens::DECIMAL(18,0) * rate_in::DECIMAL(12,6) + reserved_tokens::DECIMAL(18,0) * rate_out::DECIMAL(12,6)) / 1000000 AS cost_f,
+(input_tokens * (rate_in::DECIMAL(12,2) * 100)::BIGINT + reserved_tokens * (rate_out::DECIMAL(12,2) * 100)::BIGINT)::BIGINT AS cost_units FROM m)"""
+
+
+def contexts(spark, sf_dir) -> DataFrame:
+    """The three best texts of each question, numbered anew."""
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    found = ret.search(spark, sf_dir).join(texts, "id")
+    from pyspark.sql.window import Window
+
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+    top = found.withColumn("place", place).filter("place <= 3")
+    return requests.assemble(top.select("query_id", F.col("place").alias("rank"), "text"), "query_id").withColumnRenamed("query_id", "question_id")
+
+
+def manifest(spark, sf_dir) -> DataFrame:
+    questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("item_id").alias("position"), F.col("text").alias("query_text"))
+    return requests.manifest(questions, requests.conditions(spark), contexts(spark, sf_dir).select("question_id", "context"), CONFIG, template=TEMPLATE, bare=BARE)
+
+
+def _units(c) -> F:
+    """Exact cost in hundred-millionths, as a whole number."""
+    return (c * F.lit("100000000").cast("decimal(10,0)")).cast("long")
+
+
+@query(f"WITH {_CONTEXT} SELECT question_id, excerpts, in_order, sha256(context) AS context_sha256, length(context)::INTEGER AS characters FROM x")
+def context_assembly(spark, sf_dir):
+    return contexts(spark, sf_dir).select("question_id", "excerpts", "in_order", t.fingerprint(F.col("context")).alias("context_sha256"), t.char_count(F.col("context")).alias("characters"))
+
+
+@query(_MANIFEST + 'SELECT blinded_response_id, condition, ord, question_id, position, model, limit_field, temperature, effort, prompt_sha256, input_tokens, reserved_tokens, "window", headroom, sound FROM h')
+def request_manifest(spark, sf_dir):
+    return manifest(spark, sf_dir).drop("rate_in", "rate_out")
+
+
+@query(_MANIFEST + "SELECT condition, count(*) AS requests, min(input_tokens) AS least_input, max(input_tokens) AS most_input, min(headroom) AS least_headroom, count(*) FILTER (headroom < 0) AS over_window FROM h GROUP BY condition")
+def context_window_check(spark, sf_dir):
+    return manifest(spark, sf_dir).groupBy("condition").agg(F.count("*").alias("requests"), F.min("input_tokens").alias("least_input"), F.max("input_tokens").alias("most_input"), F.min("headroom").alias("least_headroom"), F.count_if(F.col("headroom") < 0).alias("over_window"))
+
+
+@query(_MANIFEST + "SELECT condition, count(*) AS requests, sum(input_tokens)::BIGINT AS input_tokens, sum(cost_units)::BIGINT AS cost_units FROM h GROUP BY condition")
+def cost_by_condition(spark, sf_dir):
+    rows = requests.with_cost(manifest(spark, sf_dir))
+    return rows.groupBy("condition").agg(F.count("*").alias("requests"), F.sum("input_tokens").alias("input_tokens"), _units(F.sum("max_cost")).alias("cost_units"))
+
+
+@query(_MANIFEST + ", r AS (SELECT condition, question_id, cost_units, sum(cost_units) OVER (PARTITION BY condition ORDER BY position, question_id ROWS UNBOUNDED PRECEDING) AS c FROM h) SELECT condition, question_id, c::BIGINT AS reserved_units, c <= 100000000 AS granted FROM r")
+def cost_running_cap(spark, sf_dir):
+    rows = requests.reserve(requests.with_cost(manifest(spark, sf_dir)), "1.0", key="condition", order=["position", "question_id"])
+    return rows.select("condition", "question_id", _units(F.col("reserved_cost")).alias("reserved_units"), "granted")
+
+
+@query(_MANIFEST + "SELECT condition, min(question_id) AS first_question, count(*) AS n, count(DISTINCT position) AS positions, count(DISTINCT blinded_response_id) AS ids FROM h GROUP BY condition")
+def manifest_counts(spark, sf_dir):
+    return manifest(spark, sf_dir).groupBy("condition").agg(F.min("question_id").alias("first_question"), F.count("*").alias("n"), F.count_distinct("position").alias("positions"), F.count_distinct("blinded_response_id").alias("ids"))
+
+
+@query(_MANIFEST + """SELECT blinded_response_id, CASE WHEN effort IS NULL THEN '{"model":"' || model || '","prompt_sha256":"' || prompt_sha256 || '","temperature":' || temperature || ',"max_tokens":2000}'
+ELSE '{"model":"' || model || '","prompt_sha256":"' || prompt_sha256 || '","reasoning_effort":"' || effort || '","max_completion_tokens":2000}' END AS payload FROM h""")
+def request_payload(spark, sf_dir):
+    return requests.payload(manifest(spark, sf_dir)).select("blinded_response_id", "payload")
+
+
+_LOG = """e AS (SELECT event_id, user_id, ts, value, (CASE event_id % 7 WHEN 0 THEN 200 WHEN 1 THEN 429 WHEN 2 THEN 500 WHEN 3 THEN 400 WHEN 4 THEN 503 WHEN 5 THEN 408 ELSE 404 END)::INTEGER AS status, (event_id % 4 + 1)::INTEGER AS attempt, CASE WHEN event_id % 3 = 0 THEN (event_id % 20)::INTEGER END AS hint FROM events)"""
+
+
+def op_log(spark, sf_dir) -> DataFrame:
+    status = F.element_at(F.array(*[F.lit(x) for x in (200, 429, 500, 400, 503, 408, 404)]), (F.col("event_id") % 7 + 1).cast("int"))
+    return table(spark, sf_dir, "events").withColumn("status", status).withColumn("attempt", (F.col("event_id") % 4 + 1).cast("int")).withColumn("hint", F.when(F.col("event_id") % 3 == 0, (F.col("event_id") % 20).cast("int")))
+
+
+@query(f"WITH {_LOG} SELECT status, attempt, status IN (408, 409, 429, 500, 502, 503, 504) AS retryable, round(greatest(least(2.0 * pow(2, attempt - 1), 8.0), coalesce(hint, 0)), 6)::DOUBLE AS delay, count(*) AS n FROM e GROUP BY ALL")
+def retry_schedule(spark, sf_dir):
+    delay = F.round(money.retry_delay(F.col("attempt"), hint=F.col("hint")), 6)
+    return op_log(spark, sf_dir).groupBy("status", "attempt", money.retryable(F.col("status")).alias("retryable"), delay.alias("delay")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH a AS (SELECT user_id, count(*) AS attempts FROM events GROUP BY user_id), r AS (SELECT c_custkey AS user_id, (c_custkey % 9)::INTEGER AS retry_count FROM customer)
+SELECT user_id, retry_count, attempts FROM r FULL JOIN a USING (user_id) WHERE NOT coalesce(attempts BETWEEN 1 AND 12 AND attempts = retry_count + 1, false)""")
+def attempt_accounting(spark, sf_dir):
+    responses = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), (F.col("c_custkey") % 9).cast("int").alias("retry_count"))
+    return audit.attempt_faults(table(spark, sf_dir, "events"), responses, "user_id", 12)
