@@ -46,6 +46,14 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def with_prefix(df: DataFrame, keys: list[str], order: list[Column], *, weight: Column | None = None,
                 bucket: Column, name: str) -> DataFrame:
     """Add the running sum of ``weight`` (1 if none) before each row within ``keys``.

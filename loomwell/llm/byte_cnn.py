@@ -117,6 +117,8 @@ def train(rows: list[tuple[str, int]], *, filters: int = 24, rounds: int = 60, p
             picks = [(d, j) for d in own for j in rng.choice(len(held[d]), min(per_text, len(held[d])), replace=False)]
             part = np.stack([held[d][j] for d, j in picks])
             doc = np.array([d for d, _ in picks])
+            short = rng.integers(24, CHUNK, len(part))  # a quarter of the chunks end early, as those of short texts do
+            part[(np.arange(CHUNK) >= short[:, None]) & (rng.random(len(part)) < 0.25)[:, None]] = 0
             top, at = net.maxima(part, where=True)
             pre = top + net.bias
             act = np.maximum(pre, 0)

@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
+from array import array
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -80,32 +82,38 @@ def train(rows: list[tuple[str, int]], *, rounds: int = 160, least: int = 4, rat
 
     if len({y for _, y in rows}) < 2:
         return Model(20.0 if rows and rows[0][1] else -40.0, {})
-    index: dict[str, int] = {}
-    seen: list[int] = []
-    docs = []
+    def bag(sentence: str) -> set[str]:
+        return {f for w in set(WORD.findall(sentence.lower())) for f in _features(w)}
+
+    # What is rare is dropped by hashed counts first, so that only frequent features are ever held as strings.
+    mask = (1 << 21) - 1
+    often = np.zeros(mask + 1, np.int32)
     for text, _ in rows:
-        bags = []
-        for s in SENTENCE.findall(text):
-            bags.append({f for w in set(WORD.findall(s.lower())) for f in _features(w)})
-        for f in set().union(*bags):
-            k = index.setdefault(f, len(index))
-            if k == len(seen):
-                seen.append(0)
-            seen[k] += 1
-        docs.append(bags)
-    kept = np.array(seen) >= least
-    new = np.cumsum(kept) - 1
-    size = int(kept.sum())
-    cols, sent, owner = [], [], []
+        often[np.unique(np.array([zlib.crc32(f.encode()) & mask for s in SENTENCE.findall(text) for f in bag(s)], np.int64))] += 1
+    index: dict[str, int] = {}
+    cols, sent, owner = array("i"), array("i"), array("i")
+    documents: list[int] = []
     n = 0
-    for d, bags in enumerate(docs):
-        for bag in bags:
-            own = [int(new[k]) for f in bag if kept[k := index[f]]]
-            cols += own
-            sent += [n] * len(own)
+    for d, (text, _) in enumerate(rows):
+        met = set()
+        for s in SENTENCE.findall(text):
+            for f in bag(s):
+                if often[zlib.crc32(f.encode()) & mask] >= least:
+                    k = index.setdefault(f, len(index))
+                    cols.append(k)
+                    sent.append(n)
+                    met.add(k)
             owner.append(d)
             n += 1
-    cols, sent, owner = np.array(cols, np.int64), np.array(sent, np.int64), np.array(owner, np.int64)
+        documents += [0] * (len(index) - len(documents))
+        for k in met:
+            documents[k] += 1
+    cols, sent, owner = (np.frombuffer(x, np.int32) if len(x) else np.empty(0, np.int32) for x in (cols, sent, owner))
+    kept = np.array(documents, np.int64) >= least
+    new = np.cumsum(kept) - 1
+    size = int(kept.sum())
+    own = kept[cols]
+    cols, sent = new[cols[own]], sent[own]
     y = np.array([v for _, v in rows], float)
     names = [f for f, k in index.items() if kept[k]]
     w, bias = np.zeros(size), -5.0
@@ -128,7 +136,7 @@ def train(rows: list[tuple[str, int]], *, rounds: int = 160, least: int = 4, rat
     return Model(float(bias), {f: float(x) for f, x in zip(names, w) if abs(x) > 1e-3})
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", positives: int = 1500, negatives: int = 2500,
+def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", positives: int = 1200, negatives: int = 2000,
         held_out: tuple[int, int] = (5, 0), id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Train on a bounded sample of labelled documents outside the held-out fold.
 
