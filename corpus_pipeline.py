@@ -16,20 +16,23 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose noisy-or score is 0.5 or more go."""
     source, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.fit(source, labels)
-    return toxicity.flags(docs, model, name="_toxicity").filter("_toxicity < 0.5").drop("_toxicity")
+    score = _shared.fresh(docs, "_toxicity")
+    return toxicity.flags(docs, model, name=score).filter(F.col(score) < 0.5).drop(score)
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose probability of good quality is below 0.5 go."""
     source, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     net = byte_cnn.fit(source, labels)
-    return byte_cnn.with_quality(docs, net, name="_quality").filter("_quality >= 0.5").drop("_quality")
+    score = _shared.fresh(docs, "_quality")
+    return byte_cnn.with_quality(docs, net, name=score).filter(F.col(score) >= 0.5).drop(score)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the least id stays, once."""
-    kept = simhash.groups(docs).filter("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"])
+    key = _shared.fresh(docs, "_kept")
+    kept = simhash.groups(docs).filter("doc_id <=> component_id").select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(kept, docs.doc_id.eqNullSafe(F.col(key)), "left_semi").dropDuplicates(["doc_id"])
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
