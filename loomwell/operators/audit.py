@@ -54,7 +54,7 @@ def latency_seconds(start: Column, end: Column) -> Column:
 
 def crosstab(df: DataFrame, row: str, column: str, values: list[str]) -> DataFrame:
     """Counts by row and a closed set of column values, zero-filled."""
-    return df.groupBy(row).pivot(column, values).agg(F.count("*")).na.fill(0)
+    return df.groupBy(row).pivot(column, values).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def projection_hash(df: DataFrame, order: list[str], fields: list[str], buckets: int = 64) -> Column | DataFrame:

@@ -19,7 +19,7 @@ from loomwell.plans.retrieval import _WILSON
 FAMILIES = [("a", "src1", 0), ("a", "src2", 1), ("b", "src1", 0), ("b", "src2", 1), ("b", "src3", 2), ("c", "src1", 0), ("c", "src2", 1), ("c", "src3", 2), ("c", "src4", 3)]
 CATEGORIES = ["none", "toxic", "poor", "other"]
 
-_SCORES = """s0 AS (SELECT d.source AS condition, row_number() OVER (PARTITION BY d.source ORDER BY d.doc_id) AS block, l.quality AS correct, l.toxic AS unsupported, d.doc_id, d.lang, d.n_chars,
+_SCORES = """s0 AS (SELECT d.source AS condition, row_number() OVER (PARTITION BY d.source ORDER BY d.doc_id)::INTEGER AS block, l.quality AS correct, l.toxic AS unsupported, d.doc_id, d.lang, d.n_chars,
 least(2, d.n_chars // 1500)::INTEGER AS depth, CASE WHEN d.doc_id % 5 = 0 THEN NULL ELSE (d.doc_id % 3)::INTEGER END AS clarity, d.n_chars < 80 AS is_empty,
 CASE WHEN l.quality = 1 AND l.toxic = 0 THEN 'none' WHEN l.toxic = 1 THEN 'toxic' ELSE 'poor' END AS category FROM documents d JOIN labels l USING (doc_id) WHERE d.source IN ('src1', 'src2', 'src3', 'src4')),
 n0 AS (SELECT min(m) AS m FROM (SELECT condition, max(block) AS m FROM s0 GROUP BY condition)),
