@@ -29,10 +29,10 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the least id stays, once."""
+    """Of each group of near-duplicates the document with the least id stays, once; rows without an id only go for equal texts."""
     key = _shared.fresh(docs, "_kept")
     kept = simhash.groups(docs).filter("doc_id <=> component_id").select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(F.col(key)), "left_semi").dropDuplicates(["doc_id"])
+    return docs.join(kept, docs.doc_id.eqNullSafe(F.col(key)), "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
