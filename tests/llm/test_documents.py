@@ -175,8 +175,7 @@ def test_simhash(spark, docs, plain, empty):
     assert simhash.groups(empty).count() == 0
 
 
-@pytest.mark.parametrize("crowd", [0, 3, 10**9])
-@pytest.mark.parametrize("thresholds", [None, (0, 0, 0), (1, 0), (2,)])
+@pytest.mark.parametrize(("crowd", "thresholds"), [(0, None), (3, (1, 0)), (10**9, None), (10**9, (0, 0, 0)), (10**9, (2,))])
 def test_links_of_fingerprints(spark, crowd, thresholds):
     rng = np.random.default_rng(5)
     base = rng.integers(0, 1 << 63, 30, np.uint64)
