@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from loomwell.functions import money
 from loomwell.functions import text as t
 
-ALLOWANCE = 24  # tokens a request has besides its texts
+# Tokens a request has besides its texts, and what stands before an excerpt.
+ALLOWANCE = 24
+EXCERPT = ("[Retrieved excerpt ", "]\n")
 
 # Conditions of the comparison in their order: model, results given, temperature, effort, rates per million tokens, window.
 CONDITIONS = [
@@ -29,7 +31,7 @@ def assemble(ranked: DataFrame, key: str, *, rank: str = "rank", text: str = "te
     whether ranks run from 1 without a gap.
     """
     rows = ranked.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(rank).alias("r"), F.col(text).alias("t")))).alias("xs"))
-    body = F.array_join(F.transform("xs", lambda x: F.concat(F.lit("[Retrieved excerpt "), x["r"].cast("string"), F.lit("]\n"), x["t"])), "\n\n")
+    body = F.array_join(F.transform("xs", lambda x: F.concat(F.lit(EXCERPT[0]), x["r"].cast("string"), F.lit(EXCERPT[1]), x["t"])), "\n\n")
     return rows.select(key, F.size("xs").alias("excerpts"), (F.col("xs")[F.size("xs") - 1]["r"] == F.size("xs")).alias("in_order"), body.alias("context"))
 
 
