@@ -26,16 +26,21 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str, *, take: dict[int
     than ``longest`` characters and those without a text teach nothing.
     """
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter(keep).filter("doc_id IS NOT NULL")
-    parts = [known.filter(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for v, n in take.items()]
-    ids = [(r.doc_id, r.label) for p in parts for r in p.collect()]
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    totals = {r.label: r.n for r in known.filter(F.col("label").isin(*take)).groupBy("label").agg(F.count("*").alias("n")).collect()}
+    ids = []
+    for v, n in take.items():
+        part = known.filter(F.col("label") == v)
+        if totals.get(v, 0) > 4 * n and n >= 100:  # twice as many as needed in all, however many tasks there are
+            part = part.filter(draw < (2 * n << 40) // totals[v])
+        ids += [(r.doc_id, r.label) for r in part.orderBy(draw, "doc_id").limit(n).collect()]
     if not ids:
         return []
     spark = docs.sparkSession
     chosen = spark.createDataFrame(ids, "doc_id long, label int").dropDuplicates(["doc_id"])
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter(F.length("text") <= longest)
-    rows = texts.join(F.broadcast(chosen), "doc_id").collect()
-    first = {r.doc_id: (r.text, r.label) for r in sorted(rows, key=lambda r: (r.doc_id, r.text), reverse=True)}
-    return [first[k] for k in sorted(first)]
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).collect()
+    return [(r.text, r.label) for r in sorted(rows, key=lambda r: r.doc_id)]
 
 
 def with_scores(docs: DataFrame, text_col: str, name: str, make) -> DataFrame:
