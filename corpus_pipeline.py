@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwell.llm import _shared, byte_cnn, packing, secrets, simhash, toxicity
+from loomwell.llm import _shared, byte_cnn, near_copies, packing, secrets, toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,10 +29,11 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the least id stays, once; rows without an id only go for equal texts."""
-    key = _shared.fresh(docs, "_kept")
-    kept = simhash.groups(docs).filter("doc_id <=> component_id").select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(F.col(key)), "left_semi").dropDuplicates(["doc_id", "text"])
+    """Of each group of near-duplicates (Jaccard similarity of 5-word shingles 0.8 or more) the document with the least id stays, once."""
+    key, none = _shared.fresh(docs, "_kept"), _shared.fresh(docs, "_none")
+    named = {key: F.coalesce(F.col("doc_id"), F.lit(0)), none: F.col("doc_id").isNull()}  # one shuffle by these serves the join and the repeated rows
+    kept = near_copies.groups(docs).filter("doc_id <=> component_id").select(*[c.alias(n) for n, c in named.items()]).distinct()
+    return docs.withColumns(named).join(kept, [key, none], "left_semi").dropDuplicates([key, none, "text"]).select(docs.columns)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from loomwell.llm import byte_cnn, components, embed_dedup, forest, labelled, quality_rules, secrets, sharding, simhash, toxicity
+from loomwell.llm import byte_cnn, components, embed_dedup, forest, labelled, near_copies, quality_rules, secrets, sharding, simhash, toxicity
 
 SF = "/root/testdata/sf0.01"
 
@@ -198,6 +198,47 @@ def test_links_of_fingerprints(spark, crowd, thresholds):
     assert all(len(g) == 1 for g in groups.values()) and len({min(g) for g in groups.values()}) == len(groups)
 
 
+def test_near_copies(spark, empty):
+    rng = np.random.default_rng(8)
+    vocab = [f"w{i}" for i in range(3000)]
+    rows = []
+    for g in range(40):
+        words = rng.choice(vocab, 300).tolist()
+        if g % 2:
+            words[:100] = ["same"] + [f"licence{i}" for i in range(99)]  # what many texts share
+        rows.append(" ".join(words))
+        for _ in range(6):
+            now = words[:]
+            for i in rng.choice(300, rng.integers(1, 16), replace=False):
+                now[i] = f"new{rng.integers(10**6)}"
+            rows.append(" ".join(now))
+    rows += ["", None, " ", "one two", "One  two", "one two three four five", "one two three four five six"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
+    sets = [frozenset(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset() for w in ((t or "").lower().split() for t in rows)]
+    least = list(range(len(rows)))
+
+    def find(i):
+        while least[i] != i:
+            i = least[i]
+        return i
+
+    n = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                n += sets[i] != sets[j]
+                a, b = sorted((find(i), find(j)))
+                least[b] = a
+    assert n > 100
+    got = {r.doc_id: r.component_id for r in near_copies.groups(df).collect()}
+    assert got == {i: find(i) for i in range(len(rows))}
+    assert near_copies.groups(empty).count() == 0
+    import corpus_pipeline
+
+    stage = dict(corpus_pipeline.STAGES)["simhash_near_dedup"]
+    assert {r.doc_id for r in stage(spark, df, SF).select("doc_id").collect()} == set(got.values())
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(1000 + i, 1001 + i) for i in range(60)] + [(2000, 2000 + i) for i in range(80)]
