@@ -18,11 +18,12 @@ from pyspark.sql import functions as F
 
 from . import forest
 
-# Private key blocks; quoted values after = or :; long runs of key characters with a digit.
+# Private key blocks with their headers and END line; quoted values after = or :; long runs of key characters with a digit.
+# Each goes to its end, however long it is.
 CANDIDATE = (
-    r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,8000}"
-    r"|(?<=[=:] {0,2}[\"'])[^\s\"']{8,512}"
-    r"|(?<![A-Za-z0-9+/_=.\-])(?=[A-Za-z+/_=.\-]{0,512}[0-9])[A-Za-z0-9+/_=.\-]{16,512}"
+    r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:\s*[A-Za-z][A-Za-z0-9\-]*:(?:(?!-----)[\s\S])*?\n[ \t\r]*\n)?[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]{0,20}PRIVATE KEY-----)?"
+    r"|(?<=[=:] {0,2}[\"'])[^\s\"']{8,}"
+    r"|(?<![A-Za-z0-9+/_=.\-])(?=[A-Za-z+/_=.\-]*[0-9])[A-Za-z0-9+/_=.\-]{16,}"
 )
 BEFORE, AFTER = 48, 24
 
