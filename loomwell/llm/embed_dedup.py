@@ -4,10 +4,8 @@ Equal vectors of a label are one class. Centroids are fitted on a bounded sample
 of classes, and every class is assigned to its nearest centroid, its home, and as
 a visitor to each other cell where something within reach of it may have its
 home: x with home c can only be within distance r of y, whose home is h, if
-y.(h - c) <= r |h - c|. r is the chord that belongs to the least cosine; in many
-dimensions only a part of a difference points along h - c, and r is taken as
-``spread`` standard deviations of that part, chord / sqrt(dimensions), where this
-is less. A home is compared with all members of its cell, so each pair is seen
+y.(h - c) <= r |h - c|. r is the chord that belongs to the least cosine, whatever
+the number of dimensions. A home is compared with all members of its cell, so each pair is seen
 from either side once. Cells of any size are compared in blocks; a block gives a
 row for each vector, its links counted and one edge to the least vector of its
 part, never the pairs.
@@ -51,12 +49,12 @@ def _unit(vectors):
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def reach(least: float, dims: int, spread: float) -> float:
-    chord = math.sqrt(max(0.0, 2 - 2 * least))
-    return min(chord, spread * chord / math.sqrt(dims))
+def reach(least: float) -> float:
+    """The distance of unit vectors of this cosine: no difference within it points further in any direction."""
+    return math.sqrt(max(0.0, 2 - 2 * least))
 
 
-def _assign(classes: DataFrame, centroids: dict, least: float, spread: float) -> DataFrame:
+def _assign(classes: DataFrame, centroids: dict, least: float) -> DataFrame:
     """(label, dims, cell, home, id, copies, vector as bytes of doubles)."""
     shared = classes.sparkSession.sparkContext.broadcast(centroids)  # at most `most_cells` vectors of each dimension
 
@@ -76,7 +74,7 @@ def _assign(classes: DataFrame, centroids: dict, least: float, spread: float) ->
                 sims = x @ c.T
                 home = sims.argmax(1)
                 apart = np.sqrt(np.maximum(0, 2 - 2 * (c @ c.T)))
-                inside = sims[np.arange(len(x)), home][:, None] - sims <= reach(least, d, spread) * apart[home] + 1e-9
+                inside = sims[np.arange(len(x)), home][:, None] - sims <= reach(least) * apart[home] + 1e-9
                 r, cell = np.nonzero(inside)
                 raw = [v.tobytes() for v in x]
                 yield pa.RecordBatch.from_arrays(
@@ -125,7 +123,7 @@ def _compare(least: float):
 
 
 def dedup(vectors: DataFrame, *, least: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
-          spread: float = 4.5, cell_rows: int = 600, most_cells: int = 4096, sample_rows: int = 50_000, block: int = 2048) -> DataFrame:
+          cell_rows: int = 600, most_cells: int = 4096, sample_rows: int = 50_000, block: int = 2048) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row.
 
     Rows link if their labels are equal and not null and their cosine, in double
@@ -152,7 +150,7 @@ def dedup(vectors: DataFrame, *, least: float = 0.93, id_col: str = "vec_id", ve
     some = classes.select("id", "vector").orderBy(F.xxhash64("id"), "id").limit(min(sample_rows, max(2000, 40 * k))).toArrow()
     lists = some.column("vector").to_pylist()
     centroids = {d: kmeans(_unit([x for x in lists if len(x) == d]), k) for d in sorted({len(x) for x in lists})}
-    cells = _shared.settle(_assign(classes, centroids, least, spread), "cells")
+    cells = _shared.settle(_assign(classes, centroids, least), "cells")
     sizes = cells.groupBy("label", "dims", "cell").agg(F.count_if("home").alias("homes"), F.count("*").alias("members"))
     sizes = _shared.settle(sizes.select("label", "dims", "cell", F.ceil(F.col("homes") / block).cast("int").alias("hb"), F.ceil(F.col("members") / block).cast("int").alias("mb")).filter("hb > 0"), "cell-sizes")
     if sizes.count() <= FEW_CELLS:

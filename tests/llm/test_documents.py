@@ -343,6 +343,23 @@ def test_embeddings(spark, block):
     assert embed_dedup.dedup(df.filter("false")).count() == 0
 
 
+def test_embeddings_of_low_rank(spark):
+    rng = np.random.default_rng(6)
+    plane = np.linalg.qr(rng.normal(size=(256, 4)))[0].T
+    base = rng.normal(size=(1500, 4))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    step = rng.normal(size=base.shape)
+    step -= (step * base).sum(axis=1, keepdims=True) * base
+    step /= np.linalg.norm(step, axis=1, keepdims=True)
+    x = np.concatenate([base, base + rng.uniform(0.3, 0.39, (len(base), 1)) * step])  # tan of the angle: cosine about 0.93 or more
+    x = x / np.linalg.norm(x, axis=1, keepdims=True) @ plane
+    df = spark.createDataFrame([(i, 0, v.tolist()) for i, v in enumerate(x)], "vec_id long, label int, embedding array<double>")
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = (x @ x.T >= 0.93).sum(axis=1) - 1
+    got = {r.vec_id: r.n_links for r in embed_dedup.dedup(df, cell_rows=80).collect()}
+    assert got == dict(enumerate(want.tolist()))
+
+
 def test_labelled_fold(spark):
     got = {r.id: r.f for r in spark.range(500).select("id", labelled.fold(F.col("id"), 5).alias("f")).collect()}
     assert got == {i: zlib.crc32(str(i).encode()) % 5 for i in range(500)}
