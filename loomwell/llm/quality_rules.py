@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 from . import _shared, pieces
 
+FEW_STRATA = 100_000  # rows of cutoffs that are broadcast; beyond, they are joined by shuffling
+
 # The characters counted as symbols.
 SYMBOLS = b"#*$%&|<>"
 
@@ -130,26 +132,38 @@ def measured(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     return out.withColumn("base_failed", failed)
 
 
-def calibrate(good: DataFrame, *, max_false_rejection: float = 0.02, error: float = 0.05, rules=RULES,
-              max_strata: int = 64) -> Calibration:
-    """Choose cutoffs from ``good``: measured documents that are labelled good and pass the base rule.
+def bounds(good: DataFrame, *, max_false_rejection: float = 0.02, error: float = 0.05, rules=RULES) -> DataFrame:
+    """(stratum, rule, cutoff, failures, n, bound) of every rule that is on, in every stratum of ``good``.
 
-    Only counts reach the driver: a row for each of the ``max_strata`` largest
-    strata. Documents of any other stratum are judged by no rule but the base.
+    ``good`` are measured documents that are labelled good and pass the base rule.
+    What a rule rejects at a cutoff it also rejects at each stricter one, so its
+    cutoffs are tested in fixed sequence, the loosest first until one fails, each
+    at the same error: only strata and rules share the error. The bounds rise
+    along the sequence, so the last that holds is the strictest that holds.
     """
     tests = [F.count_if(r.rejects(c)).alias(f"{r.name}|{i}") for r in rules for i, c in enumerate(r.cutoffs)]
-    rows = good.groupBy("stratum").agg(F.count("*").alias("n"), *tests).orderBy(F.desc("n"), "stratum").limit(max_strata).collect()
-    out = Calibration()
-    each = error / max(1, len(rows) * sum(len(r.cutoffs) for r in rules))
-    for row in rows:
-        for r in rules:
-            for i, c in enumerate(r.cutoffs):
-                bound = upper_bound(row[f"{r.name}|{i}"], row.n, each)
-                if bound <= max_false_rejection / len(rules):
-                    out.cutoffs[row.stratum, r.name] = c
-                    out.report.append((row.stratum, r.name, c, row[f"{r.name}|{i}"], row.n, bound))
-                    break
-    return out
+    counts = _shared.settle(good.groupBy("stratum").agg(F.count("*").alias("n"), *tests), "strata")
+    each, most = error / max(1, counts.count() * len(rules)), max_false_rejection / len(rules)
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for row in b.to_pylist():
+                for r in rules:
+                    for i, c in enumerate(r.cutoffs):
+                        failures = row[f"{r.name}|{i}"]
+                        if failures <= most * row["n"] and (bound := upper_bound(failures, row["n"], each)) <= most:
+                            out.append((row["stratum"], r.name, c, failures, row["n"], bound))
+                            break
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate([pa.string(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.float64()])], ["stratum", "rule", "cutoff", "failures", "n", "bound"])
+
+    return _shared.settle(counts.mapInArrow(run, "stratum string, rule string, cutoff double, failures long, n long, bound double"), "bounds")
+
+
+def calibrate(good: DataFrame, *, max_false_rejection: float = 0.02, error: float = 0.05, rules=RULES) -> Calibration:
+    """What ``bounds`` finds, on the driver: a row for each rule that is on."""
+    rows = bounds(good, max_false_rejection=max_false_rejection, error=error, rules=rules).orderBy(F.desc("n"), "stratum", "rule").collect()
+    return Calibration({(r.stratum, r.rule): r.cutoff for r in rows}, [tuple(r) for r in rows])
 
 
 def verdict(calibration: Calibration, rules=RULES) -> Column:
@@ -178,5 +192,11 @@ def judge(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     found = _shared.settle(measured(docs, id_col=id_col, text_col=text_col, stratum_col=stratum_col), "measures")
     marked = labels.filter(F.col(label_col) == 1).select(F.col(id_col).cast("long").alias("doc_id")).distinct()
     good = found.filter(~F.col("base_failed")).join(marked, "doc_id", "left_semi")
-    cutoffs = calibrate(good, max_false_rejection=max_false_rejection, error=error)
-    return found.select("doc_id", *MEASURES, "base_failed", (~F.col("base_failed") & verdict(cutoffs)).alias("kept"), "stratum")
+    on = bounds(good, max_false_rejection=max_false_rejection, error=error)
+    on = _shared.settle(on.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r.name, F.col("cutoff"))).alias(f"at_{r.name}") for r in RULES]), "cutoffs")
+    if on.count() <= FEW_STRATA:
+        on = F.broadcast(on)
+    rejected = F.lit(False)
+    for r in RULES:
+        rejected = rejected | F.coalesce(r.rejects(F.col(f"at_{r.name}")), F.lit(False))
+    return found.join(on, "stratum", "left").select("doc_id", *MEASURES, "base_failed", (~F.col("base_failed") & ~rejected).alias("kept"), "stratum")

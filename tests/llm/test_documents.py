@@ -82,6 +82,16 @@ def test_risk_control(spark):
     assert not quality_rules.calibrate(good.limit(30)).cutoffs
 
 
+def test_rules_of_every_stratum(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, f"lang{i % 70}", 100, 500, int(n), 0, 0, 0, 1) for i, n in enumerate(rng.poisson(1, 70 * 2900))]
+    good = spark.createDataFrame(rows, "doc_id long, stratum string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_upper long, n_lines long")
+    on = quality_rules.calibrate(good).cutoffs
+    assert {s for s, r in on if r == "capitals"} == {f"lang{i}" for i in range(70)}
+    for r in quality_rules.bounds(good).collect():
+        assert r.bound <= 0.02 / 6 and r.bound == pytest.approx(quality_rules.upper_bound(r.failures, 2900, 0.05 / (70 * 6)))
+
+
 def known(table):
     return duckdb.sql(f"SELECT d.doc_id, d.text, l.quality, l.toxic FROM '{SF}/documents.parquet' d JOIN '{SF}/labels.parquet' l USING (doc_id)").fetchall()
 
