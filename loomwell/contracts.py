@@ -126,8 +126,12 @@ class ReviewState:
         if state == self.ORDER[-1]:
             raise IntegrityError("what is frozen can't be changed")
         step = self.ORDER[self.ORDER.index(state) + 1]
-        os.link(self.path, f"{self.path}.{state}")
-        with open(self.path + ".tmp", "wb") as f:
+        copy = f"{self.path}.{state}"
+        if not os.path.exists(copy):  # an earlier try may have ended after this
+            os.link(self.path, copy)
+        elif file_digest(copy) != file_digest(self.path):
+            raise IntegrityError(f"{copy} is no copy of the file")
+        with open(self.path + ".tmp", "wb") as f:  # a new file: the copy keeps what was there
             f.write(content)
         self._write(self._read() | {step: hashlib.sha256(content).hexdigest()})
         os.replace(self.path + ".tmp", self.path)

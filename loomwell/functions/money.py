@@ -21,6 +21,11 @@ def report(c: Column) -> Column:
     return F.round(c.cast(MONEY), 6)
 
 
+def report_even(c: Column, places: int = 2) -> Column:
+    """Doubles of a report, halves to the even digit."""
+    return F.bround(c.cast("double"), places)
+
+
 def retry_delay(attempt: Column, *, initial: float = 2.0, factor: float = 2.0, most: float = 8.0, hint: Column | None = None) -> Column:
     """Seconds before the next attempt; a longer hint of the server wins."""
     delay = F.least(F.lit(initial) * F.pow(F.lit(factor), attempt - 1), F.lit(most))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 Z_ROUNDED = 1.96
 Z_EXACT = 1.959963984540054
 
+MOST_SUMS = 20_000_000  # sums of doubled ranks up to which the signed-rank test is exact
+
 
 def wilson(successes: Column, n: Column, z: float = Z_EXACT) -> tuple[Column, Column]:
     """Wilson score interval, clamped to [0, 1]."""
@@ -27,16 +29,24 @@ def gain(grade: Column, rank: Column) -> Column:
 
 
 def binomial_tail(m: Column, n: Column) -> Column:
-    """Sum of C(n, k) / 2^n for k = 0 .. m, for any n: terms follow from one another."""
-    first = F.pow(F.lit(0.5), n)
-    state = F.struct(first.alias("term"), first.alias("total"))
-    steps = F.when(m >= 1, F.sequence(F.lit(1).cast("long"), m.cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    """Sum of C(n, k) / 2^n for k = 0 .. m, for any n.
+
+    The last term is kept as a logarithm and the sum in units of it, so nothing
+    underflows; beyond the middle the other tail is summed.
+    """
+    n, m = n.cast("long"), m.cast("long")
+    upper = 2 * m > n
+    low = F.when(upper, n - m - 1).otherwise(m)
+    steps = F.when(low >= 1, F.sequence(F.lit(1).cast("long"), low)).otherwise(F.array().cast("array<bigint>"))
 
     def step(s, k):
-        term = s["term"] * (n - k + 1) / k
-        return F.struct(term.alias("term"), (s["total"] + term).alias("total"))
+        ratio = (n - k + 1) / k
+        return F.struct((s["log"] + F.log(ratio)).alias("log"), (F.lit(1.0) + s["sum"] / ratio).alias("sum"))
 
-    return F.when(m < 0, F.lit(0.0)).otherwise(F.aggregate(steps, state, step, lambda s: s["total"]))
+    state = F.struct((F.lit(-math.log(2)) * n).alias("log"), F.lit(1.0).alias("sum"))
+    tail = F.aggregate(steps, state, step, lambda s: F.exp(s["log"] + F.log(s["sum"])))
+    tail = F.when(low < 0, F.lit(0.0)).otherwise(tail)
+    return F.when(upper, F.lit(1.0) - tail).otherwise(tail)
 
 
 def mcnemar(b: Column, c: Column) -> Column:
@@ -62,19 +72,39 @@ def chi_square_survival(x: Column, df: Column) -> Column:
     return F.when(df == 2, two).when(df == 1, one).when(df == 3, three)
 
 
-def signed_rank_tail(doubled_ranks: Column, statistic: Column) -> Column:
-    """Two-sided exact p value of a signed-rank sum over doubled ranks (an array of longs).
+def rank_tail(ranks: list[tuple[int, int]], statistic: int, most: int = MOST_SUMS) -> float:
+    """Two-sided p value of a signed-rank sum; ``ranks`` has each doubled rank with its count.
 
-    Counts of subsets by their sum are built rank by rank in an array; the lower
-    tail up to the smaller of the two sums is doubled and clamped.
+    The shares of sign patterns by their sum are built rank by rank up to the
+    smaller of the two sums, of which the tail is doubled and clamped. Beyond
+    ``most`` possible sums the normal approximation with its corrections for
+    ties and continuity takes its place.
     """
-    total = F.aggregate(doubled_ranks, F.lit(0).cast("long"), lambda s, r: s + r)
-    zero = F.transform(F.sequence(F.lit(0).cast("long"), total), lambda i: F.when(i == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
-
-    def add(ways, r):
-        return F.transform(ways, lambda w, i: w + F.when(i >= r, F.element_at(ways, F.greatest(i - r, F.lit(0).cast("long")).cast("int") + 1)).otherwise(F.lit(0.0)))
-
-    ways = F.aggregate(doubled_ranks, zero, add)
-    low = F.least(statistic, total - statistic)
-    tail = F.aggregate(F.slice(ways, F.lit(1), (low + 1).cast("int")), F.lit(0.0), lambda s, x: s + x)
-    return F.when(F.size(doubled_ranks) == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.lit(2.0) * tail / F.pow(F.lit(2.0), F.size(doubled_ranks))))
+    import numpy as np
+
+    total = sum(r * c for r, c in ranks)
+    low = min(statistic, total - statistic)
+    if not total:
+        return 1.0
+    if total > most:
+        spread = math.sqrt(sum(c * r * r for r, c in ranks) / 4)
+        z = (abs(statistic - total / 2) - 0.5 * 2) / spread  # half a rank, doubled
+        return min(1.0, math.erfc(max(z, 0.0) / math.sqrt(2)))
+    share = np.zeros(low + 1)
+    share[0] = 1.0
+    for r, c in ranks:
+        for _ in range(c):
+            new = share * 0.5
+            if r <= low:
+                new[r:] += share[:low + 1 - r] * 0.5
+            share = new
+    return min(1.0, 2 * float(share.sum()))
+
+
+def _rank_tails(ranks: pd.Series, statistic: pd.Series) -> pd.Series:
+    return pd.Series([rank_tail([(int(x["rank"]), int(x["n"])) for x in r], int(s)) for r, s in zip(ranks, statistic)], dtype="float64")
+
+
+def signed_rank_tail(ranks: Column, statistic: Column) -> Column:
+    """``rank_tail`` of an array of structs (rank, n), doubled ranks with their counts, and a doubled sum."""
+    return F.pandas_udf(_rank_tails, "double")(ranks, statistic)

@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 # What is stripped at the edges of a line, and what counts as a control character.
 EDGES = " \t\r\n"
 CONTROLS = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"
+# What counts as an anomaly. Control characters are those of the Unicode category Cc without tab, line feed,
+# carriage return, and without form feed, which is counted by itself.
+ANOMALIES = {
+    "replacement_characters": "�",
+    "cid_codes": r"\(cid:[0-9]+\)",
+    "glyph_names": r"/H[0-9]+",
+    "form_feeds": r"\x0c",
+    "control_characters": r"[\x00-\x08\x0b\x0e-\x1f\x7f-\x9f]",
+}
 
 
 def edge_trim(c: Column) -> Column:
@@ -51,11 +60,7 @@ def response_id(*parts: Column) -> Column:
 
 def anomalies(c: Column) -> dict[str, Column]:
     """Counts of what extraction leaves behind when it fails."""
-    n = lambda p: F.regexp_count(c, F.lit(p))
-    return {
-        "replacement_characters": n("\ufffd"), "cid_codes": n(r"\(cid:[0-9]+\)"), "glyph_names": n(r"/H[0-9]+"),
-        "form_feeds": n(r"\x0c"), "control_characters": n(r"[\x00-\x08\x0b\x0e-\x1f\x7f]"),
-    }
+    return {name: F.regexp_count(c, F.lit(pattern)) for name, pattern in ANOMALIES.items()}
 
 
 def full_match(c: Column, pattern: str) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwell.operators import ordering
+
 
 class IntegrityError(ValueError):
     """An expectation on the data does not hold."""
@@ -49,7 +51,10 @@ def completeness(left: DataFrame, right: DataFrame, observed: DataFrame, keys: l
 
 
 def latency_seconds(start: Column, end: Column) -> Column:
-    return (F.unix_micros(end) - F.unix_micros(start)) / 1e6
+    """Seconds between two timestamps, both with or both without a time zone; negative if the end comes first."""
+    span = end - start
+    part = lambda field: F.extract(F.lit(field), span).cast("decimal(18,6)")
+    return (part("DAY") * 86400 + part("HOUR") * 3600 + part("MINUTE") * 60 + part("SECOND")).cast("double")
 
 
 def crosstab(df: DataFrame, row: str, column: str, values: list[str]) -> DataFrame:
@@ -57,25 +62,30 @@ def crosstab(df: DataFrame, row: str, column: str, values: list[str]) -> DataFra
     return df.groupBy(row).pivot(column, values).agg(F.count(F.lit(1))).na.fill(0)
 
 
-def projection_hash(df: DataFrame, order: list[str], fields: list[str], buckets: int = 64) -> Column | DataFrame:
-    """Digest of chosen fields of all rows that doesn't depend on how rows are stored.
+HASHED_ROWS = 65_536
+
+
+def projection_hash(df: DataFrame, order: list[str], fields: list[str], rows: int = HASHED_ROWS) -> DataFrame:
+    """Digest of chosen fields of all rows in a total order, that doesn't depend on how rows are stored.
 
-    Each row's canonical JSON is hashed; the hashes of a bucket (by the hash of
-    the order key) are hashed in their order, and the buckets' digests again, so
-    no task gathers all rows. Nulls are written, keys are sorted.
+    Each row's canonical JSON is hashed, nulls written and keys sorted. The
+    hashes of ``rows`` rows that follow one another are hashed together, and so
+    are the digests of all these runs, so no task gathers more than a run's
+    hashes or the runs' digests.
     """
     row = F.sha2(F.to_json(F.struct(*[F.col(f) for f in sorted(fields)]), {"ignoreNullFields": "false"}), 256)
-    b = F.pmod(F.crc32(F.concat_ws("\x1f", *[F.col(o).cast("string") for o in order])), F.lit(buckets))
-    one = df.select(b.alias("bucket"), F.struct(*order, row.alias("h")).alias("x")).groupBy("bucket").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["h"]), "\n"), 256).alias("h"))
-    return one.agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "h"))), lambda x: x["h"]), "\n"), 256).alias("digest"))
+    hashed = ordering.with_position(df.select(*order, row.alias("_hash")), [F.col(o) for o in order], "_place")
+    together = lambda key, h: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, h))), lambda x: x[h]), "\n"), 256)
+    runs = hashed.groupBy(F.floor(F.col("_place") / rows).alias("_run")).agg(F.count("*").alias("n"), together("_place", "_hash").alias("h"))
+    return runs.agg(F.sum("n").alias("n"), together("_run", "h").alias("digest"))
 
 
 def coverage(df: DataFrame, key: str) -> DataFrame:
     """Groups by size, with the share of all rows that the groups up to each of them hold."""
     n = df.groupBy(key).agg(F.count("*").alias("n"))
+    ranked = ordering.running(n, [], [-F.col("n"), F.col(key)], {"place": F.lit(1).cast("long"), "upto": F.col("n")})
     total = n.agg(F.sum("n").alias("total"))
-    w = Window.orderBy(F.desc("n"), key).rowsBetween(Window.unboundedPreceding, 0)
-    return n.crossJoin(F.broadcast(total)).select(F.row_number().over(Window.orderBy(F.desc("n"), key)).alias("place"), key, "n", (F.sum("n").over(w) * 100.0 / F.col("total")).alias("percent"))
+    return ranked.crossJoin(F.broadcast(total)).select(F.col("place").cast("int").alias("place"), key, "n", (F.col("upto") * 100.0 / F.col("total")).alias("percent"))
 
 
 def attempt_faults(attempts: DataFrame, responses: DataFrame, key: str, most: int) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # What str.split() and \s of the SQL engines have in common.
+RULES = ["first_not_at_zero", "index_not_consecutive", "start_not_increasing", "gap", "atom_not_covered", "overlap_too_long", "length_differs"]
+BATCH_BYTES = 8 << 20  # of text whose chunks are made at once
 _WORDS = re.compile(r"[^ \t\n\r\f\v]+")
 
 
@@ -36,6 +38,21 @@ def fold(lengths: list[int], size: int, overlap: int) -> list[tuple[int, int]]:
     return out
 
 
+def _slices(batch):
+    """A batch in parts that don't hold much text, one row at least."""
+    import pyarrow.compute as pc
+
+    lengths = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
+    start = held = 0
+    for i, n in enumerate(lengths):
+        if i > start and held + n > BATCH_BYTES:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += n
+    if start < len(lengths):
+        yield batch.slice(start)
+
+
 def chunk(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 200, overlap: int = 10, atoms: str = "lines") -> DataFrame:
     """key, chunk_index, first_atom, end_atom, start, end, chunk, oversize.
 
@@ -49,7 +66,7 @@ def chunk(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in (part for whole in batches for part in _slices(whole)):
             cols: list[list] = [[] for _ in range(8)]
             for k, whole in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 parts = whole.split("\n") if atoms == "lines" else _WORDS.findall(whole)
@@ -74,12 +91,7 @@ def violations(chunks: DataFrame, *, key: str = "doc_id", overlap: int = 10) ->
     w = Window.partitionBy(key).orderBy("chunk_index")
     before = chunks.withColumn("_s", F.lag("start").over(w)).withColumn("_e", F.lag("end").over(w)).withColumn("_i", F.lag("chunk_index").over(w)).withColumn("_a", F.lag("end_atom").over(w))
     rules = F.array(
-        F.when(F.col("_i").isNull() & (F.col("start") != 0), "first_not_at_zero"),
-        F.when(F.col("chunk_index") != F.coalesce(F.col("_i") + 1, F.lit(0)), "index_not_consecutive"),
-        F.when(F.col("start") <= F.col("_s"), "start_not_increasing"),
-        F.when(F.col("start") - F.col("_e") > 1, "gap"),
-        F.when(F.col("first_atom") > F.col("_a"), "atom_not_covered"),
-        F.when(F.col("_e") - F.col("start") > overlap, "overlap_too_long"),
-        F.when(F.col("end") - F.col("start") != F.char_length("chunk"), "length_differs"),
-    )
+        *[F.when(broken, name) for name, broken in zip(RULES, (
+            F.col("_i").isNull() & (F.col("start") != 0), F.col("chunk_index") != F.coalesce(F.col("_i") + 1, F.lit(0)), F.col("start") <= F.col("_s"), F.col("start") - F.col("_e") > 1,
+            F.col("first_atom") > F.col("_a"), F.col("_e") - F.col("start") > overlap, F.col("end") - F.col("start") != F.char_length("chunk")))])
     return before.select(key, "chunk_index", F.explode(F.array_compact(rules)).alias("violation"))

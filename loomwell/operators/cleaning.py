@@ -32,8 +32,45 @@ def zone(y0: Column, *, top: float, bottom: float) -> Column:
 
 def heading_class(heading: Column, page: Column, y0: Column, *, targets: list[str], contents_pages: tuple[int, int], header_bottom: float = HEADER_BOTTOM) -> Column:
     """contents, running_header or body for the exact headings in ``targets``; null for other lines."""
-    known = t.collapse(heading).isin(*targets)
-    return F.when(known, F.when(page.between(*contents_pages), "contents").when(y0 < header_bottom, "running_header").otherwise("body"))
+    return F.when(t.collapse(heading).isin(*targets), heading_place(page, y0, contents_pages=contents_pages, header_bottom=header_bottom))
+
+
+def heading_place(page: Column, y0: Column, *, contents_pages: tuple[int, int], header_bottom: float = HEADER_BOTTOM) -> Column:
+    """Where a heading stands: contents, running_header or body."""
+    return F.when(page.between(*contents_pages), "contents").when(y0 < header_bottom, "running_header").otherwise("body")
+
+
+def clip(boxes: DataFrame, x0: float, y0: float, x1: float, y1: float) -> DataFrame:
+    """The boxes that lie within a rectangle, its edges included."""
+    return boxes.filter((F.col("x0") >= x0) & (F.col("y0") >= y0) & (F.col("x1") <= x1) & (F.col("y1") <= y1))
+
+
+def bookmarks(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """key, level, title of the headings of HTML pages, as bookmarks of a document."""
+    found = lambda group: F.regexp_extract_all(html, F.lit("<h([1-6])>([^<]*)"), F.lit(group))
+    rows = pages.select(key, F.explode(F.arrays_zip(found(1).alias("level"), found(2).alias("title"))).alias("x"))
+    return rows.select(key, F.col("x.level").cast("int").alias("level"), F.btrim("x.title").alias("title"))
+
+
+def lookup_bookmarks(marks: DataFrame, wanted: DataFrame, length: int, key: str = "page_id") -> DataFrame:
+    """prefix, key, entries, found: the one top-level bookmark that begins with each prefix of ``length`` characters; none or several are no hit."""
+    tops = marks.filter("level = 1").groupBy(F.substring("title", 1, length).alias("prefix")).agg(F.count("*").alias("entries"), F.min(key).alias("_first"))
+    rows = wanted.join(tops, "prefix", "left").withColumn("entries", F.coalesce("entries", F.lit(0).cast("long")))
+    return rows.select("prefix", F.when(F.col("entries") == 1, F.col("_first")).alias(key), "entries", (F.col("entries") == 1).alias("found"))
+
+
+def corpus_totals(lines: DataFrame, key: str) -> DataFrame:
+    """One row of totals over classified lines: raw and kept lines, kept characters, pages with text and emptied pages, removals by reason."""
+    kept = F.col("reason").isNull()
+    page = lines.groupBy(key).agg(F.count("*").alias("raw"), F.count_if(kept).alias("cleaned"), F.sum(F.when(kept, F.char_length("line")).otherwise(0)).alias("characters"), *[F.count_if(F.col("reason") == r).alias(r) for r in REASONS])
+    emptied = F.col("cleaned") == 0
+    removed = F.lit(0)
+    for r in REASONS:
+        removed = removed + F.col(r)
+    totals = page.agg(
+        F.count("*").alias("pages"), F.sum("raw").alias("raw_lines"), F.sum("cleaned").alias("cleaned_lines"), F.sum("characters").alias("cleaned_characters"), F.count_if(~emptied).alias("pages_with_text"), F.count_if(emptied).alias("emptied_pages"),
+        F.min(F.when(emptied, F.col(key))).alias("first_emptied"), *[F.sum(r).alias(r) for r in REASONS])
+    return totals.withColumn("accounted", F.col("raw_lines") == F.col("cleaned_lines") + removed)
 
 
 def zero_filled(counts: DataFrame, key: str, values, n: str = "n") -> DataFrame:

@@ -1,19 +1,24 @@
-"""A dense global position for every row, without sorting in one task."""
+"""Global positions and running sums, without sorting a table or a key in one task."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwell.operators import staging
+
 
 def with_position(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
-    """Number the rows from 0 in the given total order.
+    """Number the rows from 0 in the given order, which has to be total.
 
-    Rows are dealt by ranges and sorted within them; the counts of the ranges,
-    one figure each, are summed up and joined back.
+    Rows are dealt by ranges, sorted within them and written once with their
+    range and their place in it; the counts of the ranges, one figure each, are
+    taken from what was written, summed up and joined back. Were the ranges dealt
+    twice, their sampled bounds could differ and so could the counts.
     """
     # The high bits of the generated id are the partition, the low 33 bits the row within it.
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    ranged = staging.settle(ranged, "ranges")
     part = F.shiftright("_id", 33)
     counts = {r.part: r.n for r in ranged.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}
     bases, at = [], 0
@@ -22,3 +27,26 @@ def with_position(df: DataFrame, order: list[Column], name: str = "position") ->
         at += counts.get(k, 0)
     base = F.element_at(F.array(*[F.lit(b).cast("long") for b in bases or [0]]), part.cast("int") + 1)
     return ranged.withColumn(name, base + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_id")
+
+
+def running(df: DataFrame, keys: list[str], order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """Add running sums, each row's own value included, within ``keys`` in a total, ascending order.
+
+    Rows are dealt by ranges of keys and order and written once with their range,
+    so a key of any size is spread. Sums run within a range; what the ranges
+    before it hold of a key, a row for each range and key, is added.
+    """
+    values = {f"_v{i}": c for i, c in enumerate(sums.values())}
+    marks = {f"_o{i}": c for i, c in enumerate(order)}
+    rows = df.withColumns(values | marks).repartitionByRange(*keys, *marks).withColumn("_range", F.spark_partition_id())
+    rows = staging.settle(rows, "ranges")
+    totals = rows.groupBy(*keys, "_range").agg(*[F.sum(v).alias(f"_t{v}") for v in values])
+    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_range").alias("_r"), *[F.coalesce(F.sum(f"_t{v}").over(before), F.lit(0)).alias(f"_b{v}") for v in values])
+    inside = Window.partitionBy(*keys, "_range").orderBy(*marks).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({f"_s{v}": F.sum(v).over(inside) for v in values})
+    same = F.col("_range") == F.col("_r")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    joined = rows.join(bases, same)
+    return joined.select(*df.columns, *[(F.col(f"_s{v}") + F.col(f"_b{v}")).alias(n) for n, v in zip(sums, values)])

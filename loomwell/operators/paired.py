@@ -74,16 +74,21 @@ def friedman(scores: DataFrame, families: DataFrame, value: str) -> DataFrame:
 
 
 def wilcoxon(scores: DataFrame, pair_rows: DataFrame, value: str) -> DataFrame:
-    """Exact signed-rank test of each pair: n (differences that are not zero), rank sums, two-sided p value.
+    """Signed-rank test of each pair: n (differences that are not zero), rank sums, two-sided p value.
 
-    A pair's ranks are gathered in one row: one for each block of the design.
+    A pair's ranks are gathered as counts of the different ones, of which there
+    are no more than different sizes of a difference. The p value is exact up to
+    the bound of ``stats.rank_tail``.
     """
     l = scores.select(F.col("condition").alias("left"), "block", F.col(value).alias("vl"))
     r = scores.select(F.col("condition").alias("right"), "block", F.col(value).alias("vr"))
     rows = F.broadcast(pair_rows).join(l, "left").join(r, ["right", "block"]).withColumn("d", F.col("vl") - F.col("vr"))
     keys = ["family", "ord_l", "left", "ord_r", "right"]
-    some = average_ranks(rows.filter("d <> 0").withColumn("size", F.abs("d")), keys, "size").withColumn("twice", (F.col("rank") * 2).cast("long"))
-    got = some.groupBy(*keys).agg(F.array_sort(F.collect_list("twice")).alias("ranks"), F.sum(F.when(F.col("d") > 0, F.col("twice")).otherwise(0)).alias("plus"))
-    out = F.broadcast(pair_rows).join(got, keys, "left").withColumn("ranks", F.coalesce("ranks", F.array().cast("array<bigint>"))).withColumn("plus", F.coalesce("plus", F.lit(0).cast("long")))
-    total = F.aggregate("ranks", F.lit(0).cast("long"), lambda s, x: s + x)
-    return out.select(*keys, F.size("ranks").cast("long").alias("n"), (F.col("plus") / 2).alias("w_plus"), ((total - F.col("plus")) / 2).alias("w_minus"), stats.signed_rank_tail(F.col("ranks"), F.col("plus")).alias("p_value"))
+    sizes = rows.filter("d <> 0").groupBy(*keys, F.abs("d").alias("size")).agg(F.count("*").alias("n"), F.count_if(F.col("d") > 0).alias("n_plus"))
+    before = F.sum("n").over(Window.partitionBy(*keys).orderBy("size")) - F.col("n")
+    twice = sizes.withColumn("rank", 2 * before + F.col("n") + 1)  # twice the mean of the ranks that share a size
+    got = twice.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rank", "n"))).alias("ranks"), F.sum("n").alias("n"), F.sum(F.col("rank") * F.col("n_plus")).alias("plus"), F.sum(F.col("rank") * F.col("n")).alias("total"))
+    zero = F.lit(0).cast("long")
+    out = F.broadcast(pair_rows).join(got, keys, "left").withColumn("ranks", F.coalesce("ranks", F.array().cast("array<struct<rank:bigint,n:bigint>>")))
+    n, plus, total = (F.coalesce(c, zero) for c in ("n", "plus", "total"))
+    return out.select(*keys, n.alias("n"), (plus / 2).alias("w_plus"), ((total - plus) / 2).alias("w_minus"), stats.signed_rank_tail(F.col("ranks"), plus).alias("p_value"))

@@ -9,16 +9,35 @@ from loomwell.functions import stats
 from loomwell.functions import text as t
 from loomwell.functions import vectors as v
 
-QUERY_BLOCK = 2048
+QUERY_BYTES, QUERY_BLOCK = 64 << 20, 2048  # of query vectors that are shipped at once, and rows of a product
 
 
-def top_k(corpus: DataFrame, queries: DataFrame, k: int, *, id_col: str = "vec_id", vector_col: str = "embedding", exclude_self: bool = False) -> DataFrame:
+def _best(s, i, k: int):
+    """The k best columns of each row of scores ``s`` with ids ``i``, best first, ties by id."""
+    import numpy as np
+
+    n = s.shape[1]
+    if n > 4 * k:
+        part = np.argpartition(-s, k - 1, axis=1)[:, :k]
+        top = np.take_along_axis(s, part, 1)
+        own = np.take_along_axis(i, part, 1)
+        least = top.min(1)
+        for r in np.flatnonzero((s >= least[:, None]).sum(1) > k):  # a tie at the end: the least ids stay
+            order = np.lexsort((i[r], -s[r]))[:k]
+            top[r], own[r] = s[r, order], i[r, order]
+        s, i = top, own
+    order = np.lexsort((i, -s), axis=1)[:, :k]
+    return np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+
+
+def top_k(corpus: DataFrame, queries: DataFrame, k: int, *, id_col: str = "vec_id", vector_col: str = "embedding", exclude_self: bool = False, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """query_id, rank, id, score: the ``k`` nearest by cosine for every query, ties by id.
 
-    Both sides are normalised; unusable vectors take no part. Queries go in
-    blocks of 2048, so what is shipped to the tasks is bounded; each task keeps
-    k rows for each query of what it has seen (block products in numpy), and the
-    partial results meet in one window over few rows.
+    Both sides are normalised; unusable vectors take no part, and vectors of
+    different lengths are an error. Queries are shipped to the tasks in parts of
+    at most ``query_bytes``, each with one scan of the corpus; a task keeps k rows
+    for each query of what it has seen (block products in numpy), and the partial
+    results meet in one window over few rows.
     """
     spark = corpus.sparkSession
     asked = queries.filter(v.is_usable(F.col(vector_col))).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
@@ -32,18 +51,25 @@ def top_k(corpus: DataFrame, queries: DataFrame, k: int, *, id_col: str = "vec_i
             ids, q = shared.value
             best_s = np.empty((len(ids), 0))
             best_i = np.empty((len(ids), 0), np.int64)
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                x = b.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-                x = x / np.linalg.norm(x, axis=1, keepdims=True)
-                own = b.column("id").to_numpy()
-                s = q @ x.T
-                if exclude_self:
-                    s[ids[:, None] == own[None, :]] = -np.inf
-                s, i = np.concatenate([best_s, s], axis=1), np.concatenate([best_i, np.broadcast_to(own, s.shape)], axis=1)
-                order = np.lexsort((i, -s), axis=1)[:, :k]
-                best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+            for whole in batches:
+                for at in range(0, whole.num_rows, QUERY_BLOCK):
+                    b = whole.slice(at, QUERY_BLOCK)
+                    flat = b.column("vector").flatten().to_numpy(zero_copy_only=False)
+                    if len(flat) != b.num_rows * q.shape[1] or b.column("vector").value_lengths().to_numpy(zero_copy_only=False).min() != q.shape[1]:
+                        raise ValueError(f"vectors and queries differ in length; the queries have {q.shape[1]}")
+                    x = flat.reshape(b.num_rows, -1)
+                    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+                    own = b.column("id").to_numpy()
+                    new_s, new_i = [], []
+                    for j in range(0, len(ids), QUERY_BLOCK):
+                        s = q[j:j + QUERY_BLOCK] @ x.T
+                        if exclude_self:
+                            s[ids[j:j + QUERY_BLOCK, None] == own[None, :]] = -np.inf
+                        i = np.broadcast_to(own, s.shape)
+                        s, i = _best(np.concatenate([best_s[j:j + QUERY_BLOCK], s], axis=1), np.concatenate([best_i[j:j + QUERY_BLOCK], i], axis=1), k)
+                        new_s.append(s)
+                        new_i.append(i)
+                    best_s, best_i = np.concatenate(new_s), np.concatenate(new_i)
             n = best_s.shape[1]
             if n:
                 fine = np.isfinite(best_s.ravel())
@@ -53,21 +79,23 @@ def top_k(corpus: DataFrame, queries: DataFrame, k: int, *, id_col: str = "vec_i
 
     import numpy as np
 
+    total, dims, least = asked.agg(F.count("*"), F.max(F.size("vector")), F.min(F.size("vector"))).first()
+    if not total:
+        return spark.createDataFrame([], "query_id long, rank int, id long, score double")
+    if dims != least:
+        raise ValueError(f"queries have from {least} to {dims} components")
     out = None
-    # Blocks of queries, by a numbering that needs no order of the corpus.
-    total = asked.count()
-    blocks = max(1, -(-total // QUERY_BLOCK))
-    for n in range(blocks):
-        part = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == n)
-        got = part.orderBy("id").collect()
-        if not got:
+    # Parts of the queries, by a numbering that needs no order of them.
+    parts = -(-total * dims * 8 // query_bytes)
+    for n in range(parts):
+        part = asked if parts == 1 else asked.filter(F.pmod(F.xxhash64("id"), F.lit(parts)) == n)
+        got = part.toArrow()
+        if not got.num_rows:
             continue
-        m = np.array([r.vector for r in got])
-        shared = spark.sparkContext.broadcast((np.array([r.id for r in got], np.int64), m / np.linalg.norm(m, axis=1, keepdims=True)))
+        m = got.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+        shared = spark.sparkContext.broadcast((got.column("id").to_numpy(), m / np.linalg.norm(m, axis=1, keepdims=True)))
         found = rows.mapInArrow(search(shared), "query_id long, id long, score double")
         out = found if out is None else out.union(found)
-    if out is None:
-        return spark.createDataFrame([], "query_id long, rank int, id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
@@ -84,9 +112,10 @@ def top_k_one(corpus: DataFrame, query: list[float], k: int, *, id_col: str = "v
 
 
 def candidates(found: DataFrame, texts: DataFrame, config_id: str, *, text_id: str = "doc_id") -> DataFrame:
-    """Search results with the identity and size of what they point to."""
+    """Search results with the identity and size of what they point to; a result without a text is an error."""
     body = texts.select(F.col(text_id).alias("id"), "text")
-    rows = found.join(body, "id")
+    missing = F.raise_error(F.concat(F.lit("a result has no text: "), F.col("id").cast("string")))
+    rows = found.join(body, "id", "left").withColumn("text", F.when(F.col("text").isNull(), missing).otherwise(F.col("text")))
     return rows.select(
         "query_id", "rank", "id", "score", t.pair_id(F.lit(config_id), F.col("query_id").cast("string"), F.col("id").cast("string")).alias("judgement_id"),
         t.fingerprint(F.col("text")).alias("text_sha256"), t.char_count(F.col("text")).cast("long").alias("character_count"), t.word_count(F.col("text")).cast("long").alias("token_count"),
@@ -170,6 +199,19 @@ def carry_over(pool: DataFrame, prior: DataFrame, prior_depth: int, fields: list
     return rows.select(*pool.columns, status.alias("status"), F.when(known & same, F.col("grade")).alias("grade"))
 
 
+def expand_pool(corpus: DataFrame, queries: DataFrame, prior: DataFrame, prior_depth: int, depth: int, **columns) -> DataFrame:
+    """query_id, rank, id, score, grade: the pool of a search at a greater depth, with the grades of the judged one.
+
+    ``prior`` has query_id, rank, id, score, grade of the first ``prior_depth``
+    results. A row of it that the deeper search does not give at the same rank
+    with the same score, or lacks, is an error.
+    """
+    deep = top_k(corpus, queries, depth, exclude_self=True, **columns).withColumn("score", F.round("score", 9))
+    rows = carry_over(deep, prior.withColumn("score", F.round("score", 9)), prior_depth, ["rank", "score"])
+    changed = F.raise_error(F.concat(F.lit("the judged pool has changed at query "), F.col("query_id").cast("string"), F.lit(", rank "), F.col("rank").cast("string")))
+    return rows.withColumn("grade", F.when(F.col("status").isin("mismatch", "missing"), changed).otherwise(F.col("grade"))).drop("status")
+
+
 def next_ungraded(judgements: DataFrame) -> DataFrame:
     """Where an annotator goes on: the first ungraded identity, and how far the work is."""
     return judgements.agg(F.count("*").alias("total"), F.count("relevance_grade").alias("graded"), F.min(F.when(F.col("relevance_grade").isNull(), F.col("judgement_id"))).alias("next_judgement_id"))
@@ -195,17 +237,3 @@ class Retriever:
             raise ValueError("no embedding client was given")
         (vector,) = self.embed([text])
         return top_k_one(self.corpus, list(vector), self.depth, id_col=self.id_col, vector_col=self.vector_col)
-
-
-def hash_embedder(dims: int = 16):
-    """A deterministic stand-in for an embedding service: digits of the text's hash."""
-    import hashlib
-
-    def embed(texts: list[str]) -> list[list[float]]:
-        out = []
-        for x in texts:
-            d = hashlib.sha256(x.encode()).digest()
-            out.append([1.0, *((d[i % 32] + 1) / 256 for i in range(dims - 1))])
-        return out
-
-    return embed

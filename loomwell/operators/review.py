@@ -25,6 +25,11 @@ def score_rules() -> dict[str, Column]:
     }
 
 
+def completion(content: Column, refusal: Column) -> Column:
+    """How a response has ended: with an answer, with a refusal instead of one, or with neither."""
+    return F.when(F.char_length(F.coalesce(content, F.lit(""))) > 0, "completed").when(F.char_length(F.coalesce(refusal.cast("string"), F.lit(""))) > 0, "refused").otherwise("empty")
+
+
 def condition_summary(scores: DataFrame, z: float = stats.Z_EXACT) -> DataFrame:
     """For each condition: n, correct, accuracy with its interval, completed, unsupported. Empty responses count as incorrect."""
     rows = scores.groupBy("condition").agg(F.count("*").alias("n"), F.count_if(F.col("correct") == 1).alias("n_correct"), F.count_if(~F.col("is_empty")).alias("n_completed"), F.count_if(F.col("unsupported") == 1).alias("n_unsupported"))

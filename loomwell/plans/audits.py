@@ -5,18 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwell.functions import money
 from loomwell.functions import text as t
-from loomwell.operators import audit
+from loomwell.operators import audit, review
 from loomwell.plans.catalog import query, table
 from loomwell.streaming import resumable
 
-_TURNS = """c AS (SELECT role, conv_id, turn, text, length(text) AS characters, len(regexp_extract_all(text, '\\S+')) AS words, CASE WHEN length(text) = 0 THEN 'empty' WHEN regexp_matches(text, '(?i)^(sorry|i cannot|i can''t)') THEN 'refused' ELSE 'completed' END AS status FROM conversations)"""
+_TURNS = """c AS (SELECT role, conv_id, turn, text, length(text) AS characters, len(regexp_extract_all(text, '\\S+')) AS words, CASE WHEN regexp_matches(text, '(?i)^(sorry|i cannot|i can''t)') THEN 'refused' WHEN length(text) > 0 THEN 'completed' ELSE 'empty' END AS status FROM conversations)"""
 
 
 def turns(spark, sf_dir) -> DataFrame:
     """Turns with their sizes and completion; the text goes once it is measured."""
     text = F.col("text")
-    status = F.when(F.char_length(text) == 0, "empty").when(text.rlike("(?i)^(sorry|i cannot|i can't)"), "refused").otherwise("completed")
+    refusal = F.when(text.rlike("(?i)^(sorry|i cannot|i can't)"), text)  # these logs have no field of its own for it
+    status = review.completion(F.when(refusal.isNull(), text), refusal)
     return table(spark, sf_dir, "conversations").select("role", "conv_id", "turn", F.char_length(text).alias("characters"), t.word_count(text).alias("words"), status.alias("status"))
 
 
@@ -59,18 +61,18 @@ def coverage_topn(spark, sf_dir):
     return audit.coverage(table(spark, sf_dir, "documents"), "source").withColumn("percent", F.round("percent", 6))
 
 
-@query("""WITH r AS (SELECT doc_id, crc32_b, h FROM (SELECT doc_id, 0 AS crc32_b, sha256('{"doc_id":' || doc_id || ',"lang":"' || lang || '","n_chars":' || n_chars || '}') AS h FROM documents))
-SELECT count(*) AS n, sha256(sha256(string_agg(h, chr(10) ORDER BY doc_id))) AS digest FROM r""")
+@query(f"""WITH r AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS place, sha256('{{"doc_id":' || doc_id || ',"lang":"' || lang || '","n_chars":' || n_chars || '}}') AS h FROM documents),
+b AS (SELECT place // {audit.HASHED_ROWS} AS run, count(*) AS n, sha256(string_agg(h, chr(10) ORDER BY place)) AS h FROM r GROUP BY 1) SELECT sum(n)::BIGINT AS n, sha256(string_agg(h, chr(10) ORDER BY run)) AS digest FROM b""")
 def projection_hash(spark, sf_dir):
-    """With one bucket, as the oracle has no bucket function in common; many buckets in production."""
-    return audit.projection_hash(table(spark, sf_dir, "documents"), ["doc_id"], ["doc_id", "lang", "n_chars"], buckets=1)
+    return audit.projection_hash(table(spark, sf_dir, "documents"), ["doc_id"], ["doc_id", "lang", "n_chars"])
 
 
-@query("""WITH a AS (SELECT source, lang FROM documents WHERE doc_id % 2 = 0), b AS (SELECT source, lang FROM documents WHERE doc_id % 3 = 0),
+@query("""WITH a AS (SELECT source, lang FROM documents SEMI JOIN labels USING (doc_id)), b AS (SELECT source, lang FROM documents ANTI JOIN labels USING (doc_id)),
 d AS (SELECT source, lang, sum(k)::BIGINT AS d FROM (SELECT *, 1 AS k FROM a UNION ALL SELECT *, -1 FROM b) GROUP BY ALL) SELECT source, lang, CASE WHEN d > 0 THEN 'left' ELSE 'right' END AS side, abs(d) AS n FROM d WHERE d <> 0""")
 def set_equality_audit(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return audit.multiset_difference(docs.filter("doc_id % 2 = 0").select("source", "lang"), docs.filter("doc_id % 3 = 0").select("source", "lang"))
+    """Whether documents with and without a label are alike in source and language, each as often."""
+    docs, known = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id")
+    return audit.multiset_difference(docs.join(known, "doc_id", "left_semi").select("source", "lang"), docs.join(known, "doc_id", "left_anti").select("source", "lang"))
 
 
 @query("SELECT conv_id, count(*) AS turns, max(turn) AS last, max(turn) + 1 = count(*) AND min(turn) = 0 AS contiguous FROM conversations GROUP BY conv_id")
@@ -96,11 +98,35 @@ def question_audit(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", t.fingerprint(text).alias("text_sha256"), t.word_count(text).cast("long").alias("words"), t.char_count(text).alias("characters"), (text != "").alias("has_text"))
 
 
-@query("""WITH d AS (SELECT ps_suppkey, count(*) AS n FROM (SELECT l_suppkey AS ps_suppkey FROM lineitem) GROUP BY ALL) SELECT (l_discount = 0) AS flat, (l_tax = 0) AS untaxed, count(*) AS n FROM lineitem GROUP BY ALL""")
+@query("""WITH q AS (SELECT item_id // 10 AS chapter, regexp_matches(text, '[0-9]') AS has_figures, contains(text, chr(10)) AS has_lines, len(regexp_extract_all(text, '\\S+')) AS words FROM benchmark)
+SELECT 'chapter' AS kind, chapter::VARCHAR AS value, count(*) AS n FROM q GROUP BY ALL UNION ALL SELECT 'has_figures', has_figures::VARCHAR, count(*) FROM q GROUP BY ALL UNION ALL SELECT 'has_lines', has_lines::VARCHAR, count(*) FROM q GROUP BY ALL
+UNION ALL SELECT 'shorter_than_20_words', (words < 20)::VARCHAR, count(*) FROM q GROUP BY ALL""")
+def question_histogram(spark, sf_dir):
+    """Questions by chapter (ten ids each), by two yes-no marks, and those that differ from the usual length."""
+    text = F.col("text")
+    marks = {"chapter": F.floor(F.col("item_id") / 10).cast("string"), "has_figures": text.rlike("[0-9]").cast("string"), "has_lines": F.contains(text, F.lit("\n")).cast("string"), "shorter_than_20_words": (t.word_count(text) < 20).cast("string")}
+    long = table(spark, sf_dir, "benchmark").select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("value")) for k, c in marks.items()])).alias("x"))
+    return long.groupBy("x.kind", "x.value").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT l_discount, l_tax, l_linestatus AS mode, count(*) AS n FROM lineitem GROUP BY ALL""")
 def orientation_counts(spark, sf_dir):
-    """Counts by a structured key of two values that are compared exactly."""
-    rows = table(spark, sf_dir, "lineitem").groupBy(F.struct((F.col("l_discount") == 0).alias("flat"), (F.col("l_tax") == 0).alias("untaxed")).alias("key")).agg(F.count("*").alias("n"))
-    return rows.select("key.flat", "key.untaxed", "n")
+    """Counts by a structured key of two floating-point numbers, compared exactly, and a mode."""
+    key = F.struct("l_discount", "l_tax", F.col("l_linestatus").alias("mode"))
+    return table(spark, sf_dir, "lineitem").groupBy(key.alias("key")).agg(F.count("*").alias("n")).select("key.l_discount", "key.l_tax", "key.mode", "n")
+
+
+_PRICES = [("small", "0.02"), ("large", "0.13")]  # fixed values: rates of embedding per million tokens
+
+
+@query("""WITH w AS (SELECT sum(length(text))::BIGINT AS characters, sum(len(regexp_extract_all(text, '\\S+')))::BIGINT AS tokens FROM documents) SELECT model, characters, tokens, round(characters::DOUBLE / tokens, 6) AS characters_per_token, tokens * units AS cost_units FROM w, (VALUES ('small', 2), ('large', 13)) p(model, units)""")
+def embedding_cost(spark, sf_dir):
+    """Characters of a token on average, and what the corpus costs at each price, in hundred-millionths."""
+    sums = table(spark, sf_dir, "documents").agg(F.sum(t.char_count(F.col("text"))).alias("characters"), F.sum(t.word_count(F.col("text"))).alias("tokens"))
+    prices = spark.createDataFrame(_PRICES, "model string, rate string")
+    rows = sums.crossJoin(F.broadcast(prices))  # one row times the price list
+    cost = money.cost(F.col("tokens"), F.lit(0), F.col("rate"), F.lit("0"))
+    return rows.select("model", "characters", "tokens", F.round(F.col("characters") / F.col("tokens"), 6).alias("characters_per_token"), (cost * F.lit("100000000").cast("decimal(10,0)")).cast("long").alias("cost_units"))
 
 
 @query("SELECT date_trunc('hour', ts)::TIMESTAMP AS start, (date_trunc('hour', ts) + INTERVAL 1 HOUR)::TIMESTAMP AS \"end\", event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

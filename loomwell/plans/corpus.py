@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwell.functions import text as t
-from loomwell.operators import audit, chunking, cleaning, intervals, ordering
+from loomwell.operators import audit, chunking, cleaning, integrity, intervals, ordering, staging
 from loomwell.plans.catalog import query, table
 
 LICENSE = r"(?i)^.*(copyright|licen[sc]e|all rights reserved).*$"
@@ -48,7 +48,7 @@ def control_char_inventory(spark, sf_dir):
 
 
 @query("""SELECT source, sum(len(regexp_extract_all(text, chr(65533))))::BIGINT AS replacement_characters, sum(len(regexp_extract_all(text, '\\(cid:[0-9]+\\)')))::BIGINT AS cid_codes, sum(len(regexp_extract_all(text, '/H[0-9]+')))::BIGINT AS glyph_names,
-sum(len(regexp_extract_all(text, '\\x0c')))::BIGINT AS form_feeds, sum(len(regexp_extract_all(text, '[\\x00-\\x08\\x0b\\x0e-\\x1f\\x7f]')))::BIGINT AS control_characters FROM documents GROUP BY source""")
+sum(len(regexp_extract_all(text, '\\x0c')))::BIGINT AS form_feeds, sum(len(regexp_extract_all(text, '[\\x00-\\x08\\x0b\\x0e-\\x1f\\x7f-\\x{9f}]')))::BIGINT AS control_characters FROM documents GROUP BY source""")
 def anomaly_counts(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("source").agg(*[F.sum(c).alias(n) for n, c in t.anomalies(F.col("text")).items()])
 
@@ -182,7 +182,55 @@ def page_audit(spark, sf_dir):
     return got.withColumn("accounted", F.col("raw_lines") == F.col("cleaned_lines") + F.col("removed_lines"))
 
 
-@query(f"WITH {_LINES} SELECT count(DISTINCT doc_id) AS texts, 0::BIGINT AS different FROM c")
+@query(f"""WITH {_LINES}, p AS (SELECT doc_id, count(*) AS raw, count(*) FILTER (reason IS NULL) AS cleaned, coalesce(sum(length(line)) FILTER (reason IS NULL), 0) AS characters, count(*) FILTER (reason = 'running_header') AS headers, count(*) FILTER (reason = 'printed_page_number') AS numbers, count(*) FILTER (reason = 'copyright') AS copyrights FROM c GROUP BY doc_id)
+SELECT count(*) AS pages, sum(raw)::BIGINT AS raw_lines, sum(cleaned)::BIGINT AS cleaned_lines, sum(characters)::BIGINT AS cleaned_characters, count(*) FILTER (cleaned > 0) AS pages_with_text, count(*) FILTER (raw > 0 AND cleaned = 0) AS emptied_pages, min(doc_id) FILTER (raw > 0 AND cleaned = 0) AS first_emptied,
+sum(headers)::BIGINT AS running_header, sum(numbers)::BIGINT AS printed_page_number, sum(copyrights)::BIGINT AS copyright, sum(raw) = sum(cleaned) + sum(headers) + sum(numbers) + sum(copyrights) AS accounted FROM p""")
+def corpus_totals(spark, sf_dir):
+    """Totals of the whole corpus before and after cleaning, and the pages that cleaning has emptied."""
+    return cleaning.corpus_totals(classified(spark, sf_dir), "doc_id")
+
+
+@query(f"""WITH {_LINES}, t AS (SELECT DISTINCT regexp_replace(trim(string_split(text, chr(10))[1]), '\\s+', ' ', 'g') AS heading FROM documents SEMI JOIN labels USING (doc_id)),
+k AS (SELECT regexp_replace(trim(line), '\\s+', ' ', 'g') AS heading, CASE WHEN doc_id BETWEEN 0 AND 9 THEN 'contents' WHEN y0 < 40 THEN 'running_header' ELSE 'body' END AS class FROM c),
+n AS (SELECT heading, class, count(*) AS n FROM k JOIN t USING (heading) WHERE heading <> '' GROUP BY ALL), e AS (SELECT heading, 'running_header' AS class, count(*) AS expected FROM k JOIN t USING (heading) WHERE heading <> '' GROUP BY ALL)
+SELECT sha256(heading) AS heading_sha256, class, coalesce(n, 0) AS n, coalesce(expected, 0) AS expected, coalesce(n, 0) = coalesce(expected, 0) AS agrees FROM n FULL JOIN e USING (heading, class)""")
+def heading_counts(spark, sf_dir):
+    """First lines of labelled documents wherever they stand, by class, beside the expectation that all stand at the top."""
+    docs = table(spark, sf_dir, "documents")
+    clean = lambda c: F.regexp_replace(F.btrim(c), r"\s+", " ")
+    targets = docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi").select(clean(F.split("text", "\n", -1)[0]).alias("heading")).distinct()
+    lines = classified(spark, sf_dir).withColumn("heading", clean(F.col("line"))).filter("heading <> ''").join(targets, "heading", "left_semi")
+    lines = lines.select("heading", cleaning.heading_place(F.col("doc_id"), F.col("y0"), contents_pages=(0, 9)).alias("class"))
+    counts = lines.groupBy("heading", "class").agg(F.count("*").alias("n"))
+    expected = lines.groupBy("heading").agg(F.count("*").alias("n")).withColumn("class", F.lit("running_header"))
+    return integrity.compare_counts(counts, expected, ["heading", "class"]).select(t.fingerprint(F.col("heading")).alias("heading_sha256"), "class", "n", "expected", "agrees")
+
+
+@query("""WITH d AS (SELECT l_orderkey AS page, l_quantity AS y0, l_linenumber AS x0, row_number() OVER (ORDER BY l_orderkey, l_quantity, l_linenumber) - 1 AS place FROM lineitem) SELECT page, min(place) AS first, max(place) AS last, count(*) AS lines, max(place) - min(place) + 1 = count(*) AS together FROM d GROUP BY page""")
+def document_order(spark, sf_dir):
+    """Boxes numbered in reading order: by page, from top to bottom, from left to right."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_quantity").alias("y0"), F.col("l_linenumber").alias("x0"))
+    placed = ordering.with_position(rows, [F.col(c) for c in ("page", "y0", "x0")], "place")
+    return placed.groupBy("page").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.count("*").alias("lines"), (F.max("place") - F.min("place") + 1 == F.count("*")).alias("together"))
+
+
+@query("""SELECT l_orderkey AS page, l_linenumber AS line_number FROM lineitem WHERE l_quantity >= 10 AND l_quantity + 1 <= 30 AND l_discount * 100 >= 2 AND l_discount * 100 + l_tax * 100 <= 12""")
+def clipped_lines(spark, sf_dir):
+    """Boxes that lie within a rectangle of their page."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("line_number"), (F.col("l_discount") * 100).alias("x0"), F.col("l_quantity").alias("y0"), (F.col("l_discount") * 100 + F.col("l_tax") * 100).alias("x1"), (F.col("l_quantity") + 1).alias("y1"))
+    return cleaning.clip(rows, 2.0, 10.0, 12.0, 30.0).select("page", "line_number")
+
+
+@query("""WITH b AS (SELECT page_id, regexp_extract_all(html, '<h([1-6])>([^<]*)', 1) AS levels, regexp_extract_all(html, '<h([1-6])>([^<]*)', 2) AS titles FROM pages), u AS (SELECT page_id, unnest(levels)::INTEGER AS level, trim(unnest(titles)) AS title FROM b),
+k AS (SELECT substr(title, 1, 12) AS prefix, count(*) AS n, min(page_id) AS page_id FROM u WHERE level = 1 GROUP BY 1) SELECT prefix, CASE WHEN n = 1 THEN page_id END AS page_id, n AS entries, n = 1 AS found FROM k""")
+def bookmark_lookup(spark, sf_dir):
+    """Top-level headings of the pages as bookmarks, looked up by the beginnings of their titles: only a single entry is a hit."""
+    marks = cleaning.bookmarks(table(spark, sf_dir, "pages"))
+    wanted = marks.filter("level = 1").select(F.substring("title", 1, 12).alias("prefix")).distinct()
+    return cleaning.lookup_bookmarks(marks, wanted, 12)
+
+
+@query("SELECT count(*) AS texts, count(*) FILTER (array_to_string(string_split(text, chr(10)), chr(10)) IS DISTINCT FROM text) AS different FROM documents")
 def line_reconstruction(spark, sf_dir):
     """Lines joined again have to be the text they came from."""
     lines = cleaning.explode_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
@@ -241,17 +289,37 @@ def chunk_quarantine(spark, sf_dir):
     return rows.select("doc_id", F.size(F.filter("ls", lambda n: n > 200)).cast("long").alias("lines_too_long"), F.array_max("ls").alias("longest")).filter("lines_too_long > 0")
 
 
-@query("SELECT NULL::BIGINT AS doc_id, NULL::INTEGER AS chunk_index, NULL::VARCHAR AS violation WHERE false")
+_CHECKED = _chunks_sql(_WORDS, "' '") + """, v AS (SELECT *, lag(start) OVER w AS s, lag("end") OVER w AS e, lag(chunk_index) OVER w AS i0, lag(end_atom) OVER w AS a0 FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_index)),
+bad AS (SELECT doc_id, unnest([CASE WHEN i0 IS NULL AND start <> 0 THEN 'first_not_at_zero' END, CASE WHEN chunk_index <> coalesce(i0 + 1, 0) THEN 'index_not_consecutive' END, CASE WHEN start <= s THEN 'start_not_increasing' END, CASE WHEN start - e > 1 THEN 'gap' END, CASE WHEN first_atom > a0 THEN 'atom_not_covered' END,
+CASE WHEN e - start > {overlap} THEN 'overlap_too_long' END, CASE WHEN "end" - start <> length(chunk) THEN 'length_differs' END]) AS violation FROM v)
+SELECT (SELECT count(*) FROM t) AS chunks, k.violation, count(bad.violation) AS n FROM (SELECT unnest(['first_not_at_zero', 'index_not_consecutive', 'start_not_increasing', 'gap', 'atom_not_covered', 'overlap_too_long', 'length_differs']) AS violation) k LEFT JOIN bad USING (violation) GROUP BY k.violation"""
+
+
+def _checked(spark, sf_dir, overlap: int) -> DataFrame:
+    chunks = staging.settle(word_chunks(spark, sf_dir), "chunks")
+    found = chunking.violations(chunks, overlap=overlap).groupBy("violation").agg(F.count("*").alias("n"))
+    total = chunks.agg(F.count("*").alias("chunks"))
+    return cleaning.zero_filled(found, "violation", chunking.RULES).drop("ord").crossJoin(F.broadcast(total))  # one row
+
+
+@query(_CHECKED.format(overlap=10))
 def chunk_invariants(spark, sf_dir):
-    return chunking.violations(word_chunks(spark, sf_dir))
+    """How often chunks break each invariant of their sequence."""
+    return _checked(spark, sf_dir, 10)
+
+
+@query(_CHECKED.format(overlap=4))
+def chunk_invariants_strict(spark, sf_dir):
+    """The same held to a shorter overlap than the chunks were made with, so that there are breaches to find."""
+    return _checked(spark, sf_dir, 4)
 
 
 @query(_chunks_sql(_WORDS, "' '") + """, g AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id)
-SELECT (SELECT count(*) FROM t) AS chunks, (SELECT sum(n - 1)::BIGINT FROM g) AS adjacent_pairs, (SELECT max("end" - start) FROM t) AS longest, (SELECT sum("end" - start)::BIGINT FROM t) AS characters, max(n) AS most_in_a_parent, count(*) FILTER (n = 1) AS single_chunk_parents FROM g""")
+SELECT (SELECT count(*) FROM t) AS chunks, (SELECT sum(n - 1)::BIGINT FROM g) AS adjacent_pairs, (SELECT max("end" - start) FROM t) AS longest, (SELECT sum("end" - start)::BIGINT FROM t) AS characters, (SELECT count(*) FROM t WHERE regexp_matches(chunk, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]')) AS with_controls, max(n) AS most_in_a_parent, count(*) FILTER (n = 1) AS single_chunk_parents FROM g""")
 def chunk_audit(spark, sf_dir):
     chunks = word_chunks(spark, sf_dir)
-    one = chunks.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("end") - F.col("start")).alias("m"), F.sum(F.col("end") - F.col("start")).alias("c"))
-    return one.agg(F.sum("n").alias("chunks"), F.sum(F.col("n") - 1).alias("adjacent_pairs"), F.max("m").alias("longest"), F.sum("c").alias("characters"), F.max("n").alias("most_in_a_parent"), F.count_if(F.col("n") == 1).alias("single_chunk_parents"))
+    one = chunks.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("end") - F.col("start")).alias("m"), F.sum(F.col("end") - F.col("start")).alias("c"), F.count_if(t.has_control(F.col("chunk"))).alias("k"))
+    return one.agg(F.sum("n").alias("chunks"), F.sum(F.col("n") - 1).alias("adjacent_pairs"), F.max("m").alias("longest"), F.sum("c").alias("characters"), F.sum("k").alias("with_controls"), F.max("n").alias("most_in_a_parent"), F.count_if(F.col("n") == 1).alias("single_chunk_parents"))
 
 
 @query("""WITH w AS (SELECT len(regexp_extract_all(text, '\\S+')) AS n, text FROM documents) SELECT count(*) AS texts, min(n) AS least, median(n) AS median, quantile_disc(n, 0.95) AS p95, max(n) AS most, sum(n)::BIGINT AS total,

@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwell.functions import text as t
+from loomwell.operators import integrity, staging
 from loomwell.operators import retrieval as r
 from loomwell.plans.catalog import query, table
 
-QUESTIONS, POOL = 20, 30
+POOL, PRIOR, EVERY = 30, 20, 100  # queries are the vectors whose id is divisible by EVERY; a query's question is its id over EVERY
 DEPTHS = [1, 3, 5, 10, 15, 20, 25, 30]
 CONFIG = "retrieval-v1"
 
-_NORM = """n AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS e FROM embeddings),
-s AS (SELECT q.vec_id AS query_id, c.vec_id AS id, q.label AS ql, c.label AS cl, list_inner_product(q.e, c.e) AS score FROM n q JOIN n c ON q.vec_id <> c.vec_id WHERE q.vec_id < 20),
+_UNIT = "SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS e FROM embeddings"
+_FOUND = """s AS (SELECT q.vec_id AS query_id, c.vec_id AS id, q.label AS ql, c.label AS cl, list_inner_product(q.e, c.e) AS score FROM n q JOIN n c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
 f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)"""
+_NORM = f"n AS ({_UNIT}),\n{_FOUND}"
+_INDEXED = f"n AS ({_UNIT} WHERE vec_id IN (SELECT doc_id FROM documents)),\n{_FOUND}"
 
 
 def _pool(depth: int) -> str:
@@ -25,19 +28,36 @@ coalesce(length(d.text), 0) AS character_count, coalesce(len(regexp_extract_all(
 FROM f LEFT JOIN documents d ON d.doc_id = f.id WHERE f.rank <= {depth})"""
 
 
+def _search(rows: DataFrame, depth: int) -> DataFrame:
+    return r.top_k(rows, rows.filter(F.col("vec_id") % EVERY == 0), depth, exclude_self=True)
+
+
 def search(spark, sf_dir, depth: int = POOL) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings")
-    return r.top_k(rows, rows.filter(F.col("vec_id") < QUESTIONS), depth, exclude_self=True)
+    return _search(table(spark, sf_dir, "embeddings"), depth)
+
+
+def indexed_search(spark, sf_dir, depth: int = POOL) -> DataFrame:
+    """The same over the vectors that have a document."""
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"))
+    return _search(table(spark, sf_dir, "embeddings").join(texts, "vec_id", "left_semi"), depth)
+
+
+def candidates(spark, sf_dir) -> DataFrame:
+    return r.candidates(indexed_search(spark, sf_dir), table(spark, sf_dir, "documents"), CONFIG)
 
 
-def graded(spark, sf_dir, depth: int = POOL) -> DataFrame:
-    """Results with a derived grade: same label, and every third vector a direct answer."""
+def derived_grade():
+    """Same label: relevant, and every third vector a direct answer."""
+    return F.when(F.col("ql") == F.col("cl"), F.when(F.col("id") % 3 == 0, 2).otherwise(1)).otherwise(0)
+
+
+def graded(spark, sf_dir) -> DataFrame:
+    """Results of one search at the depth of the pool, with a derived grade."""
     labels = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("cl"))
     own = labels.select(F.col("id").alias("query_id"), F.col("cl").alias("ql"))
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    rows = search(spark, sf_dir, depth).join(labels, "id").join(own, "query_id").join(texts, "id", "left")
-    grade = F.when(F.col("ql") == F.col("cl"), F.when(F.col("id") % 3 == 0, 2).otherwise(1)).otherwise(0)
-    return rows.select("query_id", "rank", "id", "score", grade.alias("grade"), F.coalesce(t.char_count(F.col("text")), F.lit(0)).alias("character_count"), F.coalesce(t.word_count(F.col("text")), F.lit(0)).alias("token_count"))
+    rows = search(spark, sf_dir).join(labels, "id").join(own, "query_id").join(texts, "id", "left")
+    return rows.select("query_id", "rank", "id", "score", derived_grade().alias("grade"), F.coalesce(t.char_count(F.col("text")), F.lit(0)).alias("character_count"), F.coalesce(t.word_count(F.col("text")), F.lit(0)).alias("token_count"))
 
 
 @query(f"WITH {_NORM} SELECT query_id, rank::INTEGER AS rank, id AS vec_id, round(score, 6) AS score FROM f WHERE rank <= 30")
@@ -45,27 +65,27 @@ def vector_topk(spark, sf_dir):
     return search(spark, sf_dir).select("query_id", "rank", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {_NORM} SELECT rank::INTEGER AS rank, id AS vec_id, round(score, 6) AS score FROM f WHERE query_id = 7 AND rank <= 10")
+@query(f"WITH {_NORM} SELECT rank::INTEGER AS rank, id AS vec_id, round(score, 6) AS score FROM f WHERE query_id = 100 AND rank <= 10")
 def topk_single_query(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
-    (one,) = rows.filter("vec_id = 7").select("embedding").collect()
-    found = r.top_k_one(rows, list(one.embedding), 10, exclude=7)
+    (one,) = rows.filter("vec_id = 100").select("embedding").collect()
+    found = r.top_k_one(rows, list(one.embedding), 10, exclude=100)
     return found.groupBy().agg(F.collect_list(F.struct("score", "id")).alias("l")).select(F.posexplode(F.array_sort("l", lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).otherwise(F.when(a["id"] < b["id"], -1).otherwise(1)))).alias("i", "x")).select((F.col("i") + 1).alias("rank"), F.col("x.id").alias("vec_id"), F.round("x.score", 6).alias("score"))
 
 
-@query(f"""WITH {_NORM} SELECT query_id, rank::INTEGER AS rank, id, sha256(concat('{CONFIG}', chr(0), query_id, chr(0), id)) AS judgement_id, sha256(d.text) AS text_sha256,
+@query(f"""WITH {_INDEXED} SELECT query_id, rank::INTEGER AS rank, id, sha256(concat('{CONFIG}', chr(0), query_id, chr(0), id)) AS judgement_id, sha256(d.text) AS text_sha256,
 length(d.text)::BIGINT AS character_count, len(regexp_extract_all(d.text, '\\S+'))::BIGINT AS token_count FROM f JOIN documents d ON d.doc_id = f.id WHERE rank <= 30""")
 def ranked_candidates_join(spark, sf_dir):
-    return r.candidates(search(spark, sf_dir), table(spark, sf_dir, "documents"), CONFIG).drop("score")
+    return candidates(spark, sf_dir).drop("score")
 
 
-@query(f"""WITH {_NORM}, b AS (SELECT sha256(concat('{CONFIG}', chr(0), query_id, chr(0), id)) AS judgement_id, q.text AS query_text, d.text AS chunk_text
-FROM f JOIN documents d ON d.doc_id = f.id JOIN benchmark q ON q.item_id = f.query_id WHERE rank <= 30)
+@query(f"""WITH {_INDEXED}, b AS (SELECT sha256(concat('{CONFIG}', chr(0), query_id, chr(0), id)) AS judgement_id, q.text AS query_text, d.text AS chunk_text
+FROM f JOIN documents d ON d.doc_id = f.id JOIN benchmark q ON q.item_id = f.query_id // 100 WHERE rank <= 30)
 SELECT '{CONFIG}' AS configuration_id, judgement_id, query_text, chunk_text, NULL::INTEGER AS relevance_grade FROM b""")
 def blinded_judgements(spark, sf_dir):
-    rows = r.candidates(search(spark, sf_dir), table(spark, sf_dir, "documents"), CONFIG)
+    rows = candidates(spark, sf_dir)
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("chunk_text"))
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
+    asked = table(spark, sf_dir, "benchmark").select((F.col("item_id") * EVERY).alias("query_id"), F.col("text").alias("query_text"))
     return r.blinded(rows.join(texts, "id").join(asked, "query_id"), CONFIG)
 
 
@@ -124,20 +144,81 @@ def depth_selection_whole_pool(spark, sf_dir):
 _FIELDS = ["rank", "score", "character_count", "token_count"]
 
 
+def pools(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The pool of one search and what a shallower judged pool has of it: a prefix of every query."""
+    deep = staging.settle(graded(spark, sf_dir), "pool")
+    return deep, deep.filter(F.col("rank") <= PRIOR)
+
+
 @query(f"""WITH {_pool(30)} SELECT query_id, rank::INTEGER AS rank, id, CASE WHEN rank <= 20 THEN 'carried' ELSE 'new' END AS status, CASE WHEN rank <= 20 THEN grade END::INTEGER AS grade FROM p""")
 def judgement_carryover(spark, sf_dir):
-    deep = graded(spark, sf_dir, 30).withColumn("score", F.round("score", 9))
-    prior = graded(spark, sf_dir, 20).withColumn("score", F.round("score", 9))
-    return r.carry_over(deep.drop("grade"), prior, 20, _FIELDS).select("query_id", "rank", "id", "status", "grade")
+    deep, prior = pools(spark, sf_dir)
+    return r.carry_over(deep.drop("grade"), prior, PRIOR, _FIELDS).select("query_id", "rank", "id", "status", "grade")
+
+
+@query(f"""WITH {_pool(30)} SELECT query_id, rank::INTEGER AS rank, id, CASE WHEN rank <= 20 THEN grade END::INTEGER AS grade FROM p""")
+def pool_expansion(spark, sf_dir):
+    """A judged pool of 20 grown to 30 by a deeper search of the same queries, after its rows were found unchanged."""
+    _, prior = pools(spark, sf_dir)
+    rows = table(spark, sf_dir, "embeddings")
+    got = r.expand_pool(rows, rows.filter(F.col("vec_id") % EVERY == 0), prior, PRIOR, POOL)
+    return got.select("query_id", "rank", "id", "grade")
 
 
-@query(f"""WITH {_pool(30)} SELECT query_id, rank::INTEGER AS rank, id, CASE WHEN query_id % 5 = 3 THEN 'mismatch' ELSE 'missing' END AS status FROM p WHERE (query_id % 5 = 3 AND rank = 4) OR (query_id % 5 = 4 AND rank = 6)""")
+@query(f"""WITH {_pool(30)} SELECT query_id, rank::INTEGER AS rank, id, CASE WHEN rank = 4 THEN 'mismatch' ELSE 'missing' END AS status FROM p WHERE rank IN (4, 6)""")
 def prefix_mismatch(spark, sf_dir):
-    """A prior pool with a changed and a lost row for some queries: both have to be found."""
-    deep = graded(spark, sf_dir, 30).withColumn("score", F.round("score", 9))
-    prior = graded(spark, sf_dir, 20).withColumn("score", F.round("score", 9)).filter("NOT (query_id % 5 = 4 AND rank = 6)")
-    prior = prior.withColumn("token_count", F.when(F.expr("query_id % 5 = 3 AND rank = 4"), F.col("token_count") + 1).otherwise(F.col("token_count")))
-    return r.carry_over(deep.drop("grade"), prior, 20, _FIELDS).filter("status IN ('mismatch', 'missing')").select("query_id", "rank", "id", "status")
+    """A prior pool in which the fourth row of every query has changed and the sixth is lost: all have to be found."""
+    deep, prior = pools(spark, sf_dir)
+    prior = prior.filter("rank <> 6").withColumn("token_count", F.when(F.col("rank") == 4, F.col("token_count") + 1).otherwise(F.col("token_count")))
+    return r.carry_over(deep.drop("grade"), prior, PRIOR, _FIELDS).filter("status IN ('mismatch', 'missing')").select("query_id", "rank", "id", "status")
+
+
+@query(f"""WITH {_INDEXED}, x AS (SELECT *, lag(score) OVER (PARTITION BY query_id ORDER BY rank) < score AS rises FROM f WHERE rank <= 30)
+SELECT query_id, count(*) AS results, count(DISTINCT id) = 30 AND count(*) = 30 AS exactly_k, min(rank) = 1 AND max(rank) = count(*) AS contiguous, count(*) FILTER (rises) = 0 AS never_rises FROM x GROUP BY query_id""")
+def search_contract(spark, sf_dir):
+    """Exactly k results, ranks without a gap, scores that never rise."""
+    return integrity.search_contract(indexed_search(spark, sf_dir), POOL)
+
+
+@query(f"""WITH {_INDEXED} SELECT sha256(concat('{CONFIG}', chr(0), query_id, chr(0), id)) AS judgement_id, query_id, rank::INTEGER AS rank, CASE WHEN ql = cl THEN CASE WHEN id % 3 = 0 THEN 2 ELSE 1 END ELSE 0 END::INTEGER AS grade FROM f WHERE rank <= 30""")
+def graded_candidates(spark, sf_dir):
+    """Candidates joined with a table of judgements by their identity, one to one."""
+    labels = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("cl"))
+    own = labels.select(F.col("id").alias("query_id"), F.col("cl").alias("ql"))
+    found = staging.settle(candidates(spark, sf_dir), "candidates")
+    judged = found.select("judgement_id", "query_id", "id").join(labels, "id").join(own, "query_id").select("judgement_id", derived_grade().alias("grade"))
+    return integrity.with_grades(found, judged).select("judgement_id", "query_id", "rank", "grade")
+
+
+@query(f"""WITH {_NORM}, d AS (SELECT q.vec_id AS query_id, c.vec_id AS id, sqrt(list_sum(list_transform(list_zip(q.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS apart FROM n q JOIN n c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+g AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY apart, id) AS near FROM d)
+SELECT query_id, count(*) AS results, count(*) FILTER (near = rank) AS same_place FROM f JOIN g USING (query_id, id) WHERE rank <= 30 GROUP BY query_id""")
+def distance_ranking(spark, sf_dir):
+    """Vectors of length 1 have the same order by inner product and by Euclidean distance."""
+    from loomwell.functions import vectors as v
+
+    rows = table(spark, sf_dir, "embeddings").filter(v.is_usable(F.col("embedding"))).select(F.col("vec_id").alias("id"), v.normalise(F.col("embedding")).alias("e"))
+    found = staging.settle(search(spark, sf_dir), "found")
+    asked = rows.select(F.col("id").alias("query_id"), F.col("e").alias("q"))
+    apart = F.sqrt(F.aggregate(F.zip_with("e", "q", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    near = found.join(rows, "id").join(asked, "query_id").withColumn("apart", apart)
+    near = near.withColumn("near", F.row_number().over(Window.partitionBy("query_id").orderBy("apart", "id")))
+    return near.groupBy("query_id").agg(F.count("*").alias("results"), F.count_if(F.col("near") == F.col("rank")).alias("same_place"))
+
+
+_MAPPING = """c AS (SELECT doc_id AS index_position, 'doc:' || doc_id AS chunk_id, source AS source_id FROM documents),
+m AS (SELECT vec_id AS index_position, 'doc:' || vec_id AS chunk_id, 'src' || (vec_id % 20) AS source_id FROM embeddings)"""
+
+
+@query(f"""WITH {_MAPPING}, j AS (SELECT coalesce(c.index_position, m.index_position) AS index_position, CASE WHEN c.chunk_id IS NULL THEN 'no_chunk' WHEN m.chunk_id IS NULL THEN 'no_mapping' WHEN c.chunk_id <> m.chunk_id OR c.source_id IS DISTINCT FROM m.source_id THEN 'differs' ELSE 'equal' END AS status,
+CASE WHEN c.chunk_id <> m.chunk_id THEN 'chunk_id' WHEN c.chunk_id IS NOT NULL AND m.chunk_id IS NOT NULL AND c.source_id IS DISTINCT FROM m.source_id THEN 'source_id' END AS field FROM c FULL JOIN m USING (index_position))
+SELECT status, field, count(*) AS n, min(index_position) AS first, max(index_position) AS last FROM j GROUP BY ALL""")
+def mapping_verification(spark, sf_dir):
+    """The index, a vector at each place, against the documents that belong there."""
+    chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("index_position"), F.concat(F.lit("doc:"), "doc_id").alias("chunk_id"), F.col("source").alias("source_id"))
+    mapping = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("index_position"), F.concat(F.lit("doc:"), "vec_id").alias("chunk_id"), F.concat(F.lit("src"), (F.col("vec_id") % 20).cast("string")).alias("source_id"))
+    found = integrity.verify_mapping(chunks, mapping, "index_position", ["chunk_id", "source_id"])
+    return found.groupBy("status", "field").agg(F.count("*").alias("n"), F.min("index_position").alias("first"), F.max("index_position").alias("last"))
 
 
 @query(f"""WITH {_pool(30)}, j AS (SELECT sha256(concat('{CONFIG}', chr(0), query_id, chr(0), id)) AS judgement_id, CASE WHEN rank <= 20 THEN grade END AS g FROM p)

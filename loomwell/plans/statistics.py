@@ -1,17 +1,17 @@
 """Scores by condition and their paired comparison, over ``labels`` and ``documents``.
 
-Sources of documents stand for conditions: four of them in two families. A
-condition's labelled documents are numbered by their id, and blocks are the
-numbers that all conditions have.
+Sources of documents stand for conditions; four of them are compared in three
+families. A condition's labelled documents are numbered by their id, and blocks
+are the numbers that all conditions have.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwell.functions import stats
-from loomwell.operators import audit, paired, review
+from loomwell.operators import audit, integrity, ordering, paired, review, staging
 from loomwell.plans.catalog import query, table
 from loomwell.plans.retrieval import _WILSON
 
@@ -21,7 +21,7 @@ CATEGORIES = ["none", "toxic", "poor", "other"]
 
 _SCORES = """s0 AS (SELECT d.source AS condition, row_number() OVER (PARTITION BY d.source ORDER BY d.doc_id)::INTEGER AS block, l.quality AS correct, l.toxic AS unsupported, d.doc_id, d.lang, d.n_chars,
 least(2, d.n_chars // 1500)::INTEGER AS depth, CASE WHEN d.doc_id % 5 = 0 THEN NULL ELSE (d.doc_id % 3)::INTEGER END AS clarity, d.n_chars < 80 AS is_empty,
-CASE WHEN l.quality = 1 AND l.toxic = 0 THEN 'none' WHEN l.toxic = 1 THEN 'toxic' ELSE 'poor' END AS category FROM documents d JOIN labels l USING (doc_id) WHERE d.source IN ('src1', 'src2', 'src3', 'src4')),
+CASE WHEN l.quality = 1 AND l.toxic = 0 THEN 'none' WHEN l.toxic = 1 THEN 'toxic' ELSE 'poor' END AS category FROM documents d JOIN labels l USING (doc_id)),
 n0 AS (SELECT min(m) AS m FROM (SELECT condition, max(block) AS m FROM s0 GROUP BY condition)),
 s AS (SELECT s0.* FROM s0, n0 WHERE block <= m)"""
 _FAM = "fam(family, condition, ord) AS (VALUES " + ", ".join(f"('{f}', '{c}', {o})" for f, c, o in FAMILIES) + ")"
@@ -35,13 +35,19 @@ def families(spark) -> DataFrame:
     return spark.createDataFrame(FAMILIES, "family string, condition string, ord int")
 
 
-def scores(spark, sf_dir) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").filter(F.col("source").isin("src1", "src2", "src3", "src4"))
-    rows = docs.join(table(spark, sf_dir, "labels"), "doc_id")
+def all_scores(spark, sf_dir) -> DataFrame:
+    """Labelled documents of every source, numbered within it."""
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
     category = F.when((F.col("quality") == 1) & (F.col("toxic") == 0), "none").when(F.col("toxic") == 1, "toxic").otherwise("poor")
     rows = rows.select(
-        F.col("source").alias("condition"), F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("block"), F.col("quality").alias("correct"), F.col("toxic").alias("unsupported"), "doc_id", "lang", "n_chars",
+        F.col("source").alias("condition"), F.col("quality").alias("correct"), F.col("toxic").alias("unsupported"), "doc_id", "lang", "n_chars",
         F.least(F.lit(2), F.floor(F.col("n_chars") / 1500)).cast("int").alias("depth"), F.when(F.col("doc_id") % 5 != 0, (F.col("doc_id") % 3).cast("int")).alias("clarity"), (F.col("n_chars") < 80).alias("is_empty"), category.alias("category"))
+    return ordering.running(rows, ["condition"], [F.col("doc_id")], {"block": F.lit(1).cast("long")}).withColumn("block", F.col("block").cast("int"))
+
+
+def scores(spark, sf_dir) -> DataFrame:
+    """The blocks that every source has."""
+    rows = all_scores(spark, sf_dir)
     least = rows.groupBy("condition").agg(F.max("block").alias("m")).agg(F.min("m").alias("m"))
     return rows.join(F.broadcast(least), F.col("block") <= F.col("m")).drop("m")  # one row
 
@@ -87,9 +93,14 @@ def score_rule_violations(spark, sf_dir):
 _KEYS = 'family, ord_l, "left", ord_r, "right"'
 
 
+def chosen(spark, sf_dir) -> DataFrame:
+    """Scores of the conditions that are compared."""
+    return scores(spark, sf_dir).join(F.broadcast(families(spark).select("condition").distinct()), "condition", "left_semi")
+
+
 @query(f"WITH {_SCORES}, {_FAM}, {_PAIRS}, {_TABLES} SELECT {_KEYS}, n, \"both\", only_left, only_right, neither FROM tab")
 def paired_table(spark, sf_dir):
-    return paired.tables(scores(spark, sf_dir), paired.pairs(families(spark)))
+    return paired.tables(chosen(spark, sf_dir), paired.pairs(families(spark)))
 
 
 @query(f"WITH {_SCORES}, {_FAM}, {_PAIRS}, {_TABLES}, {_MCN} SELECT {_KEYS}, only_left, only_right, round(p_value, 9) AS p_value FROM mc")
@@ -172,22 +183,44 @@ def mean_score_pivot(spark, sf_dir):
     return long.groupBy("field").pivot("condition", ["src1", "src2", "src3", "src4"]).agg(F.round(F.avg("value"), 9))
 
 
-@query(f"""WITH {_SCORES}, c AS (SELECT condition, count(*) AS n, count(*) FILTER (category <> 'none') AS errors FROM s GROUP BY condition), e AS (SELECT condition, sum(k)::BIGINT AS listed FROM (SELECT condition, category, count(*) AS k FROM s WHERE category <> 'none' GROUP BY ALL) GROUP BY condition)
-SELECT condition, n, errors, coalesce(listed, 0) AS listed, errors = coalesce(listed, 0) AS agrees FROM c LEFT JOIN e USING (condition)""")
+@query(f"""WITH {_SCORES}, c AS (SELECT condition, count(*) AS n, count(*) FILTER (correct = 1) AS n_correct, count(*) FILTER (NOT is_empty) AS n_completed, count(*) FILTER (category <> 'none') AS errors FROM s GROUP BY condition), e AS (SELECT condition, sum(k)::BIGINT AS listed FROM (SELECT condition, category, count(*) AS k FROM s WHERE category <> 'none' GROUP BY ALL) GROUP BY condition)
+SELECT condition, n, errors, coalesce(listed, 0) AS listed, errors = coalesce(listed, 0) AS agrees, n_correct <= n_completed AND n_completed <= n AS in_bounds, round(n_correct::DOUBLE / n, 9) AS accuracy, round(n_completed::DOUBLE / n, 9) AS completion_rate FROM c LEFT JOIN e USING (condition)""")
 def publication_reconciliation(spark, sf_dir):
+    """Published counts and rates against one another: errors that are listed, correct within completed within all."""
     rows = scores(spark, sf_dir)
-    totals = rows.groupBy("condition").agg(F.count("*").alias("n"), F.count_if(F.col("category") != "none").alias("errors"))
+    totals = rows.groupBy("condition").agg(F.count("*").alias("n"), F.count_if(F.col("correct") == 1).alias("n_correct"), F.count_if(~F.col("is_empty")).alias("n_completed"), F.count_if(F.col("category") != "none").alias("errors"))
     listed = error_distribution(spark, sf_dir).filter("category <> 'none'").groupBy("condition").agg(F.sum("n").alias("listed"))
-    return totals.join(listed, "condition", "left").select("condition", "n", "errors", F.coalesce("listed", F.lit(0).cast("long")).alias("listed"), (F.col("errors") == F.coalesce("listed", F.lit(0))).alias("agrees"))
+    both = totals.join(listed, "condition", "left").withColumn("listed", F.coalesce("listed", F.lit(0).cast("long")))
+    rate = lambda c: F.round(F.col(c) / F.col("n"), 9)
+    return both.select("condition", "n", "errors", "listed", (F.col("errors") == F.col("listed")).alias("agrees"), ((F.col("n_correct") <= F.col("n_completed")) & (F.col("n_completed") <= F.col("n"))).alias("in_bounds"), rate("n_correct").alias("accuracy"), rate("n_completed").alias("completion_rate"))
 
 
-@query(f"""WITH {_SCORES} SELECT b.block, c.condition FROM (SELECT DISTINCT block FROM s) b CROSS JOIN (SELECT DISTINCT condition FROM s) c WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.block = b.block AND s.condition = c.condition AND s.doc_id % 4 <> 0)""")
+@query(f"""WITH {_SCORES} SELECT b.block, c.condition FROM (SELECT DISTINCT block FROM s0) b CROSS JOIN (SELECT DISTINCT condition FROM s0) c WHERE NOT EXISTS (SELECT 1 FROM s0 WHERE s0.block = b.block AND s0.condition = c.condition)""")
 def matrix_completeness(spark, sf_dir):
-    """Cells of the design without a row, once a quarter of the rows is set aside."""
-    rows = scores(spark, sf_dir)
-    return audit.completeness(rows.select("block").distinct(), rows.select("condition").distinct(), rows.filter("doc_id % 4 <> 0"), ["block", "condition"])
+    """Cells of the design without a row: numbers that some sources have and others don't."""
+    rows = all_scores(spark, sf_dir)
+    return audit.completeness(rows.select("block").distinct(), rows.select("condition").distinct(), rows, ["block", "condition"])
+
+
+@query(f"""WITH {_SCORES}, o AS (SELECT s.*, row_number() OVER (PARTITION BY block ORDER BY sha256(concat('seed-1', chr(31), block, chr(31), condition)), condition) AS place FROM s WHERE condition IN ('src1', 'src2', 'src3', 'src4'))
+SELECT block, substr('ABCDEFG', place, 1) AS label, condition, correct FROM o""")
+def label_mapping(spark, sf_dir):
+    """A scoring sheet knows groups and labels only; the mapping says which condition a label stands for."""
+    order = review.labelled_order(chosen(spark, sf_dir), "block", "condition", "seed-1")
+    order = staging.settle(order.select("block", "condition", "label", "correct"), "labels")
+    return integrity.by_label(order.select("block", "label", "correct"), order.select("block", "label", "condition"), "block").select("block", "label", "condition", "correct")
+
+
+@query(f"""WITH {_SCORES}, u AS (SELECT condition, 'depth' AS field, depth AS value FROM s UNION ALL SELECT condition, 'clarity', clarity FROM s),
+c AS (SELECT field, condition, count(*) AS n, avg(value) AS mean, count(*) FILTER (value = 0) AS n_0, count(*) FILTER (value = 1) AS n_1, count(*) FILTER (value = 2) AS n_2 FROM u WHERE value IS NOT NULL GROUP BY ALL)
+SELECT field, condition, n, n_0 + n_1 + n_2 = n AS adds_up, abs(mean - (n_1 + 2 * n_2)::DOUBLE / n) < 1e-9 AS mean_agrees FROM c""")
+def score_counts_reconciled(spark, sf_dir):
+    """Counts of the scores 0, 1, 2 have to add up to n and give the mean."""
+    got = review.secondary_summary(scores(spark, sf_dir), ["depth", "clarity"])
+    adds = F.col("n_0") + F.col("n_1") + F.col("n_2") == F.col("n")
+    return got.select("field", "condition", "n", adds.alias("adds_up"), (F.abs(F.col("mean") - (F.col("n_1") + 2 * F.col("n_2")) / F.col("n")) < 1e-9).alias("mean_agrees"))
 
 
-@query(f"""WITH {_SCORES}, o AS (SELECT block, condition, row_number() OVER (PARTITION BY block ORDER BY sha256(concat('seed-1', chr(31), block, chr(31), condition)), condition) AS place FROM s) SELECT block, condition, place::INTEGER AS place, substr('ABCDEFG', place, 1) AS label FROM o""")
+@query(f"""WITH {_SCORES}, o AS (SELECT block, condition, row_number() OVER (PARTITION BY block ORDER BY sha256(concat('seed-1', chr(31), block, chr(31), condition)), condition) AS place FROM s WHERE condition IN ('src1', 'src2', 'src3', 'src4')) SELECT block, condition, place::INTEGER AS place, substr('ABCDEFG', place, 1) AS label FROM o""")
 def grouped_shuffle(spark, sf_dir):
-    return review.labelled_order(scores(spark, sf_dir).select("block", "condition"), "block", "condition", "seed-1")
+    return review.labelled_order(chosen(spark, sf_dir).select("block", "condition"), "block", "condition", "seed-1")
