@@ -79,6 +79,19 @@ def with_prefix(df: DataFrame, keys: list[str], order: list[Column], *, weight:
     return out.select(*df.columns, (F.col(f"_{name}_run") + F.col(f"_{name}_base")).alias(name))
 
 
+#: Spark's own bounds of what goes to a Python worker at once, and smaller ones that hold whole documents on both sides of the pipe.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4m")}
+
+
+def map_batches(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow`` with smaller batches: settings of the session that are still Spark's own are replaced, any other stays."""
+    conf = df.sparkSession.conf
+    for name, (usual, own) in BATCHES.items():
+        if conf.get(name, usual) == usual:
+            conf.set(name, own)
+    return df.mapInArrow(run, schema)
+
+
 def task_id() -> int:
     """Number of the running task's partition."""
     from pyspark import TaskContext

@@ -18,11 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import pieces
+from . import _shared, pieces
 
 WINDOW, MEAN_BITS, LEAST, MOST = 16, 10, 128, 16384
 
 _CHUNKS: dict[tuple, dict] = {}
+pieces._ALSO.append(_CHUNKS.clear)
 
 
 def _gear():
@@ -192,7 +193,7 @@ def gathered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 route.append(min((h(raw[x:y]) for x, y in zip([0, *c], c)), default=0) - (1 << 63))
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("text"), pa.array(ends, pa.binary()), pa.array(route, pa.int64())], ["id", "text", "ends", "route"])
 
-    return rows.mapInArrow(cut, "id long, text string, ends binary, route long").hint("rebalance", F.col("route"))
+    return _shared.map_batches(rows, cut, "id long, text string, ends binary, route long").hint("rebalance", F.col("route"))
 
 
 def _encoded(batches, tokenizer: str):
@@ -217,7 +218,7 @@ def encode(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col:
         for ids, found, kind in _encoded(batches, tokenizer):
             yield pa.RecordBatch.from_arrays([ids, pa.array([np.frombuffer(x, kind).astype("<u4").tobytes() for x in found], pa.binary())], ["doc_id", "ids"])
 
-    return gathered(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids binary")
+    return _shared.map_batches(gathered(docs, id_col, text_col), run, "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
@@ -254,4 +255,4 @@ def digests(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return gathered(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _shared.map_batches(gathered(docs, id_col, text_col), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

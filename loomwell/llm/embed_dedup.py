@@ -85,7 +85,7 @@ def _assign(classes: DataFrame, centroids: dict, least: float) -> DataFrame:
                     ["label", "dims", "cell", "home", "id", "copies", "raw"],
                 )
 
-    return classes.select("label", "id", "copies", "vector").mapInArrow(run, "label long, dims int, cell int, home boolean, id long, copies long, raw binary")
+    return _shared.map_batches(classes.select("label", "id", "copies", "vector"), run, "label long, dims int, cell int, home boolean, id long, copies long, raw binary")
 
 
 def _compare(least: float):

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from . import pieces
+from . import _shared, pieces
 
 
 def fold(doc_id: Column, folds: int) -> Column:
@@ -48,9 +48,10 @@ def with_scores(docs: DataFrame, text_col: str, name: str, make) -> DataFrame:
     schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
 
     def run(batches):
+        pieces.release()
         own = make()
         for b in pieces.text_batches(batches, text_col):
             scores = pa.array(own([t or "" for t in b.column(text_col).to_pylist()]), pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns, scores], [*b.schema.names, name])
 
-    return docs.mapInArrow(run, schema)
+    return _shared.map_batches(docs, run, schema)

@@ -1,15 +1,22 @@
 """Near copies: all pairs of texts whose sets of word shingles have a Jaccard similarity of 4/5 or more.
 
-The search is exact (up to collisions of 64-bit hashes of shingles). Shingles are
-put into one order for all texts; two sets that are similar enough share one of
-their first n - ceil(4n/5) + 1 shingles, their prefixes, and at the first one they
-share enough must be left in either set. Texts that meet so are verified on the
-whole sets. Shingles that are frequent in a sample come last in the order, so
-that few texts meet in them; the sample decides the cost and never the result.
+Candidates come in two ways, and each is verified on the whole sets.
+
+SimHash fingerprints of the shingles that are equal or differ by two bits, found
+by the generalised pigeonhole of ``simhash``, bring most of what is nearly equal
+together. At a similarity of 4/5 fingerprints differ by ten bits and more, which
+no partition of 64 bits finds without comparing a fixed share of all pairs, so
+the rest comes from the shingles themselves: they are put into one order for all
+texts; two sets that are similar enough share one of their first
+n - ceil(4n/5) + 1 shingles, their prefixes, and at the first one they share
+enough must be left in either set. Shingles that are frequent in a sample come
+last in the order, so that few texts meet in them; the sample decides the cost
+and never the result. The search is exact up to collisions of 64-bit hashes.
 
 Texts with the same set are one class. In a first pass the classes of a shingle
-are compared with the least of them only; who is linked then is not compared
-again, so a large group of near copies is not verified pair by pair.
+are compared with one of them only; who is linked then is not compared again, so a large group of near copies is not verified pair by pair. Before sets
+are compared, bitmaps of the parities of their shingles are: two sets differ in
+at least as many shingles as their bitmaps in bits, so no similar pair is lost.
 """
 
 from __future__ import annotations
@@ -18,24 +25,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import _shared, pieces
+from . import _shared, pieces, simhash
 from .components import components
 
 SHINGLE, LEAST = 5, (4, 5)
-FREQUENT, SAMPLE = 20_000, 4000
+SHARE = 16  # one text of so many tells which shingles are frequent
+LATE_BITS = 26  # frequent shingles are marked in a bitmap of two to this power
+MARK_BITS = 2048
+
+
+def distinct(hashes):
+    """The different ones, ascending, as signed integers."""
+    import numpy as np
+
+    return np.unique(hashes.view(np.int64))
 
 
 def shingles(text: str, shingle: int = SHINGLE):
     """The different hashes of a text's shingles, ascending; a text of fewer words is one shingle, none has none."""
+    return distinct(simhash.hashes(text, shingle))
+
+
+def marks(found):
+    """A bit for each of MARK_BITS residues: whether an odd number of the hashes falls on it; as 64-bit integers."""
     import numpy as np
-    import xxhash
 
-    words = text.encode().lower().split()  # bytes: only A-Z, and only space and U+0009 to U+000D
-    if not words:
-        return np.empty(0, np.int64)
-    h = xxhash.xxh64_intdigest
-    parts = zip(*(words[i:] for i in range(shingle))) if len(words) > shingle else [words]
-    return np.unique(np.array([h(b" ".join(s), 42) for s in parts], np.uint64).view(np.int64))
+    odd = np.bincount((found & (MARK_BITS - 1)).astype(np.intp), minlength=MARK_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def _key(found) -> bytes:
@@ -54,44 +70,58 @@ def _sets(rows: DataFrame) -> DataFrame:
     def run(batches):
         for b in pieces.text_batches(batches, "text"):
             found = [shingles(t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([_key(f) for f in found], pa.binary()), pa.array([f for f in found], pa.list_(pa.int64()))], ["key", "found"])
+            yield pa.RecordBatch.from_arrays([pa.array([_key(f) for f in found], pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["key", "found"])
 
-    return rows.select("text").mapInArrow(run, "key binary, found array<long>")
+    return _shared.map_batches(rows.select("text"), run, "key binary, found array<long>")
 
 
 def frequent(rows: DataFrame):
-    """At most FREQUENT shingles that more than one text of a bounded sample has, the rarest first."""
+    """Which residues frequent shingles have: 2 ** LATE_BITS bits in 64-bit integers, 8 MB whatever the corpus."""
     import numpy as np
 
-    some = rows.select("h").distinct().orderBy(F.xxhash64("h"), "h").limit(SAMPLE)
-    counts = _sets(rows.join(F.broadcast(some), "h", "left_semi").dropDuplicates(["h"])).select(F.explode("found").alias("token")).groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
-    got = counts.orderBy(F.desc("n"), "token").limit(FREQUENT).collect()
-    return np.array([r.token for r in reversed(got)], np.int64)
+    some = rows.filter(F.pmod(F.xxhash64("h"), F.lit(SHARE)) == 0).dropDuplicates(["h"])
+    counts = _sets(some).select(F.explode("found").alias("token")).groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
+    at = F.col("token").bitwiseAND(F.lit((1 << LATE_BITS) - 1))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
+    got = counts.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(1 << (LATE_BITS - 6), np.int64)
+    out[got.column("word").to_numpy()] = got.column("bits").to_numpy()
+    return out
+
+
+def in_order(found, late):
+    """Hashes in the order of all texts: those that ``late`` marks last, else ascending."""
+    import numpy as np
+
+    at = found & ((1 << LATE_BITS) - 1)
+    return found[np.argsort(late[at >> 6] >> (at & 63) & 1, kind="stable")]
 
 
 def prefixes(rows: DataFrame, late) -> DataFrame:
-    """(doc_id, h, key, size, prefix): the first shingles in the order, ``late`` ones last."""
+    """(doc_id, h, key, size, fp, mark, prefix): fingerprint, bitmap and the first shingles in the order."""
     import numpy as np
 
     num, den = LEAST
-    order = np.argsort(late, kind="stable")
-    shared = rows.sparkSession.sparkContext.broadcast((late[order], order + 1))  # at most FREQUENT shingles
+    shared = rows.sparkSession.sparkContext.broadcast(late)  # of fixed size
 
     def run(batches):
-        names, ranks = shared.value
+        pieces.release()
         for b in pieces.text_batches(batches, "text"):
-            keys, sizes, firsts = [], [], []
+            keys, sizes, fps, bits, firsts = [], [], [], [], []
             for t in b.column("text").to_pylist():
-                f = shingles(t)
+                hashes = simhash.hashes(t, SHINGLE)
+                f = distinct(hashes)
                 keys.append(_key(f))
                 sizes.append(len(f))
-                if len(names) and len(f):
-                    at = np.minimum(np.searchsorted(names, f), len(names) - 1)
-                    f = f[np.argsort(np.where(names[at] == f, ranks[at], 0), kind="stable")]
-                firsts.append(f[:len(f) + (-num * len(f)) // den + 1])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], ["doc_id", "h", "key", "size", "prefix"])
+                fps.append(simhash.majority(hashes))
+                bits.append(marks(f))
+                firsts.append(in_order(f, shared.value)[:len(f) + (-num * len(f)) // den + 1])
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), b.column("h"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(np.array(fps, np.uint64).view(np.int64), pa.int64()),
+                 pa.array(bits, pa.list_(pa.int64())), pa.array(firsts, pa.list_(pa.int64()))],
+                ["doc_id", "h", "key", "size", "fp", "mark", "prefix"])
 
-    return rows.mapInArrow(run, "doc_id long, h long, key binary, size int, prefix array<long>")
+    return _shared.map_batches(rows, run, "doc_id long, h long, key binary, size int, fp long, mark array<long>, prefix array<long>")
 
 
 def _fits(a: str, b: str):
@@ -102,13 +132,30 @@ def _fits(a: str, b: str):
     return (den * F.least(sa, sb) >= num * F.greatest(sa, sb)) & ((num + den) * left >= num * (sa + sb))
 
 
+def _fingerprint_pairs(classes: DataFrame) -> DataFrame:
+    """(a, b): classes whose fingerprints are equal or near, by the pigeonhole search of ``simhash``."""
+    least = classes.groupBy("fp").agg(F.min("c").alias("b"))
+    known = simhash.sampled(least)
+    if not len(known):
+        return classes.select(F.col("c").alias("a"), F.col("c").alias("b")).filter("false")
+    same = classes.select("fp", F.col("c").alias("a")).join(least, "fp").filter("a <> b").select("a", "b")
+    near = simhash.linked(least.select("fp"), simhash.choose(known, rows=least.count()))
+    ends = least.select(F.col("fp").alias("f"), "b")
+    near = near.select(F.col("a").alias("f"), F.col("b").alias("g")).join(ends.withColumnRenamed("b", "a"), "f").select("a", F.col("g").alias("f")).join(ends, "f").select("a", "b")
+    return same.union(near)
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs that are similar enough; whole sets are made for the classes in ``pairs`` only."""
+    """The pairs that are similar enough; whole sets are made for the classes that their bitmaps leave only."""
     num, den = LEAST
-    pairs = _shared.settle(pairs, "pairs")
-    wanted = classes.select("c", "key", "h").join(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct(), "c", "left_semi")
-    wanted = _shared.settle(wanted, "wanted")
-    sets = _sets(rows.join(wanted.select("h"), "h", "left_semi")).join(wanted, "key")
+    brief = classes.select("c", "size", "mark")
+    both = pairs.join(brief.select(F.col("c").alias("a"), F.col("size").alias("s"), F.col("mark").alias("x")), "a").join(brief.select(F.col("c").alias("b"), F.col("size").alias("t"), F.col("mark").alias("y")), "b")
+    apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
+    pairs = _shared.settle(both.filter((num + den) * apart <= (den - num) * (F.col("s") + F.col("t"))).select("a", "b").distinct(), "pairs")
+    wanted = classes.select("c", "key", "rep").join(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct(), "c", "left_semi")
+    wanted = _shared.settle(wanted.select("c", "key", F.col("rep.doc_id").alias("rep_id"), F.col("rep.h").alias("rep_h")), "wanted")
+    some = rows.join(wanted.select("rep_id", "rep_h"), (rows.h == F.col("rep_h")) & rows.doc_id.eqNullSafe(F.col("rep_id")), "left_semi")
+    sets = _sets(some).join(wanted.select("c", "key"), "key")
     sets = _shared.settle(sets.groupBy("c").agg(F.first("found").alias("found")), "sets")
     both = pairs.join(sets.select(F.col("c").alias("a"), F.col("found").alias("x")), "a").join(sets.select(F.col("c").alias("b"), F.col("found").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
@@ -121,26 +168,28 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
     ``component_id`` is the least id that links reach. Null and empty texts and
     those without words are one class; a row with a null id counts in its class,
     but no component is named after it unless it has only such rows (then null).
-    Repeated rows are kept, an empty table gives no rows.
+    Texts of any length are taken whole. Repeated rows are kept, columns other
+    than the two named take no part, whatever they are called, and an empty table
+    gives no rows.
     """
     rows = _rows(docs, id_col, text_col)
     found = _shared.settle(prefixes(rows, frequent(rows)), "prefixes")
-    classes = found.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("h").alias("h"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+    classes = found.groupBy("key").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "h")).alias("rep"), *[F.first(x).alias(x) for x in ("size", "fp", "mark", "prefix")])
     classes = _shared.settle(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
     entries = classes.select("c", "size", F.posexplode("prefix").alias("pos", "token"))
-    often = entries.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").select("token")
-    entries = _shared.settle(entries.join(often, "token", "left_semi"), "entries")
-    # First the least of each shingle, then whatever is still apart.
-    first = entries.groupBy("token").agg(F.min(F.struct("c", "size", "pos")).alias("b"))
-    stars = entries.alias("a").join(first, "token").filter("a.c <> b.c").filter(_fits("a", "b")).select(F.col("a.c").alias("a"), F.col("b.c").alias("b")).distinct()
-    links = _verified(stars, classes, rows)
+    # First one class of each shingle with all others, then whatever is still apart. The one has the shingle earliest in its order,
+    # so it has the fewest shingles of its own: where texts are copies of one, it is that one or near it.
+    first = entries.groupBy("token").agg(F.min(F.struct("pos", "c", "size")).alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    entries = _shared.settle(entries.join(first, "token"), "entries")
+    stars = entries.alias("a").filter("c <> b.c").filter(_fits("a", "b")).select(F.col("c").alias("a"), F.col("b.c").alias("b"))
+    links = _verified(stars.union(_fingerprint_pairs(classes)).distinct(), classes, rows)
     roots = components(links)
     part = _shared.settle(entries.join(roots, entries.c == roots.node, "left").select("token", "c", "size", "pos", F.coalesce("root", "c").alias("part")), "parts")
     apart = part.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("token")
     part = part.join(apart, "token", "left_semi")
     pairs = part.alias("a").join(part.alias("b"), "token").filter("a.c > b.c AND a.part <> b.part").filter(_fits("a", "b")).select(F.col("a.c").alias("a"), F.col("b.c").alias("b")).distinct()
     roots = components(links.union(_verified(pairs, classes, rows)))
-    named = classes.join(roots, classes.c == roots.node, "left").select("key", "least", F.coalesce("root", "c").alias("root"))
+    named = classes.select("key", "least", "c").join(roots, F.col("c") == roots.node, "left").select("key", "least", F.coalesce("root", "c").alias("root"))
     named = _shared.settle(named, "named")
     named = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("key", "component_id")
     return found.select("doc_id", "key").join(named, "key").select("doc_id", "component_id")

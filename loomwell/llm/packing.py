@@ -128,7 +128,7 @@ def cut(docs: DataFrame, tokenizer: str, *, size: int, end_id: int | None, id_co
                 ["doc_id", "piece", "start", "length", "ids_crc32", "rank", "task"],
             )
 
-    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, rank long, task int")
+    return _shared.map_batches(rows, run, "doc_id long, piece int, start long, length long, ids_crc32 long, rank long, task int")
 
 
 def pack(docs: DataFrame, tokenizer: str, *, size: int = 4096, end_id: int | None = 1, id_col: str = "doc_id",

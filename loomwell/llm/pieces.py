@@ -20,23 +20,28 @@ import numpy as np
 SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 _KEPT: dict[tuple, "PieceEncoder"] = {}
+_ALSO: list = []  # what else to free with them
+
+
+ENTRY = 150  # bytes of an entry of the table beyond its characters, about
 
 
 class PieceEncoder:
     """Encodes texts to little-endian ids of ``width`` bytes.
 
-    ``limit`` bounds the table of pieces, which has two halves: when the new half
-    is full it becomes the old one, and what is met there again moves over.
+    ``limit`` bounds the number and ``size`` about the bytes of the table of
+    pieces, which has two halves: when the new half is full it becomes the old
+    one, and what is met there again moves over.
     """
 
-    def __init__(self, path: str, limit: int = 800_000):
+    def __init__(self, path: str, limit: int = 800_000, size: int = 96 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.limit = limit
+        self.limit, self.size, self.held = limit, size, 0
         self.table: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4"
@@ -107,9 +112,12 @@ class PieceEncoder:
             if len(new) < 20_000 and len(waiting) < 256 and k < len(texts) - 1:
                 continue
             if new:
-                if len(table) + len(new) > self.limit // 2:
+                cost = sum(map(len, new)) + ENTRY * len(new)
+                if len(table) + len(new) > self.limit // 2 or self.held + cost > self.size // 2:
                     self.old = dict(table)
                     table.clear()
+                    self.held = 0
+                self.held += cost
                 old = self.old
                 table.update((p, old[p]) for p in new if p in old)
                 self._learn([p for p in new if p not in old])
@@ -130,6 +138,13 @@ def encoder(path: str, limit: int = 800_000) -> PieceEncoder:
     return _KEPT[key]
 
 
+def release() -> None:
+    """Free the tables of this worker process, which lives on: tasks that encode nothing begin with it."""
+    _KEPT.clear()
+    for free in _ALSO:
+        free()
+
+
 def text_batches(batches, text: str, *, rows: int = 512, size: int = 8 << 20):
     """Cut Arrow batches so that each has few rows and not much text."""
     import pyarrow.compute as pc

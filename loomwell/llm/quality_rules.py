@@ -127,7 +127,7 @@ def measured(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             found = [count(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("stratum"), *(pa.array([x[i] for x in found], pa.int64()) for i in range(len(names)))], ["doc_id", "stratum", *names])
 
-    out = rows.mapInArrow(run, "doc_id long, stratum string, " + ", ".join(f"{n} long" for n in names))
+    out = _shared.map_batches(rows, run, "doc_id long, stratum string, " + ", ".join(f"{n} long" for n in names))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return out.withColumn("base_failed", failed)
 

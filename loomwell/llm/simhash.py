@@ -32,24 +32,33 @@ from .components import components
 BITS, RADIUS = 64, 2
 
 
-def fingerprint(text: str, shingle: int = 3) -> int:
-    """The unsigned fingerprint of a whole text; 0 without words."""
+def hashes(text: str, shingle: int):
+    """Hashes of the shingles of a text in their order, repeats included; fewer words are one shingle, none has none."""
     import numpy as np
     import xxhash
 
     words = text.encode().lower().split()  # bytes: only A-Z, and only space and U+0009 to U+000D
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     h = xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        return h(b" ".join(words), 42)
-    hashes = np.fromiter([h(b" ".join(s), 42) for s in zip(*(words[i:] for i in range(shingle)))], np.uint64)
+    parts = zip(*(words[i:] for i in range(shingle))) if len(words) > shingle else [words]
+    return np.fromiter([h(b" ".join(s), 42) for s in parts], np.uint64)
+
+
+def majority(found) -> int:
+    """The number whose bits are those that more than half of the hashes have; 0 without hashes."""
+    import numpy as np
+
     total = np.zeros(BITS, np.int64)
-    for i in range(0, len(hashes), 1 << 14):
-        part = hashes[i:i + (1 << 14)].astype("<u8")
+    for i in range(0, len(found), 1 << 14):
+        part = found[i:i + (1 << 14)].astype("<u8")
         total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(2 * total > len(hashes), bitorder="little")
-    return int(bits.view("<u8")[0])
+    return int(np.packbits(2 * total > len(found), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str, shingle: int = 3) -> int:
+    """The unsigned fingerprint of a whole text; 0 without words."""
+    return majority(hashes(text, shingle))
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -59,16 +68,17 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     def run(batches):
         import numpy as np
 
+        pieces.release()
         for b in pieces.text_batches(batches, "text"):
             fps = np.array([fingerprint(t, shingle) for t in b.column("text").to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64), pa.int64())], ["doc_id", "fp"])
 
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return _shared.map_batches(rows, run, "doc_id long, fp long")
 
 
 @dataclass(frozen=True)
 class Plan:
-    """Masks of the partitions, their thresholds, and the candidates expected of a million fingerprints."""
+    """Masks of the partitions, their thresholds, and the candidates expected."""
 
     masks: tuple[int, ...]
     thresholds: tuple[int, ...]
@@ -96,12 +106,12 @@ def partitions(sample, parts: int) -> list[int]:
     return out
 
 
-def choose(sample, *, radius: int = RADIUS, most_parts: int = 4, probe_cost: float = 1.0) -> Plan:
-    """Partition and allocate thresholds by dynamic programming over estimated candidates."""
+def choose(sample, *, rows: int = 1_000_000, radius: int = RADIUS, most_parts: int = 4, probe_cost: float = 1.0) -> Plan:
+    """Partition and allocate thresholds by dynamic programming over the candidates estimated for ``rows`` fingerprints."""
     import numpy as np
 
     best = None
-    n = 1e6
+    n = float(max(rows, 1))
     some = sample[:1500]
     for parts in range(1, min(most_parts, radius + 1) + 1):
         masks = partitions(sample, parts)
@@ -206,7 +216,8 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
     known = sampled(classes)
     if len(known) == 0:
         return found.select("doc_id", F.lit("").alias("fingerprint"), F.col("doc_id").alias("component_id"))
-    roots = components(linked(classes.select("fp"), choose(known, radius=radius), radius=radius, crowd=crowd))
+    plan = choose(known, rows=classes.count(), radius=radius)
+    roots = components(linked(classes.select("fp"), plan, radius=radius, crowd=crowd))
     named = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.join(least, "root").select("fp", "component_id")

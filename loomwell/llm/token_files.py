@@ -63,7 +63,7 @@ def write(docs: DataFrame, place: str, tokenizer: str, *, end_id: int | None = N
         _shared.write_whole(f"{name}.doc", [np.concatenate(ids).astype("<i8").tobytes()])
         yield pa.RecordBatch.from_pydict({"shard": [k], "docs": [len(lengths)], "ids": [int(offsets[-1])], "kind": [enc.dtype]})
 
-    found = rows.mapInArrow(shard, "shard long, docs long, ids long, kind string").collect()  # a row for each shard
+    found = _shared.map_batches(rows, shard, "shard long, docs long, ids long, kind string").collect()  # a row for each shard
     index = {"format": 1, "dtype": found[0].kind if found else "<u2", "end_id": end_id, "shards": []}
     docs_before = ids_before = 0
     for r in sorted(found, key=lambda r: r.shard):

@@ -176,7 +176,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
                     c.append(v)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out[0], pa.float64()), *(pa.array(c, pa.int64()) for c in out[1:])], ["doc_id", "score", "n_sentences", "n_offending", "worst_start", "worst_end"])
 
-    return rows.mapInArrow(run, "doc_id long, score double, n_sentences long, n_offending long, worst_start long, worst_end long")
+    return _shared.map_batches(rows, run, "doc_id long, score double, n_sentences long, n_offending long, worst_start long, worst_end long")
 
 
 def offending(docs: DataFrame, model: Model, *, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -192,7 +192,7 @@ def offending(docs: DataFrame, model: Model, *, least: float = 0.5, id_col: str
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "start", "end", "probability", "sentence"])
 
-    return rows.mapInArrow(run, "doc_id long, start long, end long, probability double, sentence string")
+    return _shared.map_batches(rows, run, "doc_id long, start long, end long, probability double, sentence string")
 
 
 def flags(docs: DataFrame, model: Model, *, text_col: str = "text", name: str = "_toxicity") -> DataFrame:
