@@ -29,11 +29,16 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (Jaccard similarity of 5-word shingles 0.8 or more) the document with the least id stays, once."""
+    """Of each group of near-duplicates (Jaccard similarity of 5-word shingles 0.8 or more) the document with the least id stays.
+
+    Rows that repeat its id and text are one document, of which the row with the
+    least other columns stays. One shuffle by the ids serves the join and them.
+    """
     key, none = _shared.fresh(docs, "_kept"), _shared.fresh(docs, "_none")
-    named = {key: F.coalesce(F.col("doc_id"), F.lit(0)), none: F.col("doc_id").isNull()}  # one shuffle by these serves the join and the repeated rows
+    named = {key: F.coalesce(F.col("doc_id"), F.lit(0)), none: F.col("doc_id").isNull()}
     kept = near_copies.groups(docs).filter("doc_id <=> component_id").select(*[c.alias(n) for n, c in named.items()]).distinct()
-    return docs.withColumns(named).join(kept, [key, none], "left_semi").dropDuplicates([key, none, "text"]).select(docs.columns)
+    rest = F.min(F.struct(*[c for c in docs.columns if c != "text"])).alias("rest")
+    return docs.withColumns(named).join(kept, [key, none], "left_semi").groupBy(key, none, "text").agg(rest).select("rest.*", "text").select(docs.columns)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
