@@ -5,8 +5,8 @@ its candidates, so that each candidate has the text before and after it at hand,
 its features are computed beside it, and the forest is a sum of CASE trees. There
 is one scan, no shuffle and no Python.
 
-The forest is grown from labelled findings. ``labelled_findings`` makes some by
-rule; real ones can be given instead, as rows of the same form.
+The forest is grown from labelled findings. There is no table of them, so
+``labelled_findings`` makes some by rule; real ones can be given instead, as rows of the same form.
 """
 
 from __future__ import annotations
@@ -18,11 +18,12 @@ from pyspark.sql import functions as F
 
 from . import forest
 
-# Private key blocks with their headers and END line; quoted values after = or :; long runs of key characters with a digit.
-# Each goes to its end, however long it is.
+# Private key blocks with their headers, lines of key characters and END line; quoted values after = or :; values without quotes
+# after a key word and = or :; long runs of key characters with a digit. Each goes to its end, however long it is.
 CANDIDATE = (
-    r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:\s*[A-Za-z][A-Za-z0-9\-]*:(?:(?!-----)[\s\S])*?\n[ \t\r]*\n)?[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]{0,20}PRIVATE KEY-----)?"
+    r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:\s*[A-Za-z][A-Za-z0-9\-]*:(?:(?!-----)[\s\S])*?\n[ \t\r]*\n)?(?:\s*[A-Za-z0-9+/=]{16,}(?![^\s\-]))*(?:\s*[A-Za-z0-9+/=]{1,64}(?=\s*-----END))?(?:\s*-----END [A-Z ]{0,20}PRIVATE KEY-----)?"
     r"|(?<=[=:] {0,2}[\"'])[^\s\"']{8,}"
+    r"|(?<=(?:token|secret|passwd|password|api_key|apikey|access_key|TOKEN|SECRET|PASSWORD|API_KEY|ACCESS_KEY) {0,1}[=:] {0,1})[A-Za-z0-9+/_=.\-]{8,}"
     r"|(?<![A-Za-z0-9+/_=.\-])(?=[A-Za-z+/_=.\-]*[0-9])[A-Za-z0-9+/_=.\-]{16,}"
 )
 BEFORE, AFTER = 48, 24
@@ -144,21 +145,28 @@ def fit(spark: SparkSession, findings: list[tuple] | None = None, *, threshold:
     return Scanner(forest.grow(x, y), threshold)
 
 
+def rated(text: Column, path: Column, scanner: Scanner) -> Column:
+    """array<struct<p, cand, score>> of a text's candidates; p is what stands between a candidate and the one before it."""
+    cands = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
+    both = F.array(F.struct(cands.alias("c"), F.split(text, CANDIDATE, -1).alias("p")))
+    placed = F.transform(both, lambda s: F.transform(s["c"], lambda c, i: F.struct(
+        c.alias("cand"), s["p"][i].alias("p"), F.substring(s["p"][i], F.greatest(F.length(s["p"][i]) - (BEFORE - 1), F.lit(1)), F.lit(BEFORE)).alias("before"), F.substring(s["p"][i + 1], 1, AFTER).alias("after"))))[0]
+    found = F.transform(placed, lambda s: F.struct(
+        s["p"].alias("p"), s["cand"].alias("cand"), F.struct(*[c.alias(n) for n, c in zip(FEATURES, features(s["before"], s["cand"], s["after"], path))]).alias("f")))
+    return F.transform(found, lambda s: F.struct(s["p"].alias("p"), s["cand"].alias("cand"), forest.expression(scanner.trees, lambda k: s["f"][FEATURES[k]]).alias("score")))
+
+
 def findings_column(text: Column, path: Column, scanner: Scanner) -> Column:
     """array<struct<start, length, candidate, score, secret>> of a text's candidates; start counts characters from 0."""
-    cands = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
-    parts = F.split(text, CANDIDATE, -1)
-    both = F.struct(cands.alias("c"), parts.alias("p"))
-    placed = F.transform(F.array(both), lambda s: F.transform(s["c"], lambda c, i: F.struct(
-        c.alias("cand"), F.substring(s["p"][i], F.greatest(F.length(s["p"][i]) - (BEFORE - 1), F.lit(1)), F.lit(BEFORE)).alias("before"), F.substring(s["p"][i + 1], 1, AFTER).alias("after"),
-        (F.aggregate(F.slice(s["p"], 1, i + 1), F.lit(0), lambda a, x: a + F.length(x)) + F.aggregate(F.slice(s["c"], F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x))).alias("start"))))[0]
-    rated = F.transform(placed, lambda s: F.struct(
-        s["start"].alias("start"), s["cand"].alias("cand"),
-        F.struct(*[c.alias(n) for n, c in zip(FEATURES, features(s["before"], s["cand"], s["after"], path))]).alias("f")))
-    scored = F.transform(rated, lambda s: F.struct(
-        s["start"].alias("start"), s["cand"].alias("cand"), forest.expression(scanner.trees, lambda k: s["f"][FEATURES[k]]).alias("score")))
-    whole = F.transform(scored, lambda s: F.struct(
-        s["start"].alias("start"), F.length(s["cand"]).alias("length"), s["cand"].alias("candidate"), s["score"].alias("score"), (s["score"] >= scanner.threshold).alias("secret")))
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("starts"))
+
+    def step(s, x):  # places run on from candidate to candidate
+        start = s["at"] + F.length(x["p"])
+        return F.struct((start + F.length(x["cand"])).alias("at"), F.concat(s["starts"], F.array(start)).alias("starts"))
+
+    both = F.transform(F.array(rated(text, path, scanner)), lambda found: F.struct(found.alias("found"), F.aggregate(found, zero, step)["starts"].alias("starts")))[0]
+    whole = F.transform(F.array(both), lambda b: F.zip_with(b["found"], b["starts"], lambda x, start: F.struct(
+        start.alias("start"), F.length(x["cand"]).alias("length"), x["cand"].alias("candidate"), x["score"].alias("score"), (x["score"] >= scanner.threshold).alias("secret"))))[0]
     return F.when(text.rlike(CANDIDATE), whole)
 
 
@@ -166,7 +174,9 @@ def scan(docs: DataFrame, scanner: Scanner, *, id_col: str = "doc_id", text_col:
     """doc_id, start, length, candidate, score, secret of every candidate of every whole text.
 
     Null and empty texts have none; a null path is no path of tests; repeated
-    rows are scanned each; an empty table gives no rows.
+    rows are scanned each; an empty table gives no rows. Texts and secrets of any
+    length are taken whole, in time linear in the candidates; columns other than
+    the three named take no part, whatever they are called.
     """
     path = F.col(path_col).cast("string") if path_col else F.lit("")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.inline(findings_column(F.col(text_col), path, scanner)))
@@ -177,8 +187,7 @@ def redact(docs: DataFrame, scanner: Scanner, *, text_col: str = "text", path_co
     """The rows with every secret in the text replaced by ``mark``; other columns pass, null texts stay null."""
     path = F.col(path_col).cast("string") if path_col else F.lit("")
     text = F.col(text_col)
-    found = findings_column(text, path, scanner)
-    secrets = F.filter(found, lambda s: s["secret"])
-    # Replace from the last to the first, so that the places before stay valid.
-    done = F.aggregate(F.reverse(secrets), text, lambda t, s: F.concat(F.substring(t, F.lit(1), s["start"]), F.lit(mark), F.substring(t, s["start"] + s["length"] + 1, F.length(t))))
-    return docs.withColumn(text_col, F.when(F.coalesce(F.size(secrets) > 0, F.lit(False)), done).otherwise(text))
+    # What stands between candidates and what becomes of each candidate, joined again, and the rest.
+    parts = F.transform(rated(text, path, scanner), lambda x: F.concat(x["p"], F.when(x["score"] >= scanner.threshold, F.lit(mark)).otherwise(x["cand"])))
+    rest = F.element_at(F.split(text, CANDIDATE, -1), -1)
+    return docs.withColumn(text_col, F.when(text.rlike(CANDIDATE), F.concat(F.array_join(parts, ""), rest)).otherwise(text))

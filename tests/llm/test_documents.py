@@ -265,6 +265,8 @@ def test_secrets(spark, docs, empty):
     import random
     import re
 
+    import regex
+
     s = secrets.fit(spark)
     rows = secrets.labelled_findings(600, seed=99)
     fresh = spark.createDataFrame(rows, "before string, cand string, after string, path string, label int")
@@ -284,12 +286,40 @@ def test_secrets(spark, docs, empty):
     left = secrets.redact(d, s).select("text").collect()
     n = sum(len(re.findall(r'token = "[0-9a-f]{40}"', r.text)) for r in d.select("text").collect())
     assert n > 10 and sum(len(re.findall(r'token = "[0-9a-f]{40}"', r.text)) for r in left) <= 0.05 * n
-    python = re.compile(secrets.CANDIDATE.replace(r"(?<=[=:] {0,2}[\"'])", r"(?:(?<=[=:][\"'])|(?<=[=:] [\"'])|(?<=[=:]  [\"']))"))
+    python = regex.compile(secrets.CANDIDATE)
     want = Counter((r.doc_id, m.start(), m.group()) for r in docs.collect() for m in python.finditer(r.text or ""))
     assert Counter((r.doc_id, r.start, r.candidate) for r in secrets.scan(docs, s).collect()) == want
     assert secrets.scan(empty, s).count() == 0 and secrets.redact(empty, s).count() == 0
 
 
+def test_secrets_and_prose(spark):
+    s = secrets.fit(spark)
+    key = "\n".join(["MIIEowIBAAKCAQEA" + "abcdEFGH0123/+xyz" * 2] * 3 + ["shortEnd=="])
+    text = f"see -----BEGIN RSA PRIVATE KEY-----\n{key}\n-----END RSA PRIVATE KEY----- and then plain words follow here\n-----BEGIN PRIVATE KEY----- is how such a block begins in prose"
+    rows = spark.createDataFrame([(1, text, "src0"), (2, "password = hunterxsecretword and more", "src0")], "doc_id long, text string, source string")
+    found = {(r.doc_id, r.start): r.candidate for r in secrets.scan(rows, s).collect()}
+    assert f"-----BEGIN RSA PRIVATE KEY-----\n{key}\n-----END RSA PRIVATE KEY-----" in found.values()
+    assert not any("prose" in c or "words" in c for c in found.values()) and "hunterxsecretword" in found.values()
+
+
+def test_many_candidates_in_one_text(spark):
+    import time
+
+    s = secrets.fit(spark)
+    took = []
+    for n in (500, 2000, 8000):
+        text = " ".join(f"{i:04d}abcdefABCDEF{i:06d}" for i in range(n))
+        df = spark.createDataFrame([(1, text, "src0")], "doc_id long, text string, source string")
+        began = time.time()
+        found = secrets.scan(df, s).collect()
+        took.append(time.time() - began)
+        assert len(found) == n and all(text[r.start:r.start + r.length] == r.candidate for r in found)
+        whole = secrets.redact(df, s).first().text
+        marked = {r.start for r in found if r.secret}
+        assert whole == " ".join("[SECRET]" if 23 * i in marked else x for i, x in enumerate(text.split(" ")))
+    assert took[2] <= 4 * took[1] + 2
+
+
 def test_long_secrets(spark):
     import random
 
