@@ -3,11 +3,11 @@
 A rolling hash over the UTF-8 bytes cuts each text where the content says so, so
 a passage that many documents share falls into the same chunks wherever it
 stands. Documents are brought together by their least chunk hash; each task
-encodes a chunk once and takes it from a table when it comes again. A chunk's
+encodes a chunk once and takes it from a table, by its bytes, when it comes again. A chunk's
 first and last piece depend on its neighbours: around every join the text from
 the last piece kept on the left to the first piece kept on the right is encoded
 again by the library, and has to give exactly the ids kept on both sides. Where
-it does not, the window grows, up to the whole text.
+it does not, the window grows piece by piece, up to the whole text.
 """
 
 from __future__ import annotations
@@ -69,79 +69,108 @@ def _whole(raw: bytes, p: int) -> int:
 
 
 class ChunkEncoder:
-    """Encodes documents with a table of at most ``limit`` chunks and one of ``pieces_limit`` pieces."""
+    """Encodes documents with a table of chunks of at most about ``size`` bytes and one of ``pieces_limit`` pieces.
 
-    def __init__(self, tokenizer: str, limit: int = 16_000, pieces_limit: int = 300_000):
-        import xxhash
+    A chunk is known by its bytes. Of each the table keeps its pieces, the ids of
+    all but the first and last, and where each piece's ids begin among them.
+    """
 
+    def __init__(self, tokenizer: str, size: int = 48 << 20, pieces_limit: int = 300_000):
         self.enc = pieces.encoder(tokenizer, pieces_limit)
-        self.limit, self.key = limit, xxhash.xxh3_128_digest
-        self.table = _CHUNKS.setdefault((tokenizer, limit), {})
+        self.size = size
+        self.kept = _CHUNKS.setdefault((tokenizer, size), {"table": {}, "held": 0})
         self.gear = _gear()
         self.met = self.fresh = self.widened = 0
 
     def _chunk_parts(self, chunks: list[bytes]) -> list[tuple]:
-        """For each chunk: its first piece, what lies between with its first and last piece, and its last piece."""
-        keys = [self.key(c) for c in chunks]
-        new = {k: c for k, c in zip(keys, chunks) if k not in self.table}
-        self.met, self.fresh = self.met + len(keys), self.fresh + len(new)
-        held = {}
-        if len(self.table) + len(new) > self.limit:
-            held = {k: self.table[k] for k in keys if k in self.table}
-            self.table.clear()
-            self.table.update(held)
+        """For each chunk: its pieces, and the ids of what lies between its first and last piece."""
+        table = self.kept["table"]
+        new = dict.fromkeys(c for c in chunks if c not in table)
+        self.met, self.fresh = self.met + len(chunks), self.fresh + len(new)
+        cost = sum(6 * len(c) + 300 for c in new)
+        if self.kept["held"] + cost > self.size:
+            held = {c: table[c] for c in chunks if c in table}
+            table.clear()
+            table.update(held)
+            self.kept["held"] = sum(6 * len(c) + 300 for c in held)
         if new:
-            found = [self.enc.find(c.decode()) for c in new.values()]
-            long = [p for p in found if len(p) >= 3]
-            cores = iter(self.enc.encode(["".join(p[1:-1]) for p in long]))
-            for k, p in zip(new, found):
-                self.table[k] = (p[0], p[1], next(cores), p[-2], p[-1]) if len(p) >= 3 else ("".join(p),)
-        return [self.table[k] for k in keys]
+            self.kept["held"] += cost
+            found = [self.enc.find(c.decode()) for c in new]
+            cores = iter(self.enc.encode(["".join(p[1:-1]) for p in found if len(p) >= 3]))
+            for c, p in zip(new, found):
+                table[c] = (p, next(cores)) if len(p) >= 3 else (p, None)
+        return [table[c] for c in chunks]
+
+    def _joined(self, left: tuple | None, between: str, right: tuple | None, steps: int):
+        """Ids of a window that reaches ``steps`` pieces into the cores beside it, without those of its ends, or None if they disagree.
+
+        Returns also how many ids the window takes from the left core's end and
+        the right core's beginning.
+        """
+        enc = self.enc
+        a = "".join(left[0][1:-1][-steps:]) if left else ""
+        b = "".join(right[0][1:-1][:steps]) if right else ""
+        ids = enc.encode_whole(a + between + b)
+        ends = [enc.encode([x])[0] if x else b"" for x in (a, b)]
+        if left and not left[1].endswith(ends[0]) or right and not right[1].startswith(ends[1]):
+            return None
+        if len(ids) < len(ends[0]) + len(ends[1]) or not ids.startswith(ends[0]) or not ids.endswith(ends[1]):
+            return None
+        return ids[len(ends[0]):len(ids) - len(ends[1])]
 
     def encode(self, texts: list[str], cuts: list[list[int]] | None = None) -> list[bytes]:
-        """Ids of each text, as the library gives them, as little-endian bytes."""
+        """Ids of each text, as the library gives them, as little-endian bytes.
+
+        Between two kept cores the text from the last piece of the one to the
+        first piece of the other is encoded again, and has to give the kept ids of
+        both. Where it doesn't, the window grows by a piece on both sides, up to
+        the ends of the cores; then the whole text is encoded.
+        """
         enc = self.enc
         if enc.kind != "spaced":
             return enc.encode(texts)
         raws = [t.encode() for t in texts]
         cuts = cuts or [cut_places(r, self.gear) for r in raws]
-        chunks = [r[a:b] for r, ends in zip(raws, cuts) for a, b in zip([0, *ends], ends)]
-        parts = iter(self._chunk_parts(chunks))
-        # Alternating: window, kept ids, window, ..., window. A window knows the pieces kept beside it.
-        lines, windows = [], []
+        parts = iter(self._chunk_parts([r[a:b] for r, ends in zip(raws, cuts) for a, b in zip([0, *ends], ends)]))
+        lines: list[list[tuple]] = []  # of each text: (core before or None, text between, core after or None)
         for ends in cuts:
-            line, open_, left = [], [], ""
+            line, open_, left = [], [], None
             for _ in ends:
-                p = next(parts)
-                if len(p) == 1:
-                    open_.append(p[0])
+                own = next(parts)
+                if own[1] is None:
+                    open_ += own[0]
                     continue
-                open_.append(p[0])
-                windows.append((left, "".join(open_), p[1]))
-                line.append(p[2])
-                left, open_ = p[3], [p[4]]
-            windows.append((left, "".join(open_), ""))
+                line.append((left, "".join([*open_, own[0][0]]), own))
+                left, open_ = own, [own[0][-1]]
+            line.append((left, "".join(open_), None))
             lines.append(line)
-        sides = list(dict.fromkeys(s for a, _, b in windows for s in (a, b)))
+        # All windows of one piece at once; their ends are pieces met before.
+        flat = [((l[0][-2] if l else ""), w, (r[0][1] if r else "")) for line in lines for l, w, r in ((x[0], x[1], x[2]) for x in line)]
+        sides = list(dict.fromkeys(s for a, _, b in flat for s in (a, b)))
         side_ids = dict(zip(sides, enc.encode(sides)))
-        import numpy as np
-
-        again = [np.array(x, enc.dtype).tobytes() for x in enc._ids([a + w + b for a, w, b in windows])] if windows else []
-        out, k = [], 0
+        again = iter(enc.encode_wholes([a + w + b for a, w, b in flat]))
+        windows = iter(flat)
+        out = []
         for text, line in zip(texts, lines):
-            got, agree = [], True
-            for i in range(len(line) + 1):
-                (a, _, b), ids = windows[k], again[k]
+            got: list[bytes] | None = []
+            for left, between, right in line:
+                (a, _, b), ids = next(windows), next(again)
+                if got is None:
+                    continue
                 a, b = side_ids[a], side_ids[b]
-                agree &= len(ids) >= len(a) + len(b) and ids.startswith(a) and ids.endswith(b)
-                got.append(ids[len(a):len(ids) - len(b)])
-                if i < len(line):
-                    got.append(line[i])
-                k += 1
-            if not agree:  # the window that surely agrees is the whole text
-                self.widened += 1
-                got = [np.array(enc._ids([text])[0], enc.dtype).tobytes()]
-            out.append(b"".join(got))
+                if len(ids) >= len(a) + len(b) and ids.startswith(a) and ids.endswith(b):
+                    middle = ids[len(a):len(ids) - len(b)]
+                else:
+                    self.widened += 1
+                    most = max(len(x[0]) - 2 for x in (left, right) if x) if left or right else 0
+                    middle = next((m for n in range(2, most + 1) if (m := self._joined(left, between, right, n)) is not None), None)
+                if middle is None:
+                    got = None
+                    continue
+                got.append(middle)
+                if right:
+                    got.append(right[1])
+            out.append(enc.encode_whole(text) if got is None else b"".join(got))
         return out
 
 

@@ -95,6 +95,13 @@ class PieceEncoder:
             some = other[i:i + 500]
             table.update(zip(some, [np.array(x, self.dtype).tobytes() for x in self._ids(some)]))
 
+    def encode_wholes(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text by the library alone, without the table."""
+        return [np.array(x, self.dtype).tobytes() for x in self._ids(texts)] if texts else []
+
+    def encode_whole(self, text: str) -> bytes:
+        return self.encode_wholes([text])[0]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as the library gives them without special tokens."""
         if self.kind is None:

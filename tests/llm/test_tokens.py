@@ -118,7 +118,7 @@ def test_cuts_follow_content():
 
 
 def test_chunks_are_reused(path):
-    enc = chunk_bpe.ChunkEncoder(path("byte_bpe_50k.json"), limit=1000)
+    enc = chunk_bpe.ChunkEncoder(path("byte_bpe_50k.json"), size=8 << 20)
     text = " ".join(f"word{i * i}" for i in range(3000))
     enc.encode([text])
     fresh = enc.fresh
