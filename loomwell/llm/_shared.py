@@ -54,6 +54,9 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+FEW_CELLS = 200_000  # totals of cells that are broadcast
+
+
 def with_prefix(df: DataFrame, keys: list[str], order: list[Column], *, weight: Column | None = None,
                 bucket: Column, name: str) -> DataFrame:
     """Add the running sum of ``weight`` (1 if none) before each row within ``keys``.
@@ -61,12 +64,13 @@ def with_prefix(df: DataFrame, keys: list[str], order: list[Column], *, weight:
     Rows are ordered by ``bucket`` and then ``order``. Only the totals of the
     (keys, bucket) cells are ordered as a whole, so no task sees all rows of a
     key: the rows themselves are only sorted within a cell. The order inside a
-    cell has to be total for the result to be reproducible. The number of cells
-    is bounded by what the caller promises of keys times buckets.
+    cell has to be total for the result to be reproducible. Cells are broadcast
+    if they are few, else joined by shuffling.
     """
     cell, w = f"_{name}_cell", f"_{name}_w"
     rows = df.withColumn(cell, bucket).withColumn(w, (weight if weight is not None else F.lit(1)).cast("long"))
-    cells = rows.groupBy(*keys, cell).agg(F.sum(w).alias(f"_{name}_sum"))
+    cells = settle(rows.groupBy(*keys, cell).agg(F.sum(w).alias(f"_{name}_sum")), "cells")
+    few = cells.count() <= FEW_CELLS
     before = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     renamed = [F.col(k).alias(f"_{name}_key{i}") for i, k in enumerate([*keys, cell])]
     cells = cells.select(*renamed, (F.sum(f"_{name}_sum").over(before.orderBy(cell)) - F.col(f"_{name}_sum")).alias(f"_{name}_base"))
@@ -75,7 +79,7 @@ def with_prefix(df: DataFrame, keys: list[str], order: list[Column], *, weight:
     cond = F.lit(True)
     for i, k in enumerate([*keys, cell]):
         cond = cond & F.col(k).eqNullSafe(F.col(f"_{name}_key{i}"))
-    out = rows.join(F.broadcast(cells), cond)
+    out = rows.join(F.broadcast(cells) if few else cells, cond)
     return out.select(*df.columns, (F.col(f"_{name}_run") + F.col(f"_{name}_base")).alias(name))
 
 

@@ -4,7 +4,8 @@ Documents with equal texts are linked. Each document starts in a shard by the
 hash of its id. In every round the documents of each group look where most of
 their neighbours are, among the shards whose quota has room for the group, and
 ask to move there; each shard grants requests, larger groups first, as far as its
-quota reaches. What is granted stays; the others ask again. Groups that no shard
+quota reaches. What is granted stays; the others ask again, until a round grants
+nothing. Groups that no shard
 can hold are cut beforehand into parts of a shard's size. In the end documents
 without links, and what could not be granted, fill the rest of the quotas, so
 the law holds exactly and only groups that had to be cut have cut edges.
@@ -34,7 +35,7 @@ def _grant(asking: DataFrame, room: list[int], turn: int) -> DataFrame:
     return ranked.withColumn("ok", F.col("before") + F.col("n") <= _pick(room, F.col("target"))).drop("before")
 
 
-def shards(docs: DataFrame, *, shards: int = 40, rounds: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shards(docs: DataFrame, *, shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row.
 
     The law is ``rows``: shards differ by one row at most; ``grown_shard`` is
@@ -50,13 +51,14 @@ def shards(docs: DataFrame, *, shards: int = 40, rounds: int = 8, id_col: str =
     total = base.count()
     quota = [total // shards + (s < total % shards) for s in range(shards)]
     most = max(1, total // shards)
-    buckets = min(8192, max(64, total // (shards * 20_000)))
+    buckets = max(64, total // (shards * 20_000))  # cells of about 20,000 rows, of a shard or of what is not granted
+    spread = max(512, total // 20_000)
     spot = lambda salt, n: F.pmod(F.xxhash64("h", F.lit(salt)), F.lit(n)).cast("int")
 
     sizes = _shared.settle(base.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1"), "shard-groups")
     giants = F.broadcast(sizes.filter(F.col("n") > most).select(F.col("g").alias("giant"), F.col("n").alias("giant_n")))  # no more than `shards` + 1 rows
     split = base.join(giants, F.col("g") == F.col("giant"), "left")
-    large = _shared.with_prefix(split.filter("giant IS NOT NULL"), ["g"], [F.col("h"), F.col("doc_id")], bucket=spot(1, 256), name="rank")
+    large = _shared.with_prefix(split.filter("giant IS NOT NULL"), ["g"], [F.col("h"), F.col("doc_id")], bucket=spot(1, max(256, most // 20_000)), name="rank")
     large = large.withColumn("part", F.floor(F.col("rank") / most).cast("int"))
     large = large.withColumn("n", F.least(F.lit(most).cast("long"), F.col("giant_n") - F.col("part").cast("long") * most))
     small = split.filter("giant IS NULL").drop("giant", "giant_n").join(sizes.filter(F.col("n") <= most), "g", "left")
@@ -68,7 +70,8 @@ def shards(docs: DataFrame, *, shards: int = 40, rounds: int = 8, id_col: str =
     cells = _shared.settle(linked.groupBy("g", "part", "n", "shard").agg(F.count("*").alias("here")), "shard-cells")
     placed: DataFrame | None = None
     load = [0] * shards
-    for turn in range(rounds):
+    turn = 0
+    while True:
         room = [q - x for q, x in zip(quota, load)]
         if placed is None:
             open_ = cells
@@ -84,6 +87,7 @@ def shards(docs: DataFrame, *, shards: int = 40, rounds: int = 8, id_col: str =
         gained = {r.target: r.n for r in granted.groupBy("target").agg(F.sum("n").alias("n")).collect()}  # a row for each shard
         if not gained:
             break
+        turn += 1
         load = [x + gained.get(s, 0) for s, x in enumerate(load)]
         moved = granted.select("g", "part", F.col("target").alias("goal"))
         placed = moved if placed is None else placed.union(moved)
@@ -96,7 +100,7 @@ def shards(docs: DataFrame, *, shards: int = 40, rounds: int = 8, id_col: str =
     # The rest fills what room is left: ungranted groups first, each in one run, then documents without links.
     rest = rows.filter("goal IS NULL")
     alone = F.col("n") == 1
-    bucket = F.when(alone, 512 + spot(3, 512)).otherwise(F.pmod(F.xxhash64("g", "part"), F.lit(512)).cast("int"))
+    bucket = F.when(alone, spread + spot(3, spread)).otherwise(F.pmod(F.xxhash64("g", "part"), F.lit(spread)).cast("int"))
     rest = _shared.with_prefix(rest, [], [F.when(~alone, F.col("g")), F.when(~alone, F.col("part")), F.col("h"), F.col("doc_id")], bucket=bucket, name="rank")
     ends, at = [], 0
     for q, x in zip(quota, load):
