@@ -61,8 +61,9 @@ def _assign(classes: DataFrame, centroids: dict, least: float) -> DataFrame:
     def run(batches):
         import numpy as np
 
+        apart_of: dict = {}
         for b in batches:
-            dims = np.array([len(v) for v in b.column("vector").to_pylist()])
+            dims = b.column("vector").value_lengths().to_numpy(zero_copy_only=False)
             for d in np.unique(dims).tolist():
                 own = np.flatnonzero(dims == d)
                 part = b.take(pa.array(own))
@@ -73,7 +74,9 @@ def _assign(classes: DataFrame, centroids: dict, least: float) -> DataFrame:
                     c[0, 0] = 1
                 sims = x @ c.T
                 home = sims.argmax(1)
-                apart = np.sqrt(np.maximum(0, 2 - 2 * (c @ c.T)))
+                if d not in apart_of:
+                    apart_of[d] = np.sqrt(np.maximum(0, 2 - 2 * (c @ c.T)))
+                apart = apart_of[d]
                 inside = sims[np.arange(len(x)), home][:, None] - sims <= reach(least) * apart[home] + 1e-9
                 r, cell = np.nonzero(inside)
                 raw = [v.tobytes() for v in x]
@@ -148,8 +151,9 @@ def dedup(vectors: DataFrame, *, least: float = 0.93, id_col: str = "vec_id", ve
         return rows.select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), (F.col("id") == F.col("id")).alias("kept"))
     k = max(1, min(most_cells, round(n / (labels * cell_rows))))
     some = classes.select("id", "vector").orderBy(F.xxhash64("id"), "id").limit(min(sample_rows, max(2000, 40 * k))).toArrow()
-    lists = some.column("vector").to_pylist()
-    centroids = {d: kmeans(_unit([x for x in lists if len(x) == d]), k) for d in sorted({len(x) for x in lists})}
+    held = some.column("vector").combine_chunks()
+    dims = held.value_lengths().to_numpy(zero_copy_only=False)
+    centroids = {int(d): kmeans(_unit(held.filter(pa.array(dims == d)).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)), k) for d in np.unique(dims)}
     cells = _shared.settle(_assign(classes, centroids, least), "cells")
     sizes = cells.groupBy("label", "dims", "cell").agg(F.count_if("home").alias("homes"), F.count("*").alias("members"))
     sizes = _shared.settle(sizes.select("label", "dims", "cell", F.ceil(F.col("homes") / block).cast("int").alias("hb"), F.ceil(F.col("members") / block).cast("int").alias("mb")).filter("hb > 0"), "cell-sizes")
