@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from loomwell.functions import money, stats, text, vectors
-from loomwell.operators import audit, chunking, cleaning, intervals, ordering, paired, requests, retrieval, review
+from loomwell.operators import audit, chunking, cleaning, integrity, intervals, ordering, paired, requests, retrieval, review
 from loomwell.sources import files
 from loomwell.streaming import resumable
 
@@ -66,6 +66,72 @@ def test_statistics_goldens(spark):
     assert one(spark, stats.chi_square_survival(F.lit(7.814727903251179), F.lit(3))) == pytest.approx(0.05)
 
 
+def test_tails_of_large_counts(spark):
+    assert one(spark, stats.mcnemar(F.lit(600), F.lit(600))) == 1
+    want = sum(math.comb(2000, k) for k in range(901)) * 2 / 2**2000
+    assert one(spark, stats.mcnemar(F.lit(900), F.lit(1100))) == pytest.approx(want, rel=1e-9)
+    assert one(spark, stats.binomial_tail(F.lit(7), F.lit(10))) == pytest.approx(sum(math.comb(10, k) for k in range(8)) / 2**10)
+    assert stats.rank_tail([(2 * i, 1) for i in range(1, 5)], 0) == pytest.approx(2 / 16)
+    exact = stats.rank_tail([(1201, 600), (3001, 300)], 900_000)
+    assert stats.rank_tail([(1201, 600), (3001, 300)], 900_000, most=1) == pytest.approx(exact, abs=2e-3) and 0 < exact < 1
+
+
+def test_latency_of_both_kinds_of_timestamps(spark):
+    for kind in ("timestamp", "timestamp_ntz"):
+        at = lambda x: F.lit(x).cast(kind)
+        assert one(spark, audit.latency_seconds(at("2024-02-28 23:59:58.5"), at("2024-03-01 00:00:01.25"))) == 86402.75
+        assert one(spark, audit.latency_seconds(at("2024-01-01 00:00:02"), at("2024-01-01 00:00:01"))) == -1
+
+
+def test_positions_of_many_rows(spark):
+    df = spark.range(2_000_000).select((F.col("id") * 7919 % 2_000_000).alias("v"), F.concat(F.lit("payload "), F.col("id").cast("string")).alias("p"))
+    got = ordering.with_position(df, [F.col("v")])
+    assert got.filter("v <> position").count() == 0 and got.count() == 2_000_000
+
+
+def test_running_sums(spark):
+    df = spark.range(5000).select((F.col("id") % 3).alias("k"), F.col("id").alias("o"))
+    rows = ordering.running(df, ["k"], [F.col("o")], {"n": F.lit(1).cast("long"), "s": F.col("o")}).collect()
+    assert len(rows) == 5000 and all(r.n == r.o // 3 + 1 and r.s == sum(range(r.k, r.o + 1, 3)) for r in rows)
+
+
+def test_mixed_vectors_fail(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0, 0.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0] * 6)], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="differ in length"):
+        retrieval.top_k(df, df.filter("vec_id = 0"), 2).collect()
+    with pytest.raises(ValueError):
+        retrieval.top_k(df, df, 2)
+
+
+def test_search_in_parts(spark):
+    r = random.Random(4)
+    df = spark.createDataFrame([(i, [float(r.randint(0, 3)), float(r.randint(1, 3))]) for i in range(300)], "vec_id long, embedding array<double>")
+    whole = {(x.query_id, x["rank"]): x.id for x in retrieval.top_k(df, df, 9).collect()}
+    assert whole == {(x.query_id, x["rank"]): x.id for x in retrieval.top_k(df, df, 9, query_bytes=1000).collect()}
+
+
+def test_integrity_joins(spark):
+    judged = spark.createDataFrame([("a", 2), ("b", 0)], "judgement_id string, grade int")
+    cands = spark.createDataFrame([("a",), ("b",)], "judgement_id string")
+    assert {r.grade for r in integrity.with_grades(cands, judged).collect()} == {0, 2}
+    for bad in (judged.limit(1), judged.union(judged)):
+        with pytest.raises(Exception, match="judgement"):
+            integrity.with_grades(cands, bad).collect()
+    asked = spark.createDataFrame([("base", 1, 1), ("other", 1, 1)], "model string, input_token_count int, output_token_count int")
+    with pytest.raises(Exception, match="no rates"):
+        requests.known_cost(asked, requests.pricing(spark)).collect()
+    chunks = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "at int, name string")
+    found = integrity.verify_mapping(chunks, spark.createDataFrame([(0, "a"), (1, "x"), (3, "d")], "at int, name string"), "at", ["name"])
+    assert {(r["at"], r.status, r.field) for r in found.collect()} == {(0, "equal", None), (1, "differs", "name"), (2, "no_mapping", None), (3, "no_chunk", None)}
+    sheet = spark.createDataFrame([(0, "A", 1)], "g int, label string, score int")
+    with pytest.raises(Exception, match="stands for nothing"):
+        integrity.by_label(sheet, spark.createDataFrame([(0, "B", "x")], "g int, label string, condition string"), "g").collect()
+    rows = spark.createDataFrame([("r", 1, "P0", "m", "completed")], "blinded_response_id string, question_id int, condition string, model string, status string")
+    judgement = spark.createDataFrame([("r", 2, 1)], "blinded_response_id string, question_id int, correct int")
+    with pytest.raises(Exception, match="another question"):
+        integrity.unblind(judgement, rows, spark.createDataFrame([(1, "x"), (2, "y")], "question_id int, reference string")).collect()
+
+
 def test_paired_goldens(spark):
     conds = [("a", 0), ("b", 1), ("c", 2)]
     fam = spark.createDataFrame([("f", c, i) for c, i in conds], "family string, condition string, ord int")
@@ -133,7 +199,7 @@ def test_search_is_exact_and_nested(spark):
         assert [got[q][k] for k in range(1, 8)] == want and [small[q][k] for k in range(1, 4)] == want[:3]
     one_ = retrieval.top_k_one(df, rows[3][1], 4, exclude=3).collect()
     assert [x.id for x in one_] == [got[3][k] for k in range(1, 5)]
-    dims = retrieval.hash_embedder(8)
+    dims = lambda texts: [[float(len(x) % 5 + i) for i in range(8)] for x in texts]
     assert retrieval.Retriever(df, 2, embed=dims).interactive("hello").count() == 2
     with pytest.raises(ValueError):
         retrieval.Retriever(df, 2, embed=dims).interactive(" ")
