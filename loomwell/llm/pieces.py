@@ -34,7 +34,7 @@ class PieceEncoder:
     one, and what is met there again moves over.
     """
 
-    def __init__(self, path: str, limit: int = 800_000, size: int = 96 << 20):
+    def __init__(self, path: str, limit: int = 800_000, size: int = 160 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 

@@ -25,40 +25,32 @@ def write(docs: DataFrame, place: str, tokenizer: str, *, end_id: int | None = N
     """Encode ``docs`` in ascending order of ``id_col`` and write them to ``place``.
 
     A null text counts as empty; null ids come first; rows that share an id are
-    ordered by their ids' bytes, so rows that repeat each other stand side by
-    side. Texts of any length are encoded whole; columns other than the two named
-    take no part. Documents are encoded where they are read and written once;
-    their ids, not their texts, are dealt by ranges of (id, hash), so even one id
-    with very many rows is spread. A shard is written under another name and
-    renamed when whole, so a task that is run again replaces its shard by an
-    equal one. An empty table gives an index without shards.
+    ordered by their text. Rows are dealt by ranges of (id, hash of the text),
+    so even one id with very many rows is spread. A shard is written under
+    another name and renamed when whole, so a task that is run again replaces
+    its shard by an equal one. Texts of any length are encoded whole; columns
+    other than the two named take no part. An empty table gives an index without
+    shards.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    kind = pieces.encoder(tokenizer).dtype
-    end = b"" if end_id is None else int(end_id).to_bytes(int(kind[2]), "little")
-
-    def ids_of(batches):
-        enc = pieces.encoder(tokenizer)
-        for b in pieces.text_batches(batches, "text"):
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([x + end for x in enc.encode(b.column("text").to_pylist())], pa.binary())], ["id", "ids"])
-
-    encoded = _shared.settle(_shared.map_batches(rows, ids_of, "id long, ids binary"), "encoded")
-    ranged = encoded.repartitionByRange("id", F.xxhash64("ids")).sortWithinPartitions("id", F.xxhash64("ids"), "ids")
+    rows = rows.repartitionByRange("id", F.xxhash64("text")).sortWithinPartitions("id", F.xxhash64("text"), "text")
 
     def shard(batches):
         import numpy as np
 
-        width = int(kind[2])
+        enc = pieces.encoder(tokenizer)
+        end = b"" if end_id is None else np.array([end_id], enc.dtype).tobytes()
         ids, known, lengths = [], [], []
 
         def run():
-            for b in batches:
+            for b in pieces.text_batches(batches, "text"):
                 ids.append(b.column("id").fill_null(0).to_numpy())
                 known.append(b.column("id").is_valid().to_numpy(zero_copy_only=False))
-                for x in b.column("ids"):
-                    raw = x.as_buffer()
-                    lengths.append(raw.size // width)
-                    yield raw
+                for x in enc.encode(b.column("text").to_pylist()):
+                    lengths.append((len(x) + len(end)) // enc.width)
+                    yield x
+                    yield end
 
         first = next(batches, None)
         if first is None:
@@ -73,10 +65,10 @@ def write(docs: DataFrame, place: str, tokenizer: str, *, end_id: int | None = N
         _shared.write_whole(f"{name}.off", [offsets.tobytes()])
         _shared.write_whole(f"{name}.doc", [np.concatenate(ids).astype("<i8").tobytes()])
         _shared.write_whole(f"{name}.set", [np.packbits(np.concatenate(known)).tobytes()])
-        yield pa.RecordBatch.from_pydict({"shard": [k], "docs": [len(lengths)], "ids": [int(offsets[-1])]})
+        yield pa.RecordBatch.from_pydict({"shard": [k], "docs": [len(lengths)], "ids": [int(offsets[-1])], "kind": [enc.dtype]})
 
-    found = _shared.map_batches(ranged, shard, "shard long, docs long, ids long").collect()  # a row for each shard
-    index = {"format": 2, "dtype": kind, "end_id": end_id, "shards": []}
+    found = _shared.map_batches(rows, shard, "shard long, docs long, ids long, kind string").collect()  # a row for each shard
+    index = {"format": 2, "dtype": found[0].kind if found else "<u2", "end_id": end_id, "shards": []}
     docs_before = ids_before = 0
     for r in sorted(found, key=lambda r: r.shard):
         index["shards"].append({"name": f"{r.shard:06d}", "docs": r.docs, "ids": r.ids, "docs_before": docs_before, "ids_before": ids_before})
