@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import sql
+
 
 def _path(name: str) -> str:
     import public_tokenizers
@@ -100,4 +102,4 @@ QUERIES = {
     "op10_simhash": op10_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = sql.ORACLE_SQL
