@@ -123,9 +123,17 @@ def publish(spark: SparkSession, tables: dict[str, DataFrame], place: str, summa
 
     Nothing is replaced unless ``overwrite`` is set, and never while ``guard``
     (human judgements, finished measures) has a row. A reader takes a place
-    without ``summary.json`` for incomplete.
+    without ``summary.json`` for incomplete. What is replaced is moved aside until
+    the new tables are in place; the next call puts it back if this one was cut
+    off in between.
     """
     fs, Path = _hadoop(spark, place)
+    aside = f"{place}.replaced"
+    if fs.exists(Path(aside)):
+        if fs.exists(Path(place)):
+            fs.delete(Path(aside), True)
+        else:
+            _move(fs, Path, aside, place)
     if fs.exists(Path(place)):
         if guard is not None and guard.limit(1).count():
             raise IntegrityError(f"{place} holds finished work and is never overwritten")
@@ -138,9 +146,44 @@ def publish(spark: SparkSession, tables: dict[str, DataFrame], place: str, summa
         verify_round_trip(df, spark.read.parquet(f"{staging}/{name}"))
     body = json.dumps(summary, sort_keys=True, allow_nan=False)
     spark.createDataFrame([(body,)], "value string").coalesce(1).write.text(f"{staging}/summary.json")
-    fs.delete(Path(place), True)
-    if not fs.rename(Path(staging), Path(place)):
-        raise IntegrityError(f"{staging} could not be moved to {place}")
+    replaced = fs.exists(Path(place))
+    if replaced:
+        _move(fs, Path, place, aside)
+    try:
+        _move(fs, Path, staging, place)
+    except Exception:
+        if replaced:
+            _move(fs, Path, aside, place)
+        raise
+    fs.delete(Path(aside), True)
+
+
+def publish_files(files: dict[str, bytes], folder: str) -> None:
+    """Small files on the driver's disk: all of them appear whole, or none does; one that is there already is an error."""
+    import os
+    import tempfile
+
+    if any(os.path.basename(name) != name or not name for name in files):
+        raise IntegrityError(f"not plain names: {sorted(files)}")
+    os.makedirs(folder, exist_ok=True)
+    made = []
+    try:
+        with tempfile.TemporaryDirectory(dir=folder) as half:
+            for name, body in files.items():
+                with open(os.path.join(half, name), "wb") as f:
+                    f.write(body)
+            for name in files:
+                os.link(os.path.join(half, name), os.path.join(folder, name))  # fails where the name is taken
+                made.append(name)
+    except BaseException:
+        for name in made:
+            os.unlink(os.path.join(folder, name))
+        raise
+
+
+def _move(fs, Path, a: str, b: str) -> None:
+    if not fs.rename(Path(a), Path(b)):
+        raise IntegrityError(f"{a} could not be moved to {b}")
 
 
 def _hadoop(spark: SparkSession, place: str):

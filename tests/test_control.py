@@ -10,6 +10,7 @@ from loomwell import __main__ as cli
 from loomwell import contracts
 from loomwell.operators import execution
 from loomwell.operators.audit import IntegrityError
+from loomwell.sources import files
 
 ASKED = [{"id": f"r{i}", "max_cost": "0.4"} for i in range(4)]
 
@@ -104,6 +105,30 @@ def test_review_states(tmp_path):
         s.state()
 
 
+def test_publish_replaces_whole_tables(spark, tmp_path):
+    place, one, two = str(tmp_path / "out"), spark.range(3), spark.range(5)
+    files.publish(spark, {"t": one}, place, {"n": 3})
+    with pytest.raises(FileExistsError):
+        files.publish(spark, {"t": two}, place, {"n": 5})
+    files.publish(spark, {"t": two}, place, {"n": 5}, overwrite=True)
+    assert spark.read.parquet(f"{place}/t").count() == 5
+    (tmp_path / "out").rename(tmp_path / "out.replaced")  # as if a call had been cut off between its two moves
+    with pytest.raises(FileExistsError):
+        files.publish(spark, {"t": one}, place, {"n": 3})
+    assert spark.read.parquet(f"{place}/t").count() == 5 and not (tmp_path / "out.replaced").exists()
+    with pytest.raises(IntegrityError, match="never overwritten"):
+        files.publish(spark, {"t": one}, place, {"n": 3}, overwrite=True, guard=one)
+
+
+def test_files_appear_together_or_not_at_all(tmp_path):
+    files.publish_files({"a": b"1", "b": b"2"}, str(tmp_path))
+    with pytest.raises(FileExistsError):
+        files.publish_files({"c": b"3", "b": b"9"}, str(tmp_path))
+    assert {p.name: p.read_bytes() for p in tmp_path.iterdir()} == {"a": b"1", "b": b"2"}
+    with pytest.raises(IntegrityError):
+        files.publish_files({"../x": b""}, str(tmp_path))
+
+
 def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["list"]) == 0 and "vector_topk" in capsys.readouterr().out
     assert cli.main(["run", "uniqueness", "/root/testdata/sf0.001", str(tmp_path / "o")]) == 0
