@@ -134,7 +134,8 @@ def dedup(vectors: DataFrame, *, least: float = 0.93, id_col: str = "vec_id", ve
     null or non-finite components link with nothing and are kept, as are rows
     without a label; vectors of different lengths don't link. Rows with the same
     id are one vector each and share what the links of any of them reach. A row
-    with a null id gets null. An empty table gives no rows.
+    with a null id gets null. An empty table gives no rows. Columns other than the
+    three named take no part, whatever they are called.
     """
     import numpy as np
 

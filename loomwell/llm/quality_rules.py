@@ -4,8 +4,9 @@ The base counts and the base rule are fixed. Beyond them each rule compares one
 measure with a cutoff, and labelled good documents that pass the base rule decide
 the cutoff: for every stratum, rule and candidate cutoff the rejected ones are
 counted, an exact (Clopper-Pearson) upper bound of the rate of false rejection
-is taken at confidence 1 - error / (strata * rules * cutoffs), and the strictest
-cutoff whose bound is within the rule's share of the allowed rate is used. With
+is taken at confidence 1 - error / (strata * rules), and the strictest cutoff
+whose bound is within the rule's share of the allowed rate is used: a rule's
+cutoffs are nested and tested in fixed sequence, so they share no error. With
 probability 1 - error all chosen cutoffs hold together, and in no stratum more
 than ``max_false_rejection`` of the good documents are rejected. Where no cutoff
 can be certified the rule stays off in that stratum.
@@ -187,7 +188,8 @@ def judge(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     stratum of the empty string; documents without a label take no part in the
     choice of cutoffs; a document labelled twice counts as good if any label
     says so. Repeated rows are judged each, an empty table gives no rows, and
-    without labels the base rule alone decides.
+    without labels the base rule alone decides. Texts of any length are counted
+    whole; columns other than the three named take no part, whatever they are called.
     """
     found = _shared.settle(measured(docs, id_col=id_col, text_col=text_col, stratum_col=stratum_col), "measures")
     marked = labels.filter(F.col(label_col) == 1).select(F.col(id_col).cast("long").alias("doc_id")).distinct()

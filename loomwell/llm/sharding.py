@@ -41,7 +41,9 @@ def shards(docs: DataFrame, *, shards: int = 40, id_col: str = "doc_id", text_co
     The law is ``rows``: shards differ by one row at most; ``grown_shard`` is
     null. A null text has no bytes and is one group with the empty text. Null
     ids are rows as others; repeated rows are placed each; with fewer rows than
-    shards some shards stay empty; an empty table gives no rows.
+    shards some shards stay empty; an empty table gives no rows. Of a text of any
+    length only its size and digests are moved; columns other than the two named
+    take no part, whatever they are called.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(

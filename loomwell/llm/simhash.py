@@ -209,7 +209,9 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
     fingerprint zero and links with any other that is near; rows with the same
     text are one class; a row with a null id counts in its class, but no
     component is named after it unless it has only such rows (then null).
-    Repeated rows are kept, an empty table gives no rows.
+    Repeated rows are kept, an empty table gives no rows. Texts of any length are
+    taken whole; columns other than the two named take no part, whatever they are
+    called.
     """
     found = _shared.settle(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle), "fingerprints")
     classes = _shared.settle(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
