@@ -20,11 +20,12 @@ from . import forest
 
 # Private key blocks with their headers, lines of key characters and END line; quoted values after = or :; values without quotes
 # after a key word and = or :; long runs of key characters with a digit. Each goes to its end, however long it is.
+# All but the first begin after a sign that is no letter or digit; asking that first spares most places the rest.
 CANDIDATE = (
     r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:\s*[A-Za-z][A-Za-z0-9\-]*:(?:(?!-----)[\s\S])*?\n[ \t\r]*\n)?(?:\s*[A-Za-z0-9+/=]{16,}(?![^\s\-]))*(?:\s*[A-Za-z0-9+/=]{1,64}(?=\s*-----END))?(?:\s*-----END [A-Z ]{0,20}PRIVATE KEY-----)?"
-    r"|(?<=[=:] {0,2}[\"'])[^\s\"']{8,}"
-    r"|(?<=(?:token|secret|passwd|password|api_key|apikey|access_key|TOKEN|SECRET|PASSWORD|API_KEY|ACCESS_KEY) {0,1}[=:] {0,1})[A-Za-z0-9+/_=.\-]{8,}"
-    r"|(?<![A-Za-z0-9+/_=.\-])(?=[A-Za-z+/_=.\-]*[0-9])[A-Za-z0-9+/_=.\-]{16,}"
+    r"|(?<![A-Za-z0-9])(?:(?<=[=:] {0,2}[\"'])[^\s\"']{8,}"
+    r"|(?<=[=:] {0,1})(?<=(?:token|secret|passwd|password|api_key|apikey|access_key|TOKEN|SECRET|PASSWORD|API_KEY|ACCESS_KEY) {0,1}[=:] {0,1})[A-Za-z0-9+/_=.\-]{8,}"
+    r"|(?<![A-Za-z0-9+/_=.\-])(?=[A-Za-z+/_=.\-]*+[0-9])[A-Za-z0-9+/_=.\-]{16,})"
 )
 BEFORE, AFTER = 48, 24
 
