@@ -46,6 +46,12 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(spark: SparkSession, place: str) -> None:
+    """Delete a table that nothing reads any more, wherever the shared folder is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(place)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of ``df`` is called so."""
     taken = {c.lower() for c in df.columns}
