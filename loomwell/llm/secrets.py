@@ -18,14 +18,24 @@ from pyspark.sql import functions as F
 
 from . import forest
 
-# Private key blocks with their headers, lines of key characters and END line; quoted values after = or :; values without quotes
-# after a key word and = or :; long runs of key characters with a digit. Each goes to its end, however long it is.
+# All that repeats is possessive, which Java runs as a loop: other groups recurse once a turn and end in a full stack on a long key.
+_GAP = r"(?:[ \t\r\n]|\\[nr])*+"  # between the lines of a key; in strings they may be written as signs
+_LINE_ENDS = r"(?=[ \t]*+(?:(?![^\r\n])|\\[nr]|-----|[\"']))"
+# Lines of Name: value, one at least, then an empty line and key characters.
+_HEADERS = rf"(?:[ \t]*+\r?+\n(?:[A-Za-z][A-Za-z0-9\-]{{0,60}}+:[^\n]*+\n(?:[ \t]++[^\s][^\n]*+\n)*+)++[ \t\r]*+\n(?=[ \t]*+[A-Za-z0-9+/=]{{16,}}+{_LINE_ENDS}))?+"
+# Runs of key characters that fill a line to its end, or within a line where they are no word.
+_BODY = rf"(?:{_GAP}(?:(?=[A-Za-z=]{{0,39}}+[0-9+/]|[A-Za-z=]{{40}})[A-Za-z0-9+/=]{{16,}}+(?![^\s\\\-\"'])|[A-Za-z0-9+/=]{{16,}}+{_LINE_ENDS}))"
+_LAST = rf"{_GAP}[A-Za-z0-9+/=]{{1,64}}+(?={_GAP}-----END)"
+_END = rf"(?:{_GAP}-----END [A-Z ]{{0,20}}PRIVATE KEY(?: BLOCK)?-----)"
+_KEY_WORD = r"(?i:token|secret|passwd|password|passphrase|pwd|credentials?|(?:api|access|private|auth|account)[\-_]?key)"
+# Private key blocks with their headers, lines and END line; quoted values after = or :; values without quotes after a key word, in any
+# spelling, and = or :; long runs of key characters with a digit. Each goes to its end, however long it is.
 # All but the first begin after a sign that is no letter or digit; asking that first spares most places the rest.
 CANDIDATE = (
-    r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:\s*[A-Za-z][A-Za-z0-9\-]*:(?:(?!-----)[\s\S])*?\n[ \t\r]*\n)?(?:\s*[A-Za-z0-9+/=]{16,}(?![^\s\-]))*(?:\s*[A-Za-z0-9+/=]{1,64}(?=\s*-----END))?(?:\s*-----END [A-Z ]{0,20}PRIVATE KEY-----)?"
-    r"|(?<![A-Za-z0-9])(?:(?<=[=:] {0,2}[\"'])[^\s\"']{8,}"
-    r"|(?<=[=:] {0,1})(?<=(?:token|secret|passwd|password|api_key|apikey|access_key|TOKEN|SECRET|PASSWORD|API_KEY|ACCESS_KEY) {0,1}[=:] {0,1})[A-Za-z0-9+/_=.\-]{8,}"
-    r"|(?<![A-Za-z0-9+/_=.\-])(?=[A-Za-z+/_=.\-]*+[0-9])[A-Za-z0-9+/_=.\-]{16,})"
+    rf"-----BEGIN [A-Z ]{{0,20}}PRIVATE KEY(?: BLOCK)?-----{_HEADERS}(?:{_BODY}++(?:{_LAST})?+{_END}?+|{_LAST}{_END})"
+    r"|(?<![A-Za-z0-9])(?:(?<=[=:] {0,3}[\"'])[^\s\"']{8,}"
+    rf"|(?<=[=:>] {{0,3}})(?<={_KEY_WORD}[\"']? {{0,3}}(?:[=:]|:=|=>) {{0,3}})[^\s\"'`,;<>(){{}}\[\]]{{8,}}"
+    r"|(?<![A-Za-z0-9+/_.\-])(?=[A-Za-z+/_.\-]*+[0-9])[A-Za-z0-9+/_.\-]{16,}={0,2})"
 )
 BEFORE, AFTER = 48, 24
 
@@ -44,10 +54,13 @@ DICTIONARY = (
     "theme time title today tool total track type under unit update upload user value version video view water website week white width window winter word "
     "work world write year yellow your"
 ).split()
-KEY_WORDS = r"(?i)(token|secret|passw|pwd|api.?key|access.?key|auth|bearer|credential|private|signature)"
-OTHER_WORDS = r"(?i)(example|sample|dummy|placeholder|changeme|xxxx|your[_-]|commit|sha-?1|sha-?256|md5|checksum|digest|uuid|guid|order|invoice|isbn|version|mail|https?:|www\.|card|phone)"
+KEY_WORDS = r"(?i)(token|secret|passw|passphrase|pwd|api.?key|access.?key|account.?key|auth|bearer|credential|private|signature)"
+OTHER_WORDS = r"(?i)((?<![a-z])(example|sample|dummy|placeholder|changeme|commit|sha-?1|sha-?256|md5|checksum|digest|uuid|guid|order|invoice|isbn|version|e?mail|card|phone)(?![a-z])|xxxx|your[_-]|changeme|https?:|www\.)"
 TEST_PATH = r"(?i)(^|[/_.\-])(tests?|examples?|docs?|samples?|fixtures?|mocks?)([/_.\-]|$)"
-FEATURES = ["length", "transitions", "digits", "capitals", "symbols", "distinct", "hexadecimal", "dictionary", "key_near", "other_near", "assigned", "quoted", "test_path", "dotted", "key_inside"]
+FEATURES = ["length", "transitions", "digits", "capitals", "symbols", "distinct", "hexadecimal", "dictionary", "key_near", "other_near", "assigned", "equals", "quoted", "test_path", "dotted", "key_inside", "vowel_steps", "consonant_runs"]
+
+# The characters that are told apart, all that ASCII can print.
+PRINTABLE = "".join(map(chr, range(33, 127)))
 
 
 def _share(c: Column, pattern: str) -> Column:
@@ -65,16 +78,19 @@ def features(before: Column, cand: Column, after: Column, path: Column) -> list[
         _share(cand, "[^0-9]"),
         _share(cand, "[^A-Z]"),
         _share(cand, "[A-Za-z0-9]"),
-        F.size(F.array_distinct(F.split(cand, ""))) / F.least(F.greatest(F.length(cand), F.lit(1)), F.lit(64)),
+        F.aggregate(F.array(*[F.lit(c) for c in PRINTABLE]), F.lit(0), lambda n, c: n + F.contains(cand, c).cast("int")) / F.least(F.greatest(F.length(cand), F.lit(1)), F.lit(64)),
         yes(cand.rlike(r"^[0-9a-fA-F]+\z")),
         F.lit(1.0) - _share(cand, words),
         yes(before.rlike(KEY_WORDS)),
         yes(before.rlike(OTHER_WORDS) | cand.rlike(OTHER_WORDS)),
-        yes(before.rlike(r"[:=]\s*[\"']?\s*\z")),
+        yes(before.rlike(r"[:=]>?\s*[\"'`]?\s*\z")),
+        yes(before.rlike(r"=>?\s*[\"'`]?\s*\z")),
         yes(before.rlike(r"[\"'`]\z") & after.rlike(r"^[\"'`]")),
         yes(F.coalesce(path, F.lit("")).rlike(TEST_PATH)),
         F.length(F.regexp_replace(cand, r"[^./]", "")).cast("double"),
         yes(cand.rlike(r"^(AKIA|ASIA|gh[pousr]_|sk_live_|xox[abp]-|AIza|eyJ|glpat-|npm_|-----BEGIN)")),
+        _share(cand, "(?i)[aeiouy][^aeiouy0-9]"),
+        _share(cand, "(?i)[bcdfghjklmnpqrstvwxz]{4,}"),
     ]
 
 
@@ -84,7 +100,7 @@ class Scanner:
     threshold: float = 0.5
 
 
-def labelled_findings(n: int = 1600, seed: int = 17) -> list[tuple[str, str, str, str, int]]:
+def labelled_findings(n: int = 2400, seed: int = 17) -> list[tuple[str, str, str, str, int]]:
     """(before, candidate, after, path, label) rows made by rule; label 1: a secret."""
     import random
 
@@ -93,9 +109,12 @@ def labelled_findings(n: int = 1600, seed: int = 17) -> list[tuple[str, str, str
     alnum = b64[:62]
     run = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
     word = lambda: run("aeiourstnlm", r.randint(2, 9))
-    name = lambda: r.choice(["token", "secret", "api_key", "password", "auth_token", "client_secret", "access_key", "TOKEN"])
+    name = lambda: r.choice(["token", "secret", "api_key", "password", "auth_token", "client_secret", "access_key", "TOKEN", "apiKey", "Password", "api-key", "ACCESS_KEY", "dbPassword", "pwd", "secret-key", "AccountKey"])
+    low, digrams = "abcdefghijklmnopqrstuvwxyz", "th he in er an re on at en nd st es ng of te ed or ti hi as to ar le is ve me al ou it ha".split()
+    spoken = lambda k: "".join(r.choice(digrams) for _ in range(k))
+    pem = lambda n: "-----BEGIN " + r.choice(["", "RSA ", "EC ", "OPENSSH "]) + "PRIVATE KEY-----\n" + "\n".join(run(b64, 64) for _ in range(n)) + r.choice(["", "\n" + run(b64, 20) + "==\n-----END PRIVATE KEY-----"])
     lead = lambda: " ".join(word() for _ in range(r.randint(0, 5)))
-    glue = lambda: r.choice([' = "', "=", ": ", ' : "', '="', " = '"])
+    glue = lambda: r.choice([' = "', "=", ": ", ' : "', '="', " = '", '": "', " => ", " := ", " = "])
     path = lambda: r.choice(["src0", "src7", "app/settings.py", "deploy/prod.env", "", "web/index.html"])
     test = lambda: r.choice(["tests/test_api.py", "docs/usage.md", "examples/demo.js"])
 
@@ -105,8 +124,12 @@ def labelled_findings(n: int = 1600, seed: int = 17) -> list[tuple[str, str, str
             lambda: run(hexes, r.choice([32, 40, 40, 40, 64])), lambda: run(alnum, r.randint(20, 48)), lambda: run(b64, r.choice([40, 44, 64])) + r.choice(["", "=", "=="]),
             lambda: "AKIA" + run("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16), lambda: "ghp_" + run(alnum, 36), lambda: "sk_live_" + run(alnum, 24),
             lambda: "eyJ" + run(alnum, 30) + "." + run(alnum, 40) + "." + run(alnum + "_-", 43), lambda: run(alnum + "!@#%^&*", r.randint(10, 20)),
+            lambda: run(low, r.randint(14, 28)), lambda: run(alnum[:52], r.randint(14, 40)), lambda: run(low + "0123456789", r.randint(12, 32)), lambda: pem(r.randint(1, 20)),
+            lambda: "".join(r.choice(DICTIONARY) for _ in range(r.randint(2, 4))), lambda: r.choice(DICTIONARY) * 3,
         ])()
-        own = c[:4] in ("AKIA", "ghp_", "sk_l", "eyJa") and r.random() < 0.5
+        if c.isalpha() and g == ": ":  # like prose, see below
+            g = "="
+        own = c[:3] in ("AKI", "ghp", "sk_", "eyJ", "---") and (c[0] == "-" or r.random() < 0.5)
         return (lead() + " " if own else f"{lead()} {name()}{g}", c, (g[-1] if g[-1] in "\"'" else "") + " " + lead(), path(), 1)
 
     def other():
@@ -123,6 +146,9 @@ def labelled_findings(n: int = 1600, seed: int = 17) -> list[tuple[str, str, str
             lambda: (f'{lead()} {r.choice(["title", "class", "href", "label", "color"])}{r.choice([" = ", ": ", "="])}"', "_".join(r.choice(DICTIONARY) for _ in range(r.randint(2, 4))), '" ' + lead(), path()),
             lambda: (lead() + " ", run("0123456789", 3) + "." + run("0123456789", 3) + "." + run("0123456789", 3) + "." + run("0123456789", 5), " " + lead(), path()),
             lambda: (lead() + " ", word() + word() + word() + str(r.randint(1, 999)) + word(), " " + lead(), path()),
+            lambda: (f"{lead()} {name()}: ", r.choice([spoken(r.randint(4, 10)), r.choice(DICTIONARY) + r.choice(["ing", "tion", "able", "ment"]), word() + word() + word()]) + r.choice(["", ".", "."]), " " + lead(), path()),
+            lambda: (f"{lead()} {name()}: ", spoken(r.randint(4, 7)) + r.choice(["", "ing", "ed", "."]), " " + lead(), path()),
+            lambda: (f'{lead()} {r.choice(["title", "name", "note", "caption"])}{r.choice([" = ", ": ", "="])}"', spoken(r.randint(4, 12)), '" ' + lead(), path()),
         ]
         return (*r.choice(kinds)(), 0)
 
