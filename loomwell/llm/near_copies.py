@@ -9,9 +9,11 @@ no partition of 64 bits finds without comparing a fixed share of all pairs, so
 the rest comes from the shingles themselves: they are put into one order for all
 texts; two sets that are similar enough share one of their first
 n - ceil(4n/5) + 1 shingles, their prefixes, and at the first one they share
-enough must be left in either set. Shingles that are frequent in a sample come
-last in the order, so that few texts meet in them; the sample decides the cost
-and never the result. The search is exact up to collisions of 64-bit hashes.
+enough must be left in either set. The order goes by how often a shingle is found
+in a sample, in powers of two, the rarest first: a shingle that very many texts hold
+is in a prefix only where four fifths of a text are as common, so few texts meet
+in it. The sample decides the cost and never the result. The search is exact up to
+collisions of 64-bit hashes.
 
 Texts with the same set are one class. In a first pass the classes of a shingle
 are compared with one of them only; who is linked then is not compared again, so a large group of near copies is not verified pair by pair. Before sets
@@ -30,7 +32,7 @@ from .components import components
 
 SHINGLE, LEAST = 5, (4, 5)
 SHARE = 16  # one text of so many tells which shingles are frequent
-LATE_BITS = 26  # frequent shingles are marked in a bitmap of two to this power
+GRADE_BITS = 24  # how frequent shingles are is kept for two to this power of residues, in four bits each
 MARK_BITS = 2048
 
 
@@ -75,34 +77,35 @@ def _sets(rows: DataFrame) -> DataFrame:
     return _shared.map_batches(rows.select("text"), run, "key binary, found array<long>")
 
 
-def frequent(rows: DataFrame):
-    """Which residues frequent shingles have: 2 ** LATE_BITS bits in 64-bit integers, 8 MB whatever the corpus."""
+def grades(rows: DataFrame):
+    """How frequent shingles are in the sample, as the logarithm of their count, for each residue: 16 in a 64-bit integer, 8 MB whatever the corpus."""
     import numpy as np
 
     some = rows.filter(F.pmod(F.xxhash64("h"), F.lit(SHARE)) == 0).dropDuplicates(["h"])
     counts = _sets(some).select(F.explode("found").alias("token")).groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
-    at = F.col("token").bitwiseAND(F.lit((1 << LATE_BITS) - 1))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
-    got = counts.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
-    out = np.zeros(1 << (LATE_BITS - 6), np.int64)
+    at = F.col("token").bitwiseAND(F.lit((1 << GRADE_BITS) - 1))
+    by = counts.groupBy(at.alias("at")).agg(F.least(F.lit(15), F.floor(F.log2(F.max("n")))).cast("long").alias("g"))
+    nibble = F.call_function("shiftleft", F.col("g"), (F.col("at").bitwiseAND(F.lit(15)) * 4).cast("int"))
+    got = by.groupBy(F.shiftright("at", 4).alias("word")).agg(F.bit_or(nibble).alias("bits")).toArrow()
+    out = np.zeros(1 << (GRADE_BITS - 4), np.int64)
     out[got.column("word").to_numpy()] = got.column("bits").to_numpy()
     return out
 
 
-def in_order(found, late):
-    """Hashes in the order of all texts: those that ``late`` marks last, else ascending."""
+def in_order(found, graded):
+    """Hashes in the order of all texts: by grade, then ascending."""
     import numpy as np
 
-    at = found & ((1 << LATE_BITS) - 1)
-    return found[np.argsort(late[at >> 6] >> (at & 63) & 1, kind="stable")]
+    at = found & ((1 << GRADE_BITS) - 1)
+    return found[np.argsort(graded[at >> 4] >> (at & 15) * 4 & 15, kind="stable")]
 
 
-def prefixes(rows: DataFrame, late) -> DataFrame:
+def prefixes(rows: DataFrame, graded) -> DataFrame:
     """(doc_id, h, key, size, fp, mark, prefix): fingerprint, bitmap and the first shingles in the order."""
     import numpy as np
 
     num, den = LEAST
-    shared = rows.sparkSession.sparkContext.broadcast(late)  # of fixed size
+    shared = rows.sparkSession.sparkContext.broadcast(graded)  # of fixed size
 
     def run(batches):
         pieces.release()
@@ -162,18 +165,10 @@ def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFram
     return _shared.settle(both.filter(den * common >= num * (F.size("x") + F.size("y") - common)).select("a", "b"), "links")
 
 
-def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, component_id of every document.
-
-    ``component_id`` is the least id that links reach. Null and empty texts and
-    those without words are one class; a row with a null id counts in its class,
-    but no component is named after it unless it has only such rows (then null).
-    Texts of any length are taken whole. Repeated rows are kept, columns other
-    than the two named take no part, whatever they are called, and an empty table
-    gives no rows.
-    """
+def _rooted(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, h, key, ...) of the rows, and (key, root, least) of the classes: the component and the least id of each."""
     rows = _rows(docs, id_col, text_col)
-    found = _shared.settle(prefixes(rows, frequent(rows)), "prefixes")
+    found = _shared.settle(prefixes(rows, grades(rows)), "prefixes")
     classes = found.groupBy("key").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "h")).alias("rep"), *[F.first(x).alias(x) for x in ("size", "fp", "mark", "prefix")])
     classes = _shared.settle(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
     entries = classes.select("c", "size", F.posexplode("prefix").alias("pos", "token"))
@@ -190,6 +185,40 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
     pairs = part.alias("a").join(part.alias("b"), "token").filter("a.c > b.c AND a.part <> b.part").filter(_fits("a", "b")).select(F.col("a.c").alias("a"), F.col("b.c").alias("b")).distinct()
     roots = components(links.union(_verified(pairs, classes, rows)))
     named = classes.select("key", "least", "c").join(roots, F.col("c") == roots.node, "left").select("key", "least", F.coalesce("root", "c").alias("root"))
-    named = _shared.settle(named, "named")
+    return found, _shared.settle(named, "named")
+
+
+def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, component_id of every document.
+
+    ``component_id`` is the least id that links reach. Null and empty texts and
+    those without words are one class; a row with a null id counts in its class,
+    but no component is named after it unless it has only such rows (then null).
+    Texts of any length are taken whole. Repeated rows are kept, columns other
+    than the two named take no part, whatever they are called, and an empty table
+    gives no rows.
+    """
+    found, named = _rooted(docs, id_col, text_col)
     named = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("key", "component_id")
     return found.select("doc_id", "key").join(named, "key").select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay: one of each group, with all columns.
+
+    It is one with the least id (null ids come last), and of those with that id the text with the
+    least hash: what else has the same id, in this group or another, is judged by its
+    own text. Of rows that repeat id and text the one with the least other columns stays. Null
+    and empty texts and those without words are one group; texts of any length are taken whole;
+    extra columns may be called anything, and an empty table gives no rows.
+    """
+    found, named = _rooted(docs, id_col, text_col)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "h")).alias("m")
+    chosen = found.select("doc_id", "h", "key").join(named.select("key", "root"), "key").groupBy("root").agg(least)
+    key, none, h, text, null = (_shared.fresh(docs, f"_{n}") for n in ("id", "none", "h", "text", "null"))
+    chosen = chosen.select(F.col("m.id").alias(key), F.col("m.none").alias(none), F.col("m.h").alias(h))
+    whole = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.withColumns({key: F.coalesce(F.col(id_col).cast("long"), F.lit(0)), none: F.col(id_col).isNull(), h: F.xxhash64(whole), text: whole, null: F.col(text_col).isNull()})
+    rest = F.min(F.struct(*[c for c in docs.columns if c != text_col], null)).alias("rest")
+    kept = rows.drop(text_col).join(chosen, [key, none, h], "left_semi").groupBy(key, none, h, text).agg(rest).select("rest.*", text)
+    return kept.withColumn(text_col, F.when(~F.col(null), F.col(text))).select(docs.columns)
