@@ -13,7 +13,11 @@ from loomwell.llm import _shared, byte_cnn, near_copies, packing, secrets, toxic
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose noisy-or score is 0.5 or more go."""
+    """Documents whose noisy-or score is 0.5 or more go.
+
+    Null and empty texts have the score of no sentence, repeated rows and ties are judged each alone, texts of
+    any length are read whole; an empty table gives no rows; extra columns pass, whatever they are called.
+    """
     source, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.fit(source, labels)
     score = _shared.fresh(docs, "_toxicity")
@@ -21,7 +25,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose probability of good quality is below 0.5 go."""
+    """Documents whose probability of good quality is below 0.5 go.
+
+    Null texts count as empty ones, repeated rows and ties are judged each alone, texts of any length are read
+    whole; an empty table gives no rows; extra columns pass, whatever they are called.
+    """
     source, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     net = byte_cnn.fit(source, labels)
     score = _shared.fresh(docs, "_quality")
@@ -29,26 +37,31 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (Jaccard similarity of 5-word shingles 0.8 or more) the document with the least id stays.
+    """Of each group of near-duplicates (Jaccard similarity of 5-word shingles 0.8 or more) one document stays.
 
-    Rows that repeat its id and text are one document, of which the row with the
-    least other columns stays. One shuffle by the ids serves the join and them.
+    It is one with the least id (null ids last); a row goes or stays by its own text, whatever other
+    rows share its id. Repeated rows are one document, ties go to the least text hash and the
+    least other columns; texts of any length are compared whole; an empty table gives no rows; extra columns pass.
     """
-    key, none = _shared.fresh(docs, "_kept"), _shared.fresh(docs, "_none")
-    named = {key: F.coalesce(F.col("doc_id"), F.lit(0)), none: F.col("doc_id").isNull()}
-    kept = near_copies.groups(docs).filter("doc_id <=> component_id").select(*[c.alias(n) for n, c in named.items()]).distinct()
-    rest = F.min(F.struct(*[c for c in docs.columns if c != "text"])).alias("rest")
-    return docs.withColumns(named).join(kept, [key, none], "left_semi").groupBy(key, none, "text").agg(rest).select("rest.*", "text").select(docs.columns)
+    return near_copies.one_of_each(docs)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in texts are replaced by a mark; ``n_chars`` follows."""
+    """Secrets in texts are replaced by a mark; ``n_chars`` follows.
+
+    Every row stays, repeated ones too; null texts stay null; texts and secrets of any length are taken whole;
+    an empty table gives no rows; extra columns pass, whatever they are called.
+    """
     out = secrets.redact(docs, secrets.fit(spark))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, packed into sequences of 4096 tokens."""
+    """What is left, packed into sequences of 4096 tokens.
+
+    Null and empty texts are the end token alone, repeated rows are packed each, of equal lengths any may come
+    first, longer texts are cut into pieces; an empty table gives no rows; other columns than id and text are left out.
+    """
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), size=4096, end_id=1)
