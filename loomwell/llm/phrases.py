@@ -25,7 +25,7 @@ from . import _shared, pieces
 ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 FILTER_BITS = 26
 #: Words that a task holds before it hands its counts over, and different ones before it forgets them.
-HELD, KNOWN = 2_000_000, 400_000
+HELD, KNOWN = 1_000_000, 200_000
 SLICE = 1 << 20
 
 _TABLE = bytes.maketrans(ENDS + bytes(range(65, 91)), b"," * len(ENDS) + bytes(range(97, 123)))
@@ -70,6 +70,13 @@ def mixed(before, word):
     return (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
 
 
+def hashed(words: list[bytes]):
+    import numpy as np
+    import xxhash
+
+    return np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
+
+
 def runs(ids, hashes, k: int):
     """Hashes of the phrases of k words that begin at each place."""
     h = hashes[ids[:len(ids) - k + 1]]
@@ -87,12 +94,12 @@ def holds(bits, h):
 
 
 def counted(ids, hashes, k: int, bits):
-    """(first place, count, hash) of each different phrase of k words within pieces whose two parts ``bits`` marks."""
+    """(first place, count) of each different phrase of k words within pieces whose two parts ``bits`` marks."""
     import numpy as np
 
     m = len(ids) - k + 1
     if m <= 0:
-        return (np.zeros(0, np.int64),) * 3
+        return (np.zeros(0, np.int64),) * 2
     ok = np.ones(m, bool)
     for j in range(k):
         ok &= ids[j:m + j] != 0
@@ -101,48 +108,41 @@ def counted(ids, hashes, k: int, bits):
         ok &= part[:m] & part[1:m + 1]
     at = np.flatnonzero(ok)
     if not len(at):
-        return (np.zeros(0, np.int64),) * 3
+        return (np.zeros(0, np.int64),) * 2
     # Exact codes of phrases: words, then pairs of codes made dense, never the hashes.
     code = ids[at].astype(np.int64)
     for j in range(1, k):
         code = np.unique(code, return_inverse=True)[1] if j > 1 else code
         code = code << 32 | ids[at + j]
     _, first, n = np.unique(code, return_index=True, return_counts=True)
-    first = at[first]
-    h = hashes[ids[first]]
-    for j in range(1, k):
-        h = mixed(h, hashes[ids[first + j]])
-    return first, n, h
+    return at[first], n
 
 
 def _level(rows: DataFrame, k: int, bits, least: int) -> DataFrame:
-    """(lang, phrase, f, h) of the phrases of k words found ``least`` times or more; level 1 adds the count of all words as phrase ''."""
+    """(lang, phrase, f) of the phrases of k words found ``least`` times or more; level 1 adds the count of all words as phrase ''."""
     import numpy as np
 
     shared = rows.sparkSession.sparkContext.broadcast(bits) if bits is not None else None
 
-    def run(batches):
-        import xxhash
+    def batch(lang, phrases, n):
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], ["lang", "phrase", "f"])
 
+    def run(batches):
         pieces.release()
         held: dict[str, list] = {}
         known, n_held = Words(), 0
 
         def counts():
-            hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in known.words), np.uint64, len(known.words))
+            hashes = hashed(known.words)
             for lang, parts in held.items():
                 ids = np.concatenate(parts)
-                first, n, h = counted(ids, hashes, k, shared.value if shared else None)
-                words = [[known.words[i] for i in ids[first + j].tolist()] for j in range(k)]
-                phrases = words[0] if k == 1 else list(map(b" ".join, zip(*words)))
-                n, h = n.astype(np.int64).tolist(), h.view(np.int64).tolist()
+                first, n = counted(ids, hashes, k, shared.value if shared else None)
+                for i in range(0, len(first), 20_000):
+                    at = first[i:i + 20_000]
+                    words = [[known.words[x] for x in ids[at + j].tolist()] for j in range(k)]
+                    yield batch(lang, words[0] if k == 1 else list(map(b" ".join, zip(*words))), n[i:i + 20_000])
                 if k == 1:
-                    phrases, n, h = [*phrases, b""], [*n, int((ids != 0).sum())], [*h, 0]
-                for i in range(0, len(phrases), 20_000):
-                    part = slice(i, i + 20_000)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(phrases[part]), pa.string()), pa.array(phrases[part], pa.binary()).cast(pa.string()), pa.array(n[part], pa.int64()), pa.array(h[part], pa.int64())],
-                        ["lang", "phrase", "f", "h"])
+                    yield batch(lang, [b""], [int((ids != 0).sum())])
 
         for b in pieces.text_batches(batches, "text"):
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").cast(pa.binary())):
@@ -155,17 +155,23 @@ def _level(rows: DataFrame, k: int, bits, least: int) -> DataFrame:
                     known, n_held = Words(), 0
         yield from counts()
 
-    found = _shared.map_batches(rows, run, "lang string, phrase string, f long, h long")
-    return found.groupBy("lang", "phrase").agg(F.sum("f").alias("f"), F.first("h").alias("h")).filter((F.col("f") >= least) | (F.col("phrase") == ""))
+    found = _shared.map_batches(rows, run, "lang string, phrase string, f long")
+    return found.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).filter((F.col("f") >= least) | (F.col("phrase") == ""))
 
 
 def bitmap(level: DataFrame):
     """The hashes of a level as 2 ** FILTER_BITS bits: 8 MB for any number of phrases."""
     import numpy as np
 
-    at = F.call_function("shiftrightunsigned", F.col("h"), F.lit(64 - FILTER_BITS))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
-    got = level.filter("phrase <> ''").groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    def run(batches):
+        for b in batches:
+            known = Words()
+            ids = [[known[w] for w in p.encode().split(b" ")] for p in b.column("phrase").to_pylist()]
+            hashes = hashed(known.words)
+            places = np.array([int(runs(np.array(x), hashes, len(x))[0] >> np.uint64(64 - FILTER_BITS)) for x in ids], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(places >> 6), pa.array((np.uint64(1) << (places & 63).astype(np.uint64)).view(np.int64))], ["word", "bit"])
+
+    got = level.filter("phrase <> ''").select("phrase").mapInArrow(run, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
     out[got.column("word").to_numpy()] = got.column("bits").to_numpy()
     return out
@@ -216,12 +222,12 @@ def scored(table: DataFrame, *, scale: int = 2_000_000, keep: tuple[int, int] =
 def first_of_each(found: DataFrame, top: int) -> DataFrame:
     """The ``top`` rows of each lang by score, a, phrase, with their rank.
 
-    A histogram of scores, of at most ``scale`` / 2 + 1 rows a lang, tells from which score
-    on rows are needed; those are ranked in parts of each lang, then together.
+    A histogram of scores, in steps of 1024 and so of less than a thousand rows a lang, tells
+    from which step on rows are needed; those are ranked in parts of each lang, then together.
     """
-    hist = found.groupBy("lang", "score").agg(F.count("*").alias("n"))
-    above = Window.partitionBy("lang").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
-    floor = hist.withColumn("above", F.coalesce(F.sum("n").over(above), F.lit(0))).filter(F.col("above") < top).groupBy("lang").agg(F.min("score").alias("floor"))
+    hist = found.groupBy("lang", F.shiftright("score", 10).alias("step")).agg(F.count("*").alias("n"))
+    above = Window.partitionBy("lang").orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, -1)
+    floor = hist.withColumn("above", F.coalesce(F.sum("n").over(above), F.lit(0))).filter(F.col("above") < top).groupBy("lang").agg((F.min("step") * 1024).alias("floor"))
     some = found.join(floor, "lang").filter("score >= floor").drop("floor").withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(64)))
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     some = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).filter(F.col("rank") <= top)
