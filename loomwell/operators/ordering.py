@@ -50,3 +50,48 @@ def running(df: DataFrame, keys: list[str], order: list[Column], sums: dict[str,
         same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
     joined = rows.join(bases, same)
     return joined.select(*df.columns, *[(F.col(f"_s{v}") + F.col(f"_b{v}")).alias(n) for n, v in zip(sums, values)])
+
+
+def ranged(df: DataFrame, by: list[str]) -> DataFrame:
+    """The rows dealt by ranges of ``by`` and written once, with ``_range`` and with ``_at``, which makes any order total."""
+    rows = df.repartitionByRange(*by).withColumn("_range", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
+    return staging.settle(rows, "ranges")
+
+
+def _spread(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys that lie in several ranges: only the first and the last key of a range can, so there are fewer than ranges."""
+    whole = F.struct(*keys)
+    ends = rows.groupBy("_range").agg(F.min(whole).alias("low"), F.max(whole).alias("high"))
+    both = ends.select("_range", F.explode(F.array("low", "high")).alias("_several"))
+    return both.groupBy("_several").agg((F.min("_range") < F.max("_range")).alias("_on")).filter("_on").select("_several")
+
+
+def scan(rows: DataFrame, keys: list[str], order: list[str], values: dict[str, tuple[str, Column]], *, before: bool = False) -> DataFrame:
+    """Add running values within ``keys`` over what ``ranged`` has dealt by ``keys`` and ``order``.
+
+    ``values`` maps names to an operation, ``sum``, ``max``, ``min`` or ``last``, and a column; all of
+    them are associative, so each range is scanned alone, reduced to one row for
+    each key that goes on, and what the ranges before hold is put in front. A key of any size
+    is spread over its ranges. ``before`` leaves each row's own value out; without rows
+    before it a sum is 0 and anything else null.
+    """
+    fold = {"sum": F.sum, "max": F.max, "min": F.min}
+    frame = Window.partitionBy(*keys, "_range").orderBy(*order, "_at").rowsBetween(Window.unboundedPreceding, -1 if before else 0)
+    whole = F.struct(*keys) if keys else F.lit(0)
+    part = rows.withColumn("_k", whole)
+    if keys:
+        part = part.join(F.broadcast(_spread(rows, keys)), F.col("_k").eqNullSafe(F.col("_several")), "left_semi")  # fewer than ranges
+    totals = part.groupBy("_k", "_range").agg(*[
+        (F.max_by(F.struct(c.alias("v")), F.struct(*order, "_at")) if op == "last" else fold[op](c)).alias(f"_t{i}") for i, (op, c) in enumerate(values.values())])
+    earlier = Window.partitionBy("_k").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select(F.col("_k").alias("_bk"), F.col("_range").alias("_br"), *[(F.last(f"_t{i}", ignorenulls=True) if op == "last" else fold[op](f"_t{i}")).over(earlier).alias(f"_b{i}") for i, (op, _) in enumerate(values.values())])
+    here = rows.withColumns({f"_h{i}": (F.last(F.struct(c.alias("v")), ignorenulls=True) if op == "last" else fold[op](c)).over(frame) for i, (op, c) in enumerate(values.values())})
+    joined = here.join(F.broadcast(bases), whole.eqNullSafe(F.col("_bk")) & (F.col("_range") == F.col("_br")), "left")  # a row or two for each range
+
+    def both(i, op):
+        h, b = F.col(f"_h{i}"), F.col(f"_b{i}")
+        if op == "sum":
+            return F.coalesce(h, F.lit(0)) + F.coalesce(b, F.lit(0))
+        return F.coalesce(h, b)["v"] if op == "last" else {"max": F.greatest, "min": F.least}[op](h, b)
+
+    return joined.select(*rows.columns, *[both(i, op).alias(n) for i, (n, (op, _)) in enumerate(values.items())])

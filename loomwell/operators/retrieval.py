@@ -9,7 +9,7 @@ from loomwell.functions import stats
 from loomwell.functions import text as t
 from loomwell.functions import vectors as v
 
-QUERY_BYTES, QUERY_BLOCK = 64 << 20, 2048  # of query vectors that are shipped at once, and rows of a product
+QUERY_BYTES, QUERY_BLOCK = 64 << 20, 2048  # of query vectors that are shipped to every task or make a block, and rows of a product
 
 
 def _best(s, i, k: int):
@@ -30,72 +30,114 @@ def _best(s, i, k: int):
     return np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
 
 
-def top_k(corpus: DataFrame, queries: DataFrame, k: int, *, id_col: str = "vec_id", vector_col: str = "embedding", exclude_self: bool = False, query_bytes: int = QUERY_BYTES) -> DataFrame:
+SEARCHED = "query_id long, id long, score double"
+
+
+class _Found:
+    """The k best of what some queries have met so far."""
+
+    def __init__(self, ids, vectors, k: int, exclude_self: bool):
+        import numpy as np
+
+        self.ids, self.q, self.k, self.exclude_self = ids, vectors / np.linalg.norm(vectors, axis=1, keepdims=True), k, exclude_self
+        self.s, self.i = np.empty((len(ids), 0)), np.empty((len(ids), 0), np.int64)
+
+    def meet(self, own, x) -> None:
+        """Products with the rows of ``x``, in blocks."""
+        import numpy as np
+
+        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        new_s, new_i = [], []
+        for j in range(0, len(self.ids), QUERY_BLOCK):
+            part = slice(j, j + QUERY_BLOCK)
+            s = self.q[part] @ x.T
+            if self.exclude_self:
+                s[self.ids[part, None] == own[None, :]] = -np.inf
+            s, i = _best(np.concatenate([self.s[part], s], axis=1), np.concatenate([self.i[part], np.broadcast_to(own, s.shape)], axis=1), self.k)
+            new_s.append(s)
+            new_i.append(i)
+        self.s, self.i = np.concatenate(new_s), np.concatenate(new_i)
+
+    def rows(self) -> dict:
+        import numpy as np
+
+        fine = np.isfinite(self.s.ravel())
+        return {"query_id": np.repeat(self.ids, self.s.shape[1])[fine], "id": self.i.ravel()[fine], "score": self.s.ravel()[fine]}
+
+
+def _vectors(column, dims: int):
+    """A matrix of the vectors of an Arrow column, all of which have to have ``dims`` components."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    if len(flat) != len(column) * dims or len(column) and column.value_lengths().to_numpy(zero_copy_only=False).min() != dims:
+        raise ValueError(f"vectors and queries differ in length; the queries have {dims}")
+    return flat.reshape(len(column), dims)
+
+
+def _beside(rows: DataFrame, asked: DataFrame, k: int, dims: int, exclude_self: bool) -> DataFrame:
+    """Few queries go to every task, which keeps k rows for each of them."""
+    got = asked.toArrow()
+    ids, vectors = got.column("id").to_numpy(), _vectors(got.column("vector").combine_chunks(), dims)
+    shared = rows.sparkSession.sparkContext.broadcast((ids, vectors))  # at most query_bytes
+
+    def run(batches):
+        import pyarrow as pa
+
+        found = _Found(*shared.value, k, exclude_self)
+        for whole in batches:
+            for at in range(0, whole.num_rows, QUERY_BLOCK):
+                b = whole.slice(at, QUERY_BLOCK)
+                found.meet(b.column("id").to_numpy(), _vectors(b.column("vector"), dims))
+        yield pa.RecordBatch.from_pydict(found.rows())
+
+    return rows.mapInArrow(run, SEARCHED)
+
+
+def _grid(rows: DataFrame, asked: DataFrame, k: int, dims: int, exclude_self: bool, query_rows: int, corpus_rows: int, counts: tuple[int, int]) -> DataFrame:
+    """Blocks of queries meet blocks of the corpus, each pair of blocks in a cell of its own.
+
+    Either side is scanned once and dealt to blocks by the place of its rows, not
+    by their ids, so repeated ids don't crowd a block; a row goes to as many cells as the other
+    side has blocks. A cell gives k rows for each of its queries; before they meet, Spark keeps
+    the best k a task, so what is shuffled then is queries x k for each task.
+    """
+    across, down = max(1, -(-counts[0] // query_rows)), max(1, -(-counts[1] // corpus_rows))
+    block = lambda df, n, other, own, all_: df.withColumn(own, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n))).withColumn(all_, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(other - 1).cast("long"))))
+    left, right = block(asked, across, down, "_q", "_c"), block(rows, down, across, "_c", "_q")
+
+    def cell(queries, corpus):
+        import pyarrow as pa
+
+        one = lambda t, c: t.column(c).combine_chunks()
+        found = _Found(one(queries, "id").to_numpy(), _vectors(one(queries, "vector"), dims), k, exclude_self)
+        ids, vectors = one(corpus, "id").to_numpy(), one(corpus, "vector")
+        for at in range(0, len(ids), QUERY_BLOCK):
+            found.meet(ids[at:at + QUERY_BLOCK], _vectors(vectors.slice(at, QUERY_BLOCK), dims))
+        return pa.table({c: pa.array(x, t) for (c, x), t in zip(found.rows().items(), (pa.int64(), pa.int64(), pa.float64()))})
+
+    return left.groupBy("_q", "_c").cogroup(right.groupBy("_q", "_c")).applyInArrow(cell, SEARCHED)
+
+
+def top_k(corpus: DataFrame, queries: DataFrame, k: int, *, id_col: str = "vec_id", vector_col: str = "embedding", exclude_self: bool = False, query_bytes: int = QUERY_BYTES, block_bytes: int = QUERY_BYTES) -> DataFrame:
     """query_id, rank, id, score: the ``k`` nearest by cosine for every query, ties by id.
 
     Both sides are normalised; unusable vectors take no part, and vectors of
-    different lengths are an error. Queries are shipped to the tasks in parts of
-    at most ``query_bytes``, each with one scan of the corpus; a task keeps k rows
-    for each query of what it has seen (block products in numpy), and the partial
-    results meet in one window over few rows.
+    different lengths are an error. Queries of up to ``query_bytes`` in all are shipped to the
+    tasks, which keep k rows for each. More of them meet the corpus in a grid of cells, of
+    at most ``block_bytes`` a side. The partial results meet in one window over few rows.
     """
     spark = corpus.sparkSession
-    asked = queries.filter(v.is_usable(F.col(vector_col))).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
-    rows = corpus.filter(v.is_usable(F.col(vector_col))).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
-
-    def search(shared):
-        def run(batches):
-            import numpy as np
-            import pyarrow as pa
-
-            ids, q = shared.value
-            best_s = np.empty((len(ids), 0))
-            best_i = np.empty((len(ids), 0), np.int64)
-            for whole in batches:
-                for at in range(0, whole.num_rows, QUERY_BLOCK):
-                    b = whole.slice(at, QUERY_BLOCK)
-                    flat = b.column("vector").flatten().to_numpy(zero_copy_only=False)
-                    if len(flat) != b.num_rows * q.shape[1] or b.column("vector").value_lengths().to_numpy(zero_copy_only=False).min() != q.shape[1]:
-                        raise ValueError(f"vectors and queries differ in length; the queries have {q.shape[1]}")
-                    x = flat.reshape(b.num_rows, -1)
-                    x = x / np.linalg.norm(x, axis=1, keepdims=True)
-                    own = b.column("id").to_numpy()
-                    new_s, new_i = [], []
-                    for j in range(0, len(ids), QUERY_BLOCK):
-                        s = q[j:j + QUERY_BLOCK] @ x.T
-                        if exclude_self:
-                            s[ids[j:j + QUERY_BLOCK, None] == own[None, :]] = -np.inf
-                        i = np.broadcast_to(own, s.shape)
-                        s, i = _best(np.concatenate([best_s[j:j + QUERY_BLOCK], s], axis=1), np.concatenate([best_i[j:j + QUERY_BLOCK], i], axis=1), k)
-                        new_s.append(s)
-                        new_i.append(i)
-                    best_s, best_i = np.concatenate(new_s), np.concatenate(new_i)
-            n = best_s.shape[1]
-            if n:
-                fine = np.isfinite(best_s.ravel())
-                yield pa.RecordBatch.from_pydict({"query_id": np.repeat(ids, n)[fine], "id": best_i.ravel()[fine], "score": best_s.ravel()[fine]})
-
-        return run
-
-    import numpy as np
-
+    usable = lambda df: df.filter(v.is_usable(F.col(vector_col))).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
+    asked, rows = usable(queries), usable(corpus)
     total, dims, least = asked.agg(F.count("*"), F.max(F.size("vector")), F.min(F.size("vector"))).first()
     if not total:
         return spark.createDataFrame([], "query_id long, rank int, id long, score double")
     if dims != least:
         raise ValueError(f"queries have from {least} to {dims} components")
-    out = None
-    # Parts of the queries, by a numbering that needs no order of them.
-    parts = -(-total * dims * 8 // query_bytes)
-    for n in range(parts):
-        part = asked if parts == 1 else asked.filter(F.pmod(F.xxhash64("id"), F.lit(parts)) == n)
-        got = part.toArrow()
-        if not got.num_rows:
-            continue
-        m = got.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
-        shared = spark.sparkContext.broadcast((got.column("id").to_numpy(), m / np.linalg.norm(m, axis=1, keepdims=True)))
-        found = rows.mapInArrow(search(shared), "query_id long, id long, score double")
-        out = found if out is None else out.union(found)
+    if total * dims * 8 <= query_bytes:
+        out = _beside(rows, asked, k, dims, exclude_self)
+    else:
+        block = max(1, block_bytes // (dims * 8))
+        out = _grid(rows, asked, k, dims, exclude_self, block, block, (total, corpus.count()))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 

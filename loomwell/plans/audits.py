@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomwell.functions import money
 from loomwell.functions import text as t
-from loomwell.operators import audit, review
+from loomwell.operators import audit, review, selection, staging
 from loomwell.plans.catalog import query, table
 from loomwell.streaming import resumable
 
@@ -37,7 +37,10 @@ SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, round(avg(value
 def operational_summary(spark, sf_dir):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     rows = table(spark, sf_dir, "events").withColumn("latency", audit.latency_seconds(F.lag("ts").over(w), F.col("ts")))
-    return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.median("value"), 6).alias("median"), F.round(F.avg("latency"), 4).alias("mean_latency"), F.round(F.median("latency"), 4).alias("median_latency"), F.count_if(F.col("latency") < 0).alias("negative"))
+    rows = staging.settle(rows.select("event_type", "value", "latency"), "latencies")
+    middles = selection.order_statistics(rows, ["event_type"], {"median": ("value", "median"), "median_latency": ("latency", "median")})
+    got = rows.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.avg("latency"), 4).alias("mean_latency"), F.count_if(F.col("latency") < 0).alias("negative"))
+    return got.join(middles, "event_type").withColumns({"median": F.round("median", 6), "median_latency": F.round("median_latency", 4)})
 
 
 @query(f"WITH {_TURNS} SELECT role, turn, count(*) AS n, count(*) FILTER (words < 12) AS short, count(*) FILTER (status = 'empty') AS empty FROM c GROUP BY ALL HAVING count(*) FILTER (words < 12) > 0")

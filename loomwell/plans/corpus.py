@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwell.functions import text as t
-from loomwell.operators import audit, chunking, cleaning, integrity, intervals, ordering, staging
+from loomwell.operators import audit, chunking, cleaning, integrity, intervals, ordering, selection, staging
 from loomwell.plans.catalog import query, table
 
 LICENSE = r"(?i)^.*(copyright|licen[sc]e|all rights reserved).*$"
@@ -146,7 +146,22 @@ def lines_in_retained(spark, sf_dir):
     """Lines of height 1 at their quantity that lie within what is retained of their page."""
     kept = intervals.complement(islands(spark, sf_dir), "page", "y0", "y1", HEIGHT)
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("line_number"), F.col("l_quantity").alias("q"))
-    return lines.join(kept, "page").filter(intervals.within(F.col("q"), F.col("q") + 1, F.col("y0"), F.col("y1"))).select("page", "line_number")
+    # Where a line begins, in whole units, is where one of what may hold it goes.
+    kept = kept.withColumn("low", F.floor(F.col("y0") - intervals.TOLERANCE)).withColumn("high", F.floor(F.col("y1") + intervals.TOLERANCE))
+    met = intervals.covering(lines.withColumn("at", F.floor("q")), kept, ["page"], "at", "low", "high")
+    return met.filter(intervals.within(F.col("q"), F.col("q") + 1, F.col("y0"), F.col("y1"))).select("page", "line_number")
+
+
+@query("""WITH s AS (SELECT l_orderkey AS first, l_orderkey + l_partkey % 500 AS last, l_quantity AS y0, l_tax * 100 + 1 AS y1 FROM lineitem WHERE l_linenumber = 1 AND l_quantity >= 48),
+p AS (SELECT o_orderkey AS page, CASE WHEN o_orderkey = first THEN y0 ELSE 0 END AS a, CASE WHEN o_orderkey = last THEN y1 ELSE 60 END AS b FROM orders JOIN s ON o_orderkey BETWEEN first AND last)
+SELECT page, count(*) AS sections, round(min(a), 6)::DOUBLE AS page_y0, round(max(b), 6)::DOUBLE AS page_y1 FROM p GROUP BY page""")
+def page_exclusions(spark, sf_dir):
+    """Pages with the sections that cover them, of up to 500 pages each, joined by blocks of pages."""
+    s = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1 AND l_quantity >= 48")
+    s = s.select(F.col("l_orderkey").alias("first"), (F.col("l_orderkey") + F.col("l_partkey") % 500).alias("last"), F.col("l_quantity").alias("y0"), (F.col("l_tax") * 100 + 1).alias("y1"))
+    pages = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page"))
+    met = intervals.excluded(pages, s, page="page", first="first", last="last", y0="y0", y1="y1", top=0.0, bottom=HEIGHT)
+    return met.groupBy("page").agg(F.count("*").alias("sections"), F.round(F.min("page_y0"), 6).alias("page_y0"), F.round(F.max("page_y1"), 6).alias("page_y1"))
 
 
 @query("""WITH s AS (SELECT l_orderkey AS section, l_linenumber AS part, l_linenumber AS first, l_linenumber + (l_suppkey % 4)::INTEGER AS last, l_quantity AS y0, l_tax * 100 + 1 AS y1 FROM lineitem),
@@ -325,9 +340,10 @@ def chunk_audit(spark, sf_dir):
 @query("""WITH w AS (SELECT len(regexp_extract_all(text, '\\S+')) AS n, text FROM documents) SELECT count(*) AS texts, min(n) AS least, median(n) AS median, quantile_disc(n, 0.95) AS p95, max(n) AS most, sum(n)::BIGINT AS total,
 count(*) - count(DISTINCT text) AS duplicates, count(*) FILTER (n > 2000) AS over_limit FROM w""")
 def token_audit(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select(t.word_count(F.col("text")).cast("long").alias("n"), t.fingerprint(F.col("text")).alias("h"))
-    return rows.agg(F.count("*").alias("texts"), F.min("n").alias("least"), F.median("n").alias("median"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY n)").cast("long").alias("p95"), F.max("n").alias("most"), F.sum("n").alias("total"),
-                    (F.count("*") - F.count_distinct("h")).alias("duplicates"), F.count_if(F.col("n") > 2000).alias("over_limit"))
+    rows = staging.settle(table(spark, sf_dir, "documents").select(t.word_count(F.col("text")).cast("long").alias("n"), t.fingerprint(F.col("text")).alias("h")), "word-counts")
+    ranks = selection.order_statistics(rows, [], {"median": ("n", "median"), "p95": ("n", 0.95)})
+    totals = rows.agg(F.count("*").alias("texts"), F.min("n").alias("least"), F.max("n").alias("most"), F.sum("n").alias("total"), (F.count("*") - F.count_distinct("h")).alias("duplicates"), F.count_if(F.col("n") > 2000).alias("over_limit"))
+    return totals.crossJoin(F.broadcast(ranks)).withColumn("p95", F.col("p95").cast("long"))  # one row beside one row
 
 
 @query("""WITH p AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS position, len(regexp_extract_all(text, '\\S+')) AS n FROM documents)

@@ -65,6 +65,14 @@ def vector_topk(spark, sf_dir):
     return search(spark, sf_dir).select("query_id", "rank", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
 
 
+@query(f"WITH {_NORM} SELECT query_id, rank::INTEGER AS rank, id AS vec_id, round(score, 6) AS score FROM f WHERE rank <= 10")
+def vector_topk_grid(spark, sf_dir):
+    """The same search as one of more queries than can be shipped: blocks of both sides meet in a grid."""
+    rows = table(spark, sf_dir, "embeddings")
+    found = r.top_k(rows, rows.filter(F.col("vec_id") % EVERY == 0), 10, exclude_self=True, query_bytes=0, block_bytes=1 << 20)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
+
+
 @query(f"WITH {_NORM} SELECT rank::INTEGER AS rank, id AS vec_id, round(score, 6) AS score FROM f WHERE query_id = 100 AND rank <= 10")
 def topk_single_query(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
@@ -127,7 +135,7 @@ SELECT late_questions > 0 AS gate_fires, late_questions, CASE WHEN late_question
 
 
 def _select(spark, sf_dir, deepest: int) -> DataFrame:
-    rows = graded(spark, sf_dir)
+    rows = staging.settle(graded(spark, sf_dir), "pool")
     return r.select_depth(r.metrics_at(rows, [d for d in DEPTHS if d <= deepest]), r.late_hits(rows, deepest))
 
 
