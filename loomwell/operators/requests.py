@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomwell.functions import money
 from loomwell.functions import text as t
-from loomwell.operators import ordering
+from loomwell.operators import integrity, ordering
 
 # Tokens a request has besides its texts, and what stands before an excerpt.
 ALLOWANCE = 24
@@ -78,16 +78,16 @@ def manifest(questions: DataFrame, conds: DataFrame, contexts: DataFrame, config
     """A request for each condition and question, in the order of conditions, then questions.
 
     ``questions`` has question_id, position, query_text; ``contexts`` has
-    question_id, context and is joined where a condition gives results.
+    question_id, context and is joined where a condition gives results; a question without one is an error then.
     ``tokens`` estimates a prompt's tokens from its column (see ``estimated``);
     by default it counts words.
     """
     rows = questions.crossJoin(F.broadcast(conds)).join(contexts, "question_id", "left")  # the conditions are few
-    with_context, ok = render(template, {"context": F.coalesce("context", F.lit("")), "question": F.col("query_text")})
+    with_context, ok = render(template, {"context": integrity.present(F.col("context"), "no context for the question", F.col("question_id")), "question": F.col("query_text")})
     without, ok2 = render(bare, {"question": F.col("query_text")})
     gives = F.col("results") > 0
     prompt = F.when(gives, with_context).otherwise(without)
-    rows = rows.withColumn("prompt", prompt).withColumn("sound", F.when(gives, ok & F.col("context").isNotNull()).otherwise(ok2))
+    rows = rows.withColumn("prompt", prompt).withColumn("sound", F.when(gives, ok).otherwise(ok2))
     tokens = ((tokens or t.word_count)(F.col("prompt")) + ALLOWANCE).cast("long")
     return rows.select(
         F.lit(config_id).alias("configuration_id"), F.when(gives, t.fingerprint(F.col("context"))).alias("context_sha256"), F.lit(None).cast("double").alias("top_p"), t.response_id(F.lit(config_id), F.col("condition"), F.col("question_id").cast("string")).alias("blinded_response_id"), "condition", "ord", "question_id", "position", "model",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomwell.functions import money
 from loomwell.functions import text as t
-from loomwell.operators import audit, integrity, requests, review, staging
+from loomwell.operators import audit, integrity, ordering, requests, review, staging
 from loomwell.plans import retrieval as ret
 from loomwell.plans.catalog import query, table
 
@@ -19,8 +19,9 @@ _VALUES = ", ".join("('{}', {}, '{}', {}, {}, {}, {})".format(c, o, m, k, "NULL"
 _CONDS = f"k(condition, ord, model, results, temperature, effort, win) AS (VALUES {_VALUES})"
 _RATES = "rates(model, rate_in, rate_out) AS (VALUES " + ", ".join(f"('{m}', '{i}', '{o}')" for m, i, o in requests.PRICING) + ")"
 _CONTEXT = ret._INDEXED + """,
-x AS (SELECT query_id // 100 AS question_id, count(*)::INTEGER AS excerpts, max(rank) = count(*) AS in_order, string_agg('[Retrieved excerpt ' || rank || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context
-FROM f JOIN documents d ON d.doc_id = f.id WHERE rank <= 30 GROUP BY query_id)"""
+x0 AS (SELECT query_id, row_number() OVER (ORDER BY query_id) - 1 AS i, count(*) OVER () AS n, count(*)::INTEGER AS excerpts, max(rank) = count(*) AS in_order, string_agg('[Retrieved excerpt ' || rank || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context
+FROM f JOIN documents d ON d.doc_id = f.id WHERE rank <= 30 GROUP BY query_id),
+x AS (SELECT item_id AS question_id, excerpts, in_order, context FROM benchmark JOIN x0 ON i = item_id % n)"""
 _MANIFEST = f"""WITH {_CONTEXT}, {_CONDS}, {_RATES},
 p AS (SELECT k.*, b.item_id AS question_id, b.item_id AS position, CASE WHEN k.results > 0 THEN sha256(x.context) END AS context_sha256, CASE WHEN k.results > 0 THEN 'Use the excerpts to answer.' || chr(10) || chr(10) || x.context || chr(10) || chr(10) || 'Question: ' || b.text ELSE 'Question: ' || b.text END AS prompt
 FROM benchmark b CROSS JOIN k JOIN x ON x.question_id = b.item_id),
@@ -30,18 +31,24 @@ h AS (SELECT m.*, rate_in, rate_out, "window" - input_tokens - reserved_tokens A
 
 
 def contexts(spark, sf_dir) -> DataFrame:
-    """All retrieved texts of each question, as many as the conditions give."""
+    """All retrieved texts of each question, as many as the conditions give.
+
+    There are fewer query vectors than questions, so question i takes that of query i modulo their number.
+    """
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    found = ret.indexed_search(spark, sf_dir, requests.DEPTH).join(texts, "id")
-    return requests.assemble(found.select(F.floor(F.col("query_id") / ret.EVERY).alias("question_id"), "rank", "text"), "question_id")
+    found = staging.settle(ret.indexed_search(spark, sf_dir, requests.DEPTH), "found")
+    asked = ordering.with_position(found.select("query_id").distinct(), [F.col("query_id")], "place")
+    questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id")).crossJoin(F.broadcast(asked.agg(F.count("*").alias("n"))))  # one row
+    own = questions.withColumn("place", F.col("question_id") % F.col("n")).join(asked, "place").select("question_id", "query_id")
+    whole = requests.assemble(found.join(texts, "id").select("query_id", "rank", "text"), "query_id")
+    return own.join(whole, "query_id").drop("query_id")
 
 
 def manifest(spark, sf_dir, *, keep_prompt: bool = False) -> DataFrame:
-    """Requests for the questions that have a query vector."""
+    """Requests for every question; one without a context fails where a condition gives results."""
     questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("item_id").alias("position"), F.col("text").alias("query_text"))
     found = contexts(spark, sf_dir).select("question_id", "context")
-    asked = questions.join(found.select("question_id"), "question_id", "left_semi")
-    return requests.manifest(asked, requests.conditions(spark), found, CONFIG, template=TEMPLATE, bare=BARE, keep_prompt=keep_prompt)
+    return requests.manifest(questions, requests.conditions(spark), found, CONFIG, template=TEMPLATE, bare=BARE, keep_prompt=keep_prompt)
 
 
 def costed(spark, sf_dir) -> DataFrame:

@@ -24,6 +24,7 @@ least(2, d.n_chars // 1500)::INTEGER AS depth, CASE WHEN d.doc_id % 5 = 0 THEN N
 CASE WHEN l.quality = 1 AND l.toxic = 0 THEN 'none' WHEN l.toxic = 1 THEN 'toxic' ELSE 'poor' END AS category FROM documents d JOIN labels l USING (doc_id)),
 n0 AS (SELECT min(m) AS m FROM (SELECT condition, max(block) AS m FROM s0 GROUP BY condition)),
 s AS (SELECT s0.* FROM s0, n0 WHERE block <= m)"""
+_ALL = _SCORES.rsplit(",\n", 2)[0] + ",\ns AS (SELECT * FROM s0)"
 _FAM = "fam(family, condition, ord) AS (VALUES " + ", ".join(f"('{f}', '{c}', {o})" for f, c, o in FAMILIES) + ")"
 _PAIRS = "prs AS (SELECT l.family, l.ord AS ord_l, l.condition AS \"left\", r.ord AS ord_r, r.condition AS \"right\" FROM fam l JOIN fam r ON l.family = r.family AND l.ord < r.ord)"
 _TABLES = """tab AS (SELECT p.*, count(*) AS n, count(*) FILTER (a.correct = 1 AND b.correct = 1) AS "both", count(*) FILTER (a.correct = 1 AND b.correct = 0) AS only_left, count(*) FILTER (a.correct = 0 AND b.correct = 1) AS only_right, count(*) FILTER (a.correct = 0 AND b.correct = 0) AS neither
@@ -52,41 +53,41 @@ def scores(spark, sf_dir) -> DataFrame:
     return rows.join(F.broadcast(least), F.col("block") <= F.col("m")).drop("m")  # one row
 
 
-@query(f"""WITH {_SCORES}, c AS (SELECT condition, count(*) AS n, count(*) FILTER (correct = 1) AS n_correct, count(*) FILTER (NOT is_empty) AS n_completed, count(*) FILTER (unsupported = 1) AS n_unsupported FROM s GROUP BY condition),
+@query(f"""WITH {_ALL}, c AS (SELECT condition, count(*) AS n, count(*) FILTER (correct = 1) AS n_correct, count(*) FILTER (NOT is_empty) AS n_completed, count(*) FILTER (unsupported = 1) AS n_unsupported FROM s GROUP BY condition),
 w AS (SELECT *, {_WILSON.format(a="n_correct", n="n", z="1.959963984540054::DOUBLE")} FROM c)
 SELECT condition, n, n_correct, n_completed, n_unsupported, round(n_correct::DOUBLE / n, 9) AS accuracy, round(low, 9) AS low, round(high, 9) AS high FROM w""")
 def condition_summary(spark, sf_dir):
-    got = review.condition_summary(scores(spark, sf_dir))
+    got = review.condition_summary(all_scores(spark, sf_dir))
     return got.select("condition", "n", "n_correct", "n_completed", "n_unsupported", *[F.round(c, 9).alias(c) for c in ("accuracy", "low", "high")])
 
 
-@query(f"""WITH {_SCORES}, u AS (SELECT condition, 'depth' AS field, depth AS value FROM s UNION ALL SELECT condition, 'clarity', clarity FROM s)
+@query(f"""WITH {_ALL}, u AS (SELECT condition, 'depth' AS field, depth AS value FROM s UNION ALL SELECT condition, 'clarity', clarity FROM s)
 SELECT field, condition, count(*) AS n, round(avg(value), 9) AS mean, round(median(value), 9)::DOUBLE AS median, count(*) FILTER (value = 0) AS n_0, count(*) FILTER (value = 1) AS n_1, count(*) FILTER (value = 2) AS n_2 FROM u WHERE value IS NOT NULL GROUP BY ALL""")
 def secondary_summary(spark, sf_dir):
-    got = review.secondary_summary(scores(spark, sf_dir), ["depth", "clarity"])
+    got = review.secondary_summary(all_scores(spark, sf_dir), ["depth", "clarity"])
     return got.withColumn("mean", F.round("mean", 9)).withColumn("median", F.round("median", 9))
 
 
-@query(f"""WITH {_SCORES} SELECT k.category, c.condition, count(s.doc_id) AS n FROM (SELECT unnest(['none', 'toxic', 'poor', 'other']) AS category) k CROSS JOIN (SELECT DISTINCT condition FROM s) c LEFT JOIN s ON s.category = k.category AND s.condition = c.condition GROUP BY ALL""")
+@query(f"""WITH {_ALL} SELECT k.category, c.condition, count(s.doc_id) AS n FROM (SELECT unnest(['none', 'toxic', 'poor', 'other']) AS category) k CROSS JOIN (SELECT DISTINCT condition FROM s) c LEFT JOIN s ON s.category = k.category AND s.condition = c.condition GROUP BY ALL""")
 def error_distribution(spark, sf_dir):
-    rows = scores(spark, sf_dir)
+    rows = all_scores(spark, sf_dir)
     domain = spark.createDataFrame([(c,) for c in CATEGORIES], "category string")
     return review.error_counts(rows, domain, rows.select("condition").distinct())
 
 
-@query(f"""WITH {_SCORES}, u AS (SELECT condition, block, correct, 'lang' AS field, lang AS value FROM s UNION ALL SELECT condition, block, correct, 'clarity', clarity::VARCHAR FROM s UNION ALL SELECT condition, block, correct, 'depth', depth::VARCHAR FROM s),
+@query(f"""WITH {_ALL}, u AS (SELECT condition, block, correct, 'lang' AS field, lang AS value FROM s UNION ALL SELECT condition, block, correct, 'clarity', clarity::VARCHAR FROM s UNION ALL SELECT condition, block, correct, 'depth', depth::VARCHAR FROM s),
 z AS (SELECT field, min(n) < 6 AS pool FROM (SELECT field, value, count(DISTINCT block) AS n FROM u WHERE value IS NOT NULL GROUP BY ALL) GROUP BY field)
 SELECT u.field, CASE WHEN value IS NULL THEN 'not_recorded' WHEN pool THEN 'pooled' ELSE value END AS stratum, condition, count(*) AS n, count(*) FILTER (correct = 1) AS n_correct, round(count(*) FILTER (correct = 1)::DOUBLE / count(*), 9) AS accuracy FROM u LEFT JOIN z USING (field) GROUP BY ALL""")
 def strata_pooled(spark, sf_dir):
-    got = review.pooled_strata(scores(spark, sf_dir), ["lang", "clarity", "depth"], least=6)
+    got = review.pooled_strata(all_scores(spark, sf_dir), ["lang", "clarity", "depth"], least=6)
     return got.withColumn("accuracy", F.round("accuracy", 9))
 
 
-@query(f"""WITH {_SCORES}, v AS (SELECT doc_id, correct, category, CASE WHEN doc_id % 11 = 0 THEN 'seen' END AS note, is_empty, clarity IS NOT NULL OR doc_id % 10 = 0 AS applicable, clarity AS value FROM s),
+@query(f"""WITH {_ALL}, v AS (SELECT doc_id, correct, category, CASE WHEN doc_id % 11 = 0 THEN 'seen' END AS note, is_empty, clarity IS NOT NULL OR doc_id % 10 = 0 AS applicable, clarity AS value FROM s),
 r AS (SELECT doc_id, unnest([CASE WHEN NOT (correct <> 1 OR category = 'none') THEN 'correct_has_no_error' END, CASE WHEN NOT (correct <> 0 OR category <> 'none') THEN 'incorrect_has_category' END, CASE WHEN NOT (category <> 'other' OR length(coalesce(note, '')) > 0) THEN 'other_needs_note' END,
 CASE WHEN NOT (NOT is_empty OR correct = 0) THEN 'empty_is_incorrect' END, CASE WHEN NOT (applicable = (value IS NOT NULL)) THEN 'value_where_applicable' END]) AS rule FROM v) SELECT * FROM r WHERE rule IS NOT NULL""")
 def score_rule_violations(spark, sf_dir):
-    rows = scores(spark, sf_dir).withColumn("note", F.when(F.col("doc_id") % 11 == 0, "seen")).withColumn("applicable", F.col("clarity").isNotNull() | (F.col("doc_id") % 10 == 0)).withColumn("value", F.col("clarity"))
+    rows = all_scores(spark, sf_dir).withColumn("note", F.when(F.col("doc_id") % 11 == 0, "seen")).withColumn("applicable", F.col("clarity").isNotNull() | (F.col("doc_id") % 10 == 0)).withColumn("value", F.col("clarity"))
     return review.violations(rows, "doc_id", review.score_rules())
 
 
@@ -177,17 +178,17 @@ def overlap_patterns(spark, sf_dir):
     return wide.groupBy("src1", "src2", "src3").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {_SCORES} SELECT 'depth' AS field, round(avg(depth) FILTER (condition = 'src1'), 9) AS src1, round(avg(depth) FILTER (condition = 'src2'), 9) AS src2, round(avg(depth) FILTER (condition = 'src3'), 9) AS src3, round(avg(depth) FILTER (condition = 'src4'), 9) AS src4 FROM s UNION ALL SELECT 'clarity', round(avg(clarity) FILTER (condition = 'src1'), 9), round(avg(clarity) FILTER (condition = 'src2'), 9), round(avg(clarity) FILTER (condition = 'src3'), 9), round(avg(clarity) FILTER (condition = 'src4'), 9) FROM s")
+@query(f"WITH {_ALL} SELECT 'depth' AS field, round(avg(depth) FILTER (condition = 'src1'), 9) AS src1, round(avg(depth) FILTER (condition = 'src2'), 9) AS src2, round(avg(depth) FILTER (condition = 'src3'), 9) AS src3, round(avg(depth) FILTER (condition = 'src4'), 9) AS src4 FROM s UNION ALL SELECT 'clarity', round(avg(clarity) FILTER (condition = 'src1'), 9), round(avg(clarity) FILTER (condition = 'src2'), 9), round(avg(clarity) FILTER (condition = 'src3'), 9), round(avg(clarity) FILTER (condition = 'src4'), 9) FROM s")
 def mean_score_pivot(spark, sf_dir):
-    long = scores(spark, sf_dir).select("condition", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in ("depth", "clarity")])).alias("x")).select("condition", "x.*")
+    long = all_scores(spark, sf_dir).select("condition", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in ("depth", "clarity")])).alias("x")).select("condition", "x.*")
     return long.groupBy("field").pivot("condition", ["src1", "src2", "src3", "src4"]).agg(F.round(F.avg("value"), 9))
 
 
-@query(f"""WITH {_SCORES}, c AS (SELECT condition, count(*) AS n, count(*) FILTER (correct = 1) AS n_correct, count(*) FILTER (NOT is_empty) AS n_completed, count(*) FILTER (category <> 'none') AS errors FROM s GROUP BY condition), e AS (SELECT condition, sum(k)::BIGINT AS listed FROM (SELECT condition, category, count(*) AS k FROM s WHERE category <> 'none' GROUP BY ALL) GROUP BY condition)
+@query(f"""WITH {_ALL}, c AS (SELECT condition, count(*) AS n, count(*) FILTER (correct = 1) AS n_correct, count(*) FILTER (NOT is_empty) AS n_completed, count(*) FILTER (category <> 'none') AS errors FROM s GROUP BY condition), e AS (SELECT condition, sum(k)::BIGINT AS listed FROM (SELECT condition, category, count(*) AS k FROM s WHERE category <> 'none' GROUP BY ALL) GROUP BY condition)
 SELECT condition, n, errors, coalesce(listed, 0) AS listed, errors = coalesce(listed, 0) AS agrees, n_correct <= n_completed AND n_completed <= n AS in_bounds, round(n_correct::DOUBLE / n, 9) AS accuracy, round(n_completed::DOUBLE / n, 9) AS completion_rate FROM c LEFT JOIN e USING (condition)""")
 def publication_reconciliation(spark, sf_dir):
     """Published counts and rates against one another: errors that are listed, correct within completed within all."""
-    rows = scores(spark, sf_dir)
+    rows = all_scores(spark, sf_dir)
     totals = rows.groupBy("condition").agg(F.count("*").alias("n"), F.count_if(F.col("correct") == 1).alias("n_correct"), F.count_if(~F.col("is_empty")).alias("n_completed"), F.count_if(F.col("category") != "none").alias("errors"))
     listed = error_distribution(spark, sf_dir).filter("category <> 'none'").groupBy("condition").agg(F.sum("n").alias("listed"))
     both = totals.join(listed, "condition", "left").withColumn("listed", F.coalesce("listed", F.lit(0).cast("long")))
@@ -211,12 +212,12 @@ def label_mapping(spark, sf_dir):
     return integrity.by_label(order.select("block", "label", "correct"), order.select("block", "label", "condition"), "block").select("block", "label", "condition", "correct")
 
 
-@query(f"""WITH {_SCORES}, u AS (SELECT condition, 'depth' AS field, depth AS value FROM s UNION ALL SELECT condition, 'clarity', clarity FROM s),
+@query(f"""WITH {_ALL}, u AS (SELECT condition, 'depth' AS field, depth AS value FROM s UNION ALL SELECT condition, 'clarity', clarity FROM s),
 c AS (SELECT field, condition, count(*) AS n, avg(value) AS mean, count(*) FILTER (value = 0) AS n_0, count(*) FILTER (value = 1) AS n_1, count(*) FILTER (value = 2) AS n_2 FROM u WHERE value IS NOT NULL GROUP BY ALL)
 SELECT field, condition, n, n_0 + n_1 + n_2 = n AS adds_up, abs(mean - (n_1 + 2 * n_2)::DOUBLE / n) < 1e-9 AS mean_agrees FROM c""")
 def score_counts_reconciled(spark, sf_dir):
     """Counts of the scores 0, 1, 2 have to add up to n and give the mean."""
-    got = review.secondary_summary(scores(spark, sf_dir), ["depth", "clarity"])
+    got = review.secondary_summary(all_scores(spark, sf_dir), ["depth", "clarity"])
     adds = F.col("n_0") + F.col("n_1") + F.col("n_2") == F.col("n")
     return got.select("field", "condition", "n", adds.alias("adds_up"), (F.abs(F.col("mean") - (F.col("n_1") + 2 * F.col("n_2")) / F.col("n")) < 1e-9).alias("mean_agrees"))
 
