@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwell.operators import ordering
 from loomwell.operators.review import violations
 
 # What a response repeats of its request, how it may have ended, and the attempts a request has.
@@ -116,3 +117,37 @@ def compare_counts(counts: DataFrame, expected: DataFrame, keys: list[str]) -> D
     rows = counts.select(*keys, F.col("n").alias("_n")).join(expected.select(*keys, F.col("n").alias("_e")), keys, "full")
     n, e = F.coalesce("_n", zero), F.coalesce("_e", zero)
     return rows.select(*keys, n.alias("n"), e.alias("expected"), (n == e).alias("agrees"))
+
+
+def contiguity(df: DataFrame, order: list[str], parent: str, index: str, position: str | None = None) -> DataFrame:
+    """For each parent of rows in a total order: rows, runs, index_breaks, first, last, and misplaced if positions are stored.
+
+    A parent is together if it has one run. Within a run the index has to go up
+    by one, and a run that begins a parent has to begin with the parent's least
+    index. Each row sees the one before it, across ranges too, which are joined by
+    one row each; no task sorts all rows.
+    """
+    rows = ordering.ranged(df.select(*dict.fromkeys([*order, parent, index, *([position] if position else [])])), order)
+    own = F.struct(F.col(parent).alias("p"), F.col(index).alias("i"))
+    rows = ordering.scan(rows, [], order, {"_before": ("last", own), "_place": ("sum", F.lit(1).cast("long"))}, before=True)
+    starts = F.col("_before").isNull() | ~F.col("_before.p").eqNullSafe(F.col(parent))
+    rows = rows.withColumn("_starts", starts).withColumn("_breaks", ~F.col("_starts") & (F.col(index) != F.col("_before.i") + 1))
+    misplaced = [F.count_if(~F.col(position).eqNullSafe(F.col("_place"))).alias("misplaced")] if position else []
+    got = rows.groupBy(parent).agg(F.count("*").alias("rows"), F.count_if("_starts").alias("runs"), F.count_if("_breaks").alias("index_breaks"), F.min("_place").alias("first"), F.max("_place").alias("last"), *misplaced)
+    return got
+
+
+def common_prefix(expected: DataFrame, found: DataFrame, position: str, key: str) -> DataFrame:
+    """One row: matched, the number of places from the first on at which both tables hold the same key, and of what kind the first difference is.
+
+    ``kind`` is ``other``, ``missing`` (nothing is found there), ``extra`` (nothing was
+    expected) or null if all agree. Places are compared where they are; only
+    the least place that differs is looked for.
+    """
+    a = expected.select(F.col(position).alias("_p"), F.col(key).alias("_a"), F.lit(True).alias("_in_a"))
+    b = found.select(F.col(position).alias("_p"), F.col(key).alias("_b"), F.lit(True).alias("_in_b"))
+    both = a.join(b, "_p", "full")
+    kind = F.when(F.col("_in_b").isNull(), "missing").when(F.col("_in_a").isNull(), "extra").when(~F.col("_a").eqNullSafe(F.col("_b")), "other")
+    odd = both.select("_p", kind.alias("kind"))
+    least = odd.agg(F.min(F.when(F.col("kind").isNotNull(), F.struct("_p", "kind"))).alias("x"), F.min("_p").alias("start"), F.max("_p").alias("end"))
+    return least.select(F.coalesce(F.col("x._p") - F.col("start"), F.col("end") - F.col("start") + 1, F.lit(0)).cast("long").alias("matched"), F.col("x._p").alias("first_difference"), F.col("x.kind").alias("kind"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomwell.functions import stats
 from loomwell.functions import text as t
 from loomwell.functions import vectors as v
+from loomwell.operators import lineage
 
 QUERY_BYTES, QUERY_BLOCK = 64 << 20, 2048  # of query vectors that are shipped to every task or make a block, and rows of a product
 
@@ -165,8 +166,9 @@ def candidates(found: DataFrame, texts: DataFrame, config_id: str, *, text_id: s
 
 
 def blinded(rows: DataFrame, config_id: str) -> DataFrame:
-    """What a judge may see, in the order of the hashed identity: no rank, no score."""
-    return rows.select(F.lit(config_id).alias("configuration_id"), "judgement_id", "query_text", "chunk_text", F.lit(None).cast("int").alias("relevance_grade")).orderBy("judgement_id")
+    """What a judge may see, in the order of the hashed identity: nothing that is made of a rank or a score, under whatever name."""
+    seen = rows.select(F.lit(config_id).alias("configuration_id"), "judgement_id", "query_text", "chunk_text", F.lit(None).cast("int").alias("relevance_grade"))
+    return lineage.expect_independent(seen, {"rank", "score", "condition", "grade"}).orderBy("judgement_id")
 
 
 def metrics_at(graded: DataFrame, depths: list[int], z: float = stats.Z_ROUNDED) -> DataFrame:

@@ -5,18 +5,17 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
 
 
-def settle(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` below ``spark.checkpoint.dir`` and read it back, so that all that follows sees the same rows.
+def new_place(spark: SparkSession, label: str) -> str:
+    """A fresh path below ``spark.checkpoint.dir``.
 
     Where the setting is missing, which only single-machine sessions may, a
     temporary folder takes its place.
     """
-    spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local["):
@@ -25,6 +24,11 @@ def settle(df: DataFrame, label: str) -> DataFrame:
         if key not in _OWN:
             _OWN[key] = "file://" + tempfile.mkdtemp(prefix="loomwell-")
         root = _OWN[key]
-    path = f"{root.rstrip('/')}/loomwell/{label}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/loomwell/{label}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` to a fresh place and read it back, so that all that follows sees the same rows."""
+    path = new_place(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
