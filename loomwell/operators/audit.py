@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwell.operators import ordering
+from loomwell.operators import ordering, staging
 
 
 class IntegrityError(ValueError):
@@ -46,8 +46,8 @@ def multiset_difference(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def completeness(left: DataFrame, right: DataFrame, observed: DataFrame, keys: list[str]) -> DataFrame:
-    """Combinations of two domains that were not observed; the second domain is small."""
-    return left.crossJoin(F.broadcast(right)).join(observed.select(*keys).distinct(), keys, "left_anti")
+    """Combinations of two domains that were not observed."""
+    return left.crossJoin(staging.if_small(right)).join(observed.select(*keys).distinct(), keys, "left_anti")
 
 
 def latency_seconds(start: Column, end: Column) -> Column:

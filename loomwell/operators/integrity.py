@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwell.operators import ordering
+from loomwell.operators import ordering, staging
 from loomwell.operators.review import violations
 
 # What a response repeats of its request, how it may have ended, and the attempts a request has.
@@ -119,6 +119,36 @@ def compare_counts(counts: DataFrame, expected: DataFrame, keys: list[str]) -> D
     return rows.select(*keys, n.alias("n"), e.alias("expected"), (n == e).alias("agrees"))
 
 
+def other_orders(rows: DataFrame, condition: str, position: str, question: str) -> DataFrame:
+    """condition, position, question, expected: where a condition asks another question than most do at a position, or none.
+
+    Of questions that are asked equally often the least counts as the shared one.
+    """
+    votes = rows.groupBy(position, question).agg(F.count("*").alias("_n"))
+    shared = votes.groupBy(position).agg(F.min(F.struct(-F.col("_n"), F.col(question))).alias("x")).select(position, F.col(f"x.{question}").alias("expected"))
+    every = shared.crossJoin(staging.if_small(rows.select(condition).distinct()))
+    both = every.join(rows.select(condition, position, question), [condition, position], "left")
+    return both.filter(~F.col(question).eqNullSafe(F.col("expected"))).select(condition, position, question, "expected")
+
+
+def accounting(raw: DataFrame, parts: dict[str, DataFrame], key: str, value: str) -> DataFrame:
+    """For each key: raw values, those in each part, and how many the parts lack or have too many, as multisets.
+
+    All tables have key and value; each raw value has to be in exactly one part, as
+    often as it comes. One exchange adds them up.
+    """
+    one = lambda df, names: df.select(key, value, *[(F.lit(1) if n in names else F.lit(0)).cast("long").alias(n) for n in ("raw", *parts)])
+    rows = one(raw, ["raw"])
+    for n, df in parts.items():
+        rows = rows.unionByName(one(df, [n]))
+    sums = rows.groupBy(key, value).agg(*[F.sum(n).alias(n) for n in ("raw", *parts)])
+    held = F.lit(0).cast("long")
+    for n in parts:
+        held = held + F.col(n)
+    zero = F.lit(0).cast("long")
+    return sums.groupBy(key).agg(*[F.sum(n).alias(n) for n in ("raw", *parts)], F.sum(F.greatest(F.col("raw") - held, zero)).alias("lacking"), F.sum(F.greatest(held - F.col("raw"), zero)).alias("too_many"))
+
+
 def contiguity(df: DataFrame, order: list[str], parent: str, index: str, position: str | None = None) -> DataFrame:
     """For each parent of rows in a total order: rows, runs, index_breaks, first, last, and misplaced if positions are stored.
 

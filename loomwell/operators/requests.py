@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,8 +103,6 @@ def estimated(*encoders):
     Each encoder is a function from a list of texts to a list of numbers of
     tokens; they run in Arrow batches.
     """
-    import pandas as pd
-
     def largest(texts: pd.Series) -> pd.Series:
         some = texts.fillna("").tolist()
         return pd.Series([max(x) for x in zip(*(e(some) for e in encoders))], dtype="int64")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwell.functions import stats
+from loomwell.operators import staging
 
 
 def violations(scores: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
@@ -14,14 +15,33 @@ def violations(scores: DataFrame, key: str, rules: dict[str, Column]) -> DataFra
     return scores.select(key, F.explode(broken).alias("rule"))
 
 
-def score_rules() -> dict[str, Column]:
-    """The rules of a score with correct, category, note, is_empty, applicable and value columns."""
-    return {
-        "correct_has_no_error": (F.col("correct") != 1) | (F.col("category") == "none"),
-        "incorrect_has_category": (F.col("correct") != 0) | (F.col("category") != "none"),
-        "other_needs_note": (F.col("category") != "other") | (F.char_length(F.coalesce("note", F.lit(""))) > 0),
-        "empty_is_incorrect": ~F.col("is_empty") | (F.col("correct") == 0),
-        "value_where_applicable": F.col("applicable") == F.col("value").isNotNull(),
+# What a score may say.
+CATEGORIES = ("none", "grounding", "conceptual", "calculation", "deficiency", "no_visible_answer", "other")
+CONFIDENCES = ("low", "medium", "high")
+
+
+def score_rules(secondary: dict[str, str], always: list[str]) -> dict[str, Column]:
+    """The rules of a score.
+
+    It has correct (0, 1), unsupported, confirmed and is_empty (booleans), category,
+    confidence and note. ``secondary`` names ordinal values (0, 1, 2) with the
+    column that says whether they apply; where they don't they are null.
+    ``always`` names those that apply to every score.
+    """
+    correct, note, empty = F.col("correct"), F.trim(F.coalesce("note", F.lit(""))), F.col("is_empty")
+    both = lambda cs: F.forall(F.array(*cs), lambda c: F.coalesce(c, F.lit(False)))
+    any_ = lambda cs: F.exists(F.array(*cs), lambda c: F.coalesce(c, F.lit(False)))
+    rules = {"correct_in_range": correct.isin(0, 1), "category_known": F.col("category").isin(*CATEGORIES), "confidence_known": F.col("confidence").isin(*CONFIDENCES), "unsupported_given": F.col("unsupported").isNotNull()}
+    rules |= {f"{n}_in_range": F.when(F.col(on), F.col(n).isin(0, 1, 2)).otherwise(F.col(n).isNull()) for n, on in secondary.items()}
+    rules |= {f"{n}_in_range": F.col(n).isin(0, 1, 2) for n in always}
+    partial = [F.col(n) == 1 for n in (*secondary, *always)]
+    policy = [correct == 0, ~F.col("unsupported"), F.col("category") == "no_visible_answer", *[F.col(n) == 0 for n in always], *[F.col(n).eqNullSafe(F.when(F.col(on), 0)) for n, on in secondary.items()]]
+    return rules | {
+        "category_agrees": (correct == 1) == (F.col("category") == "none"),
+        "note_given": ~any_([correct == 0, *partial, F.col("category") == "other", F.col("confidence") == "low"]) | (note != ""),
+        "empty_is_confirmed": F.col("confirmed").isNotNull() & (F.col("confirmed") == empty),
+        "empty_policy": ~empty | both(policy),
+        "answer_is_visible": empty | (F.col("category") != "no_visible_answer"),
     }
 
 
@@ -45,10 +65,10 @@ def secondary_summary(scores: DataFrame, fields: list[str]) -> DataFrame:
 
 
 def error_counts(scores: DataFrame, categories: DataFrame, conds: DataFrame) -> DataFrame:
-    """Category by condition, zero where nothing was found; both domains are small."""
-    domain = categories.select("category").crossJoin(F.broadcast(conds.select("condition")))
+    """Category by condition, zero where nothing was found; there are as many rows as pairs, whatever the scores."""
+    domain = categories.select("category").crossJoin(staging.if_small(conds.select("condition")))
     found = scores.groupBy("category", "condition").agg(F.count("*").alias("n"))
-    return F.broadcast(domain).join(found, ["category", "condition"], "left").select("category", "condition", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+    return domain.join(found, ["category", "condition"], "left").select("category", "condition", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
 def pooled_strata(scores: DataFrame, fields: list[str], least: int = 3) -> DataFrame:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
@@ -32,3 +33,12 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     path = new_place(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows of a few short columns that may be sent to every task.
+SMALL = 100_000
+
+
+def if_small(df: DataFrame, rows: int = SMALL) -> DataFrame:
+    """``df`` marked for broadcasting if it is found to have no more than ``rows`` rows, else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -44,11 +44,11 @@ def contexts(spark, sf_dir) -> DataFrame:
     return own.join(whole, "query_id").drop("query_id")
 
 
-def manifest(spark, sf_dir, *, keep_prompt: bool = False) -> DataFrame:
+def manifest(spark, sf_dir, *, keep_prompt: bool = False, tokens=None) -> DataFrame:
     """Requests for every question; one without a context fails where a condition gives results."""
     questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("item_id").alias("position"), F.col("text").alias("query_text"))
     found = contexts(spark, sf_dir).select("question_id", "context")
-    return requests.manifest(questions, requests.conditions(spark), found, CONFIG, template=TEMPLATE, bare=BARE, keep_prompt=keep_prompt)
+    return requests.manifest(questions, requests.conditions(spark), found, CONFIG, template=TEMPLATE, bare=BARE, tokens=tokens, keep_prompt=keep_prompt)
 
 
 def costed(spark, sf_dir) -> DataFrame:

@@ -214,18 +214,28 @@ def distance_ranking(spark, sf_dir):
     return near.groupBy("query_id").agg(F.count("*").alias("results"), F.count_if(F.col("near") == F.col("rank")).alias("same_place"))
 
 
-_MAPPING = """c AS (SELECT doc_id AS index_position, 'doc:' || doc_id AS chunk_id, source AS source_id FROM documents),
-m AS (SELECT vec_id AS index_position, 'doc:' || vec_id AS chunk_id, 'src' || (vec_id % 20) AS source_id FROM embeddings)"""
+_MAPPED = ["chunk_id", "parent_record_id", "pdf_page_index", "pdf_page_number", "printed_page_number", "source_id"]
+_PAGES = "'page:' || {i} % 700 AS parent_record_id, {i} % 700 AS pdf_page_index, {i} % 700 + 1 AS pdf_page_number, ({i} % 700 - 23)::VARCHAR AS printed_page_number"
+_MAPPING = f"""c AS (SELECT doc_id AS index_position, 'doc:' || doc_id AS chunk_id, {_PAGES.format(i="doc_id")}, source AS source_id FROM documents),
+m AS (SELECT vec_id AS index_position, 'doc:' || vec_id AS chunk_id, {_PAGES.format(i="vec_id")} , 'src' || (vec_id % 20) AS source_id FROM embeddings),
+w AS (SELECT * REPLACE (CASE WHEN index_position % 61 = 3 THEN NULL ELSE printed_page_number END AS printed_page_number, CASE WHEN index_position % 53 = 9 THEN pdf_page_number + 1 ELSE pdf_page_number END AS pdf_page_number) FROM m)"""
+_FIRST_OFF = "CASE " + " ".join(f"WHEN c.{f} IS DISTINCT FROM w.{f} THEN '{f}'" for f in _MAPPED) + " END"
 
 
-@query(f"""WITH {_MAPPING}, j AS (SELECT coalesce(c.index_position, m.index_position) AS index_position, CASE WHEN c.chunk_id IS NULL THEN 'no_chunk' WHEN m.chunk_id IS NULL THEN 'no_mapping' WHEN c.chunk_id <> m.chunk_id OR c.source_id IS DISTINCT FROM m.source_id THEN 'differs' ELSE 'equal' END AS status,
-CASE WHEN c.chunk_id <> m.chunk_id THEN 'chunk_id' WHEN c.chunk_id IS NOT NULL AND m.chunk_id IS NOT NULL AND c.source_id IS DISTINCT FROM m.source_id THEN 'source_id' END AS field FROM c FULL JOIN m USING (index_position))
+@query(f"""WITH {_MAPPING}, j AS (SELECT coalesce(c.index_position, w.index_position) AS index_position, CASE WHEN c.chunk_id IS NULL THEN 'no_chunk' WHEN w.chunk_id IS NULL THEN 'no_mapping' WHEN {_FIRST_OFF} IS NOT NULL THEN 'differs' ELSE 'equal' END AS status,
+CASE WHEN c.chunk_id IS NOT NULL AND w.chunk_id IS NOT NULL THEN {_FIRST_OFF} END AS field FROM c FULL JOIN w USING (index_position))
 SELECT status, field, count(*) AS n, min(index_position) AS first, max(index_position) AS last FROM j GROUP BY ALL""")
 def mapping_verification(spark, sf_dir):
-    """The index, a vector at each place, against the documents that belong there."""
-    chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("index_position"), F.concat(F.lit("doc:"), "doc_id").alias("chunk_id"), F.col("source").alias("source_id"))
-    mapping = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("index_position"), F.concat(F.lit("doc:"), "vec_id").alias("chunk_id"), F.concat(F.lit("src"), (F.col("vec_id") % 20).cast("string")).alias("source_id"))
-    found = integrity.verify_mapping(chunks, mapping, "index_position", ["chunk_id", "source_id"])
+    """The index, a vector at each place, against the documents that belong there, in six fields, two of which were changed here and there."""
+    def mapped(df, i, source):
+        page = F.col(i) % 700
+        return df.select(F.col(i).alias("index_position"), F.concat(F.lit("doc:"), i).alias("chunk_id"), F.concat(F.lit("page:"), page.cast("string")).alias("parent_record_id"), page.alias("pdf_page_index"), (page + 1).alias("pdf_page_number"), (page - 23).cast("string").alias("printed_page_number"), source.alias("source_id"))
+
+    chunks = mapped(table(spark, sf_dir, "documents"), "doc_id", F.col("source"))
+    mapping = mapped(table(spark, sf_dir, "embeddings"), "vec_id", F.concat(F.lit("src"), (F.col("vec_id") % 20).cast("string")))
+    off = lambda n, r: F.col("index_position") % n == r
+    mapping = mapping.withColumn("printed_page_number", F.when(~off(61, 3), F.col("printed_page_number"))).withColumn("pdf_page_number", F.when(off(53, 9), F.col("pdf_page_number") + 1).otherwise(F.col("pdf_page_number")))
+    found = integrity.verify_mapping(chunks, mapping, "index_position", _MAPPED)
     return found.groupBy("status", "field").agg(F.count("*").alias("n"), F.min("index_position").alias("first"), F.max("index_position").alias("last"))
 
 

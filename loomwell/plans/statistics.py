@@ -83,12 +83,25 @@ def strata_pooled(spark, sf_dir):
     return got.withColumn("accuracy", F.round("accuracy", 9))
 
 
-@query(f"""WITH {_ALL}, v AS (SELECT doc_id, correct, category, CASE WHEN doc_id % 11 = 0 THEN 'seen' END AS note, is_empty, clarity IS NOT NULL OR doc_id % 10 = 0 AS applicable, clarity AS value FROM s),
-r AS (SELECT doc_id, unnest([CASE WHEN NOT (correct <> 1 OR category = 'none') THEN 'correct_has_no_error' END, CASE WHEN NOT (correct <> 0 OR category <> 'none') THEN 'incorrect_has_category' END, CASE WHEN NOT (category <> 'other' OR length(coalesce(note, '')) > 0) THEN 'other_needs_note' END,
-CASE WHEN NOT (NOT is_empty OR correct = 0) THEN 'empty_is_incorrect' END, CASE WHEN NOT (applicable = (value IS NOT NULL)) THEN 'value_where_applicable' END]) AS rule FROM v) SELECT * FROM r WHERE rule IS NOT NULL""")
+_SCORED = """v AS (SELECT doc_id, correct, unsupported = 1 AS unsupported, is_empty, is_empty <> (doc_id % 23 = 0) AS confirmed, CASE WHEN doc_id % 17 = 0 THEN 'other' WHEN doc_id % 41 = 0 THEN 'unknown' WHEN correct = 1 THEN 'none' WHEN is_empty THEN 'no_visible_answer' WHEN unsupported = 1 THEN 'grounding' ELSE 'conceptual' END AS category,
+CASE WHEN doc_id % 37 = 0 THEN 'sure' WHEN doc_id % 5 = 0 THEN 'low' ELSE 'high' END AS confidence, CASE WHEN doc_id % 3 = 0 THEN 'seen' ELSE ' ' END AS note, doc_id % 4 <> 0 AS applies, CASE WHEN doc_id % 29 = 0 THEN 3 WHEN doc_id % 4 <> 0 THEN depth WHEN doc_id % 31 = 0 THEN 0 END AS depth, (doc_id % 3)::INTEGER AS clarity FROM s)"""
+
+
+@query(f"""WITH {_ALL}, {_SCORED},
+r AS (SELECT doc_id, unnest([CASE WHEN category NOT IN ('none', 'grounding', 'conceptual', 'calculation', 'deficiency', 'no_visible_answer', 'other') THEN 'category_known' END, CASE WHEN confidence NOT IN ('low', 'medium', 'high') THEN 'confidence_known' END,
+CASE WHEN CASE WHEN applies THEN depth NOT IN (0, 1, 2) ELSE depth IS NOT NULL END THEN 'depth_in_range' END, CASE WHEN (correct = 1) <> (category = 'none') THEN 'category_agrees' END,
+CASE WHEN (correct = 0 OR coalesce(depth, 0) = 1 OR clarity = 1 OR category = 'other' OR confidence = 'low') AND trim(note) = '' THEN 'note_given' END, CASE WHEN confirmed <> is_empty THEN 'empty_is_confirmed' END,
+CASE WHEN is_empty AND NOT (correct = 0 AND NOT unsupported AND category = 'no_visible_answer' AND clarity = 0 AND depth IS NOT DISTINCT FROM CASE WHEN applies THEN 0 END) THEN 'empty_policy' END, CASE WHEN NOT is_empty AND category = 'no_visible_answer' THEN 'answer_is_visible' END]) AS rule FROM v)
+SELECT doc_id, rule FROM r WHERE rule IS NOT NULL""")
 def score_rule_violations(spark, sf_dir):
-    rows = all_scores(spark, sf_dir).withColumn("note", F.when(F.col("doc_id") % 11 == 0, "seen")).withColumn("applicable", F.col("clarity").isNotNull() | (F.col("doc_id") % 10 == 0)).withColumn("value", F.col("clarity"))
-    return review.violations(rows, "doc_id", review.score_rules())
+    """Scores against all their rules; some categories, confidences, notes, confirmations and values were made wrong."""
+    odd = lambda n: F.col("doc_id") % n == 0
+    empty, applies = F.col("is_empty"), F.col("doc_id") % 4 != 0
+    category = F.when(odd(17), "other").when(odd(41), "unknown").when(F.col("correct") == 1, "none").when(empty, "no_visible_answer").when(F.col("unsupported") == 1, "grounding").otherwise("conceptual")
+    rows = all_scores(spark, sf_dir).select(
+        "doc_id", "correct", (F.col("unsupported") == 1).alias("unsupported"), "is_empty", (empty != odd(23)).alias("confirmed"), category.alias("category"), F.when(odd(37), "sure").when(odd(5), "low").otherwise("high").alias("confidence"),
+        F.when(odd(3), "seen").otherwise(" ").alias("note"), applies.alias("applies"), F.when(odd(29), 3).when(applies, F.col("depth")).when(odd(31), 0).alias("depth"), (F.col("doc_id") % 3).cast("int").alias("clarity"))
+    return review.violations(rows, "doc_id", review.score_rules({"depth": "applies"}, ["clarity"]))
 
 
 _KEYS = 'family, ord_l, "left", ord_r, "right"'
@@ -134,9 +147,13 @@ def cochran_p_two(spark, sf_dir):
     return got.select("family", F.round("q", 9).alias("q"), F.round(F.exp(-F.col("q") / 2), 9).alias("p_value"))
 
 
-@query()
+#: The error function by Simpson's rule over 4,000 steps, as no SQL engine here has it.
+_ERFC = "(1 - 2 / sqrt(pi()) * sqrt(q / 2) / 12000 * list_sum(list_transform(range(0, 4001), lambda i: CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-q / 2 * pow(i / 4000.0::DOUBLE, 2)))))"
+
+
+@query(f"WITH {_SCORES}, {_FAM}, {_Q} SELECT family, df, round(q, 9) AS q, round(CASE WHEN NOT variation THEN 1 WHEN df = 2 THEN exp(-q / 2) WHEN df = 1 THEN {_ERFC} ELSE {_ERFC} + sqrt(2 * q / pi()) * exp(-q / 2) END, 9)::DOUBLE AS p_value FROM q")
 def cochran_p(spark, sf_dir):
-    """p values for 1 to 3 degrees of freedom; no SQL engine here has the complementary error function."""
+    """p values for 1 to 3 degrees of freedom."""
     got = paired.cochran_q(scores(spark, sf_dir), families(spark))
     return got.select("family", "df", F.round("q", 9).alias("q"), F.round(F.when(~F.col("variation"), 1.0).otherwise(stats.chi_square_survival(F.col("q"), F.col("df"))), 9).alias("p_value"))
 

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomwell.functions import text as t
-from loomwell.operators import digests, history, integrity, ordering, staging
-from loomwell.plans import generation, retrieval
+from loomwell.operators import digests, history, integrity, ordering, requests, staging
+from loomwell.plans import corpus, generation, retrieval
 from loomwell.plans.catalog import query, table
 from loomwell.sources import files, matrix, strict
 
@@ -151,3 +151,46 @@ def overlap_masks(spark, sf_dir):
     bit = F.when(F.col("correct"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("condition").cast("int"))).otherwise(F.lit(0).cast("long"))
     masks = rows.groupBy("block").agg(F.bit_or(bit).alias("pattern"))
     return masks.groupBy("pattern").agg(F.count("*").alias("blocks"), F.bit_count("pattern").alias("conditions"))
+
+
+@query(generation._MANIFEST + """, o AS (SELECT condition, position, CASE WHEN condition = (SELECT max(condition) FROM h) AND position IN (3, 4) THEN 7 - question_id ELSE question_id END AS question_id FROM h WHERE NOT (condition = (SELECT min(condition) FROM h) AND position = 9))
+SELECT max(condition) AS condition, 3 AS position, 4 AS question_id, 3 AS expected FROM o UNION ALL SELECT max(condition), 4, 3, 4 FROM o UNION ALL SELECT min(condition), 9, NULL, 9 FROM o""")
+def question_order(spark, sf_dir):
+    """Where conditions don't ask the shared questions in the shared order: two were exchanged, one was lost."""
+    rows = generation.manifest(spark, sf_dir).select("condition", "position", "question_id")
+    ends = rows.agg(F.min("condition").alias("low"), F.max("condition").alias("high"))
+    rows = rows.crossJoin(F.broadcast(ends))  # one row
+    rows = rows.filter(~((F.col("condition") == F.col("low")) & (F.col("position") == 9)))
+    swapped = F.when((F.col("condition") == F.col("high")) & F.col("position").isin(3, 4), 7 - F.col("question_id")).otherwise(F.col("question_id"))
+    return integrity.other_orders(rows.withColumn("question_id", swapped), "condition", "position", "question_id")
+
+
+@query(generation._RESPONSES + " SELECT condition, model, effort, count(*) AS responses, count(*) FILTER (status = 'empty') AS empty, count(DISTINCT question_id) FILTER (status = 'empty') AS questions FROM r GROUP BY ALL HAVING count(*) FILTER (status = 'empty') > 0")
+def empty_responses(spark, sf_dir):
+    """Empty responses by condition, model and effort."""
+    empty = F.col("status") == "empty"
+    got = generation.responses(spark, sf_dir).groupBy("condition", "model", "effort").agg(F.count("*").alias("responses"), F.count_if(empty).alias("empty"), F.count_distinct(F.when(empty, F.col("question_id"))).alias("questions"))
+    return got.filter("empty > 0")
+
+
+@query(f"""WITH {corpus._LINES}, a AS (SELECT doc_id, line, reason, i FROM c),
+x AS (SELECT doc_id, line, 1 AS raw, CASE WHEN reason IS NULL AND i % 97 <> 11 THEN 1 ELSE 0 END AS retained, CASE WHEN reason IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN i % 89 = 7 THEN 1 ELSE 0 END AS removed FROM a),
+g AS (SELECT doc_id, line, sum(raw) AS raw, sum(retained) AS retained, sum(removed) AS removed FROM x GROUP BY ALL)
+SELECT doc_id, sum(raw)::BIGINT AS raw, sum(retained)::BIGINT AS retained, sum(removed)::BIGINT AS removed, sum(greatest(raw - retained - removed, 0))::BIGINT AS lacking, sum(greatest(retained + removed - raw, 0))::BIGINT AS too_many FROM g GROUP BY doc_id HAVING sum(abs(raw - retained - removed)) > 0""")
+def line_accounting(spark, sf_dir):
+    """Lines as multisets: each raw line is retained or removed, as often as it comes; some were lost and some were counted twice."""
+    lines = corpus.classified(spark, sf_dir).select("doc_id", "line", "reason", "line_index")
+    removed = lines.filter("reason IS NOT NULL").unionByName(lines.filter("line_index % 89 = 7"))
+    got = integrity.accounting(lines, {"retained": lines.filter("reason IS NULL AND line_index % 97 <> 11"), "removed": removed}, "doc_id", "line")
+    return got.filter("lacking > 0 OR too_many > 0")
+
+
+@query(generation._MANIFEST + """SELECT condition, count(*) AS requests, max(greatest(len(regexp_extract_all(prompt, '[^ \t\n\r\f\v]+')), (length(prompt) + 3) // 4))::BIGINT + 24 AS most_tokens, sum(greatest(len(regexp_extract_all(prompt, '[^ \t\n\r\f\v]+')), (length(prompt) + 3) // 4) + 24)::BIGINT AS tokens FROM h GROUP BY condition""")
+def token_estimates(spark, sf_dir):
+    """Tokens of requests by the larger of two estimates, words and a quarter of the characters, through the hook for encoders."""
+    import re
+
+    word = re.compile(r"[^ \t\n\r\f\v]+")
+    largest = requests.estimated(lambda texts: [len(word.findall(x)) for x in texts], lambda texts: [(len(x) + 3) // 4 for x in texts])
+    rows = generation.manifest(spark, sf_dir, tokens=largest)
+    return rows.groupBy("condition").agg(F.count("*").alias("requests"), F.max("input_tokens").alias("most_tokens"), F.sum("input_tokens").alias("tokens"))

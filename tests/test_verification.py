@@ -190,3 +190,48 @@ def test_contiguity(spark):
 def test_common_prefix(spark, found, want):
     make = lambda s: spark.createDataFrame(list(enumerate(s)), "place long, key string")
     assert tuple(integrity.common_prefix(make("abcde"), make(found), "place", "key").first()) == want
+
+
+def test_accounting(spark):
+    make = lambda s: spark.createDataFrame([(k, v) for k, vs in s.items() for v in vs], "k string, v string")
+    raw, kept, gone = make({"a": "xxy", "b": "pq", "c": "z"}), make({"a": "xy", "b": "pp"}), make({"a": "x", "b": "q", "d": "w"})
+    got = {r.k: tuple(r)[1:] for r in integrity.accounting(raw, {"kept": kept, "gone": gone}, "k", "v").collect()}
+    assert got == {"a": (3, 2, 1, 0, 0), "b": (2, 2, 1, 0, 1), "c": (1, 0, 0, 1, 0), "d": (0, 0, 1, 0, 1)}
+
+
+def test_other_orders(spark):
+    rows = spark.createDataFrame([("a", 0, 5), ("a", 1, 6), ("b", 0, 5), ("b", 1, 7), ("c", 0, 5), ("d", 0, 9), ("d", 1, 6)], "condition string, position int, question int")
+    got = {tuple(r) for r in integrity.other_orders(rows, "condition", "position", "question").collect()}
+    assert got == {("b", 1, 7, 6), ("c", 1, None, 6), ("d", 0, 9, 5)}
+
+
+def test_score_rules(spark):
+    from loomwell.operators import review
+
+    base = {"id": "ok", "correct": 1, "unsupported": False, "confirmed": False, "is_empty": False, "category": "none", "confidence": "high", "note": None, "on": True, "depth": 2, "clarity": 2}
+    empty = base | {"correct": 0, "confirmed": True, "is_empty": True, "category": "no_visible_answer", "note": "n", "depth": 0, "clarity": 0}
+    cases = {
+        "ok": base, "ok empty": empty, "ok not applicable": base | {"on": False, "depth": None}, "ok empty, not applicable": empty | {"on": False, "depth": None}, "ok wrong": base | {"correct": 0, "category": "grounding", "note": "why"},
+        "correct_in_range": base | {"correct": 2, "category": "other", "note": "n"}, "category_known": base | {"correct": 0, "category": "bad", "note": "n"}, "confidence_known": base | {"confidence": "sure"}, "unsupported_given": base | {"unsupported": None}, "depth_in_range": base | {"depth": 3}, "depth_in_range ": base | {"on": False},
+        "depth_in_range  ": base | {"depth": None}, "clarity_in_range": base | {"clarity": -1}, "category_agrees": base | {"category": "conceptual"}, "category_agrees ": base | {"correct": 0, "note": "n"}, "note_given": base | {"confidence": "low"}, "note_given ": base | {"depth": 1, "note": " "}, "note_given  ": base | {"clarity": 1},
+        "empty_is_confirmed": base | {"confirmed": True}, "empty_is_confirmed ": base | {"confirmed": None}, "empty_policy": empty | {"clarity": 2}, "empty_policy ": empty | {"unsupported": True}, "empty_policy  ": empty | {"category": "grounding"}, "empty_policy   ": empty | {"depth": 2}, "answer_is_visible": base | {"correct": 0, "category": "no_visible_answer", "note": "n"},
+    }
+    rows = [tuple((x | {"id": name}).values()) for name, x in cases.items()]
+    df = spark.createDataFrame(rows, "id string, correct int, unsupported boolean, confirmed boolean, is_empty boolean, category string, confidence string, note string, on boolean, depth int, clarity int")
+    got = sorted((r.id, r.rule) for r in review.violations(df, "id", review.score_rules({"depth": "on"}, ["clarity"])).collect())
+    assert got == sorted((n, n.strip()) for n in cases if not n.startswith("ok"))
+
+
+def test_small_sides_only_are_broadcast(spark):
+    from loomwell.operators import staging
+
+    plan = lambda df: spark.range(10).crossJoin(df)._jdf.queryExecution().analyzed().toString()
+    assert "broadcast" in plan(staging.if_small(spark.range(5), 5)) and "broadcast" not in plan(staging.if_small(spark.range(6), 5))
+
+
+def test_estimates_take_the_largest_count(spark):
+    from loomwell.operators import requests
+
+    df = spark.createDataFrame([("x" * 30,), ("",), (None,)], "prompt string")
+    got = [r[0] for r in df.select(requests.estimated(lambda ts: [len(t) // 3 for t in ts], lambda ts: [min(len(t), 15) for t in ts])(F.col("prompt"))).collect()]
+    assert got == [15, 0, 0]
