@@ -285,3 +285,21 @@ def digests(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col
             )
 
     return _shared.map_batches(gathered(docs, id_col, text_col), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def reuse(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of what ``encode`` saves after its exchange: chunks met, chunks encoded, windows at joins that had to grow.
+
+    Null and empty texts meet no chunk; an empty table gives zeros.
+    """
+
+    def run(batches):
+        import numpy as np
+
+        enc = ChunkEncoder(tokenizer)
+        for b in pieces.text_batches(batches, "text", size=4 << 20):
+            enc.encode(b.column("text").to_pylist(), [np.frombuffer(c, "<i4").tolist() for c in b.column("ends").to_pylist()])
+        yield pa.RecordBatch.from_pydict({"chunks": [enc.met], "encoded": [enc.fresh], "widened": [enc.widened]})
+
+    found = _shared.map_batches(gathered(docs, id_col, text_col), run, "chunks long, encoded long, widened long")
+    return found.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("chunks", "encoded", "widened")])

@@ -138,6 +138,16 @@ def test_chunk_bpe(spark, path, docs, plain, empty):
     assert chunk_bpe.digests(empty, name).count() == 0
 
 
+def test_reuse_after_the_exchange(spark, path, empty):
+    r = np.random.default_rng(5)
+    passage = " ".join(f"word{x}" for x in r.integers(0, 10**6, 4000))
+    texts = [f"{i} in front " + passage + f" behind {i}" for i in range(60)]
+    name = path("byte_bpe_50k.json")
+    got = chunk_bpe.reuse(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(12), name).first()
+    assert got.chunks > 60 * 20 and got.encoded < 0.2 * got.chunks
+    assert tuple(chunk_bpe.reuse(empty, name).first()) == (0, 0, 0)
+
+
 def test_decoding_of_broken_bytes(path):
     t = Tokenizer.from_file(path("byte_bpe_50k.json"))
     table = chunk_bpe.token_bytes(t)
