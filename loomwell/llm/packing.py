@@ -23,6 +23,9 @@ from pyspark.sql.window import Window
 
 from . import _shared, pieces
 
+#: What the table of pieces of a worker may take, for 800,000 of them.
+TABLE_BYTES = 160 << 20
+
 
 def plan(counts: dict[int, int], size: int) -> list[tuple[list[int], int]]:
     """Patterns (lengths in their order, times used) that pack all pieces.
@@ -103,14 +106,14 @@ def places(patterns: list[tuple[list[int], int]]) -> dict:
     return {"key": np.array(keys, np.int64)[order], "first": np.array(firsts, np.int64)[order], "offset": np.array(offsets, np.int64)[order], "sequences": sequence}
 
 
-def cut(docs: DataFrame, tokenizer: str, *, size: int, end_id: int | None, id_col: str, text_col: str) -> DataFrame:
+def cut(docs: DataFrame, tokenizer: str, *, size: int, end_id: int | None, id_col: str, text_col: str, table_bytes: int = TABLE_BYTES) -> DataFrame:
     """Pieces of the encoded documents, with their rank among those of their length in their task."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches):
         import numpy as np
 
-        enc = pieces.encoder(tokenizer)
+        enc = pieces.encoder(tokenizer, 800_000 * table_bytes // TABLE_BYTES, table_bytes)
         end = np.array([] if end_id is None else [end_id], "<u4")
         task, ranks = _shared.task_id(), np.zeros(size + 1, np.int64)
         for b in pieces.text_batches(batches, "text"):
@@ -132,9 +135,11 @@ def cut(docs: DataFrame, tokenizer: str, *, size: int, end_id: int | None, id_co
 
 
 def pack(docs: DataFrame, tokenizer: str, *, size: int = 4096, end_id: int | None = 1, id_col: str = "doc_id",
-         text_col: str = "text") -> DataFrame:
+         text_col: str = "text", table_bytes: int = TABLE_BYTES) -> DataFrame:
     """Pack all documents into sequences of at most ``size`` tokens.
 
+    ``table_bytes`` bounds the table of encoded words that a worker keeps; it decides the cost only.
+
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset. A null
     text counts as empty; it still has its end token (without one, documents
     without ids have no piece). Repeated rows are packed as often as they come,
@@ -142,7 +147,7 @@ def pack(docs: DataFrame, tokenizer: str, *, size: int = 4096, end_id: int | Non
     ``size`` are cut.
     """
     spark = docs.sparkSession
-    found = _shared.settle(cut(docs, tokenizer, size=size, end_id=end_id, id_col=id_col, text_col=text_col), "pieces")
+    found = _shared.settle(cut(docs, tokenizer, size=size, end_id=end_id, id_col=id_col, text_col=text_col, table_bytes=table_bytes), "pieces")
     cells = found.groupBy("task", "length").agg(F.count("*").alias("n"))
     cells = _shared.settle(cells, "piece-counts")
     counts = {r.length: r.n for r in cells.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `size` rows

@@ -137,11 +137,11 @@ class PieceEncoder:
         return out
 
 
-def encoder(path: str, limit: int = 800_000) -> PieceEncoder:
+def encoder(path: str, limit: int = 800_000, size: int = 160 << 20) -> PieceEncoder:
     """The encoder of this worker process, kept from task to task."""
-    key = (path, limit)
+    key = (path, limit, size)
     if key not in _KEPT:
-        _KEPT[key] = PieceEncoder(path, limit)
+        _KEPT[key] = PieceEncoder(path, limit, size)
     return _KEPT[key]
 
 

@@ -28,7 +28,7 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import packing
 
-    return packing.pack(_docs(spark, sf_dir), _path("word_bpe_49k.json"), size=4096, end_id=1)
+    return packing.pack(_docs(spark, sf_dir), _path("word_bpe_49k.json"), size=4096, end_id=1, table_bytes=320 << 20)
 
 
 def op7_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
