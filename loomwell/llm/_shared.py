@@ -63,6 +63,20 @@ def fresh(df: DataFrame, name: str) -> str:
 FEW_CELLS = 200_000  # totals of cells that are broadcast
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that is never broadcast.
+
+    Spark takes the size of a table from its compressed files and leaves out what ``explode`` multiplies, so
+    a side that grows with the corpus can look small enough and then not fit the driver.
+    """
+    return df.hint("merge")
+
+
+def if_few(df: DataFrame, rows: int = FEW_CELLS) -> DataFrame:
+    """``df`` as a side of a join that is broadcast if it is found to have no more than ``rows`` rows, else shuffled."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else shuffled(df)
+
+
 def with_prefix(df: DataFrame, keys: list[str], order: list[Column], *, weight: Column | None = None,
                 bucket: Column, name: str) -> DataFrame:
     """Add the running sum of ``weight`` (1 if none) before each row within ``keys``.

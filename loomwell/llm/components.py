@@ -29,10 +29,10 @@ def components(edges: DataFrame) -> DataFrame:
         # Large star: each node's larger neighbours go to its least neighbour (or itself).
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = _clean(both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")))
+        large = _clean(both.filter("b > a").join(_shared.shuffled(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b")))
         # Small star: each node and its smaller neighbours go to the least of them.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
+        small = large.join(_shared.shuffled(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
         now = _shared.settle(_clean(small), "edges")
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state == before:

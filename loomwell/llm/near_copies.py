@@ -152,15 +152,16 @@ def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFram
     """The pairs that are similar enough; whole sets are made for the classes that their bitmaps leave only."""
     num, den = LEAST
     brief = classes.select("c", "size", "mark")
-    both = pairs.join(brief.select(F.col("c").alias("a"), F.col("size").alias("s"), F.col("mark").alias("x")), "a").join(brief.select(F.col("c").alias("b"), F.col("size").alias("t"), F.col("mark").alias("y")), "b")
+    left, right = (_shared.shuffled(brief.select(F.col("c").alias(c), F.col("size").alias(n), F.col("mark").alias(m))) for c, n, m in (("a", "s", "x"), ("b", "t", "y")))
+    both = pairs.join(left, "a").join(right, "b")
     apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
     pairs = _shared.settle(both.filter((num + den) * apart <= (den - num) * (F.col("s") + F.col("t"))).select("a", "b").distinct(), "pairs")
     wanted = classes.select("c", "key", "rep").join(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct(), "c", "left_semi")
     wanted = _shared.settle(wanted.select("c", "key", F.col("rep.doc_id").alias("rep_id"), F.col("rep.h").alias("rep_h")), "wanted")
-    some = rows.join(wanted.select("rep_id", "rep_h"), (rows.h == F.col("rep_h")) & rows.doc_id.eqNullSafe(F.col("rep_id")), "left_semi")
+    some = rows.join(_shared.if_few(wanted.select("rep_id", "rep_h")), (rows.h == F.col("rep_h")) & rows.doc_id.eqNullSafe(F.col("rep_id")), "left_semi")
     sets = _sets(some).join(wanted.select("c", "key"), "key")
     sets = _shared.settle(sets.groupBy("c").agg(F.first("found").alias("found")), "sets")
-    both = pairs.join(sets.select(F.col("c").alias("a"), F.col("found").alias("x")), "a").join(sets.select(F.col("c").alias("b"), F.col("found").alias("y")), "b")
+    both = pairs.join(_shared.shuffled(sets.select(F.col("c").alias("a"), F.col("found").alias("x"))), "a").join(_shared.shuffled(sets.select(F.col("c").alias("b"), F.col("found").alias("y"))), "b")
     common = F.size(F.array_intersect("x", "y"))
     return _shared.settle(both.filter(den * common >= num * (F.size("x") + F.size("y") - common)).select("a", "b"), "links")
 
@@ -175,14 +176,14 @@ def _rooted(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
     # First one class of each shingle with all others, then whatever is still apart. The one has the shingle earliest in its order,
     # so it has the fewest shingles of its own: where texts are copies of one, it is that one or near it.
     first = entries.groupBy("token").agg(F.min(F.struct("pos", "c", "size")).alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    entries = _shared.settle(entries.join(first, "token"), "entries")
+    entries = _shared.settle(entries.join(_shared.shuffled(first), "token"), "entries")
     stars = entries.alias("a").filter("c <> b.c").filter(_fits("a", "b")).select(F.col("c").alias("a"), F.col("b.c").alias("b"))
     links = _verified(stars.union(_fingerprint_pairs(classes)).distinct(), classes, rows)
     roots = components(links)
-    part = _shared.settle(entries.join(roots, entries.c == roots.node, "left").select("token", "c", "size", "pos", F.coalesce("root", "c").alias("part")), "parts")
+    part = _shared.settle(entries.join(_shared.if_few(roots), entries.c == roots.node, "left").select("token", "c", "size", "pos", F.coalesce("root", "c").alias("part")), "parts")
     apart = part.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("token")
-    part = part.join(apart, "token", "left_semi")
-    pairs = part.alias("a").join(part.alias("b"), "token").filter("a.c > b.c AND a.part <> b.part").filter(_fits("a", "b")).select(F.col("a.c").alias("a"), F.col("b.c").alias("b")).distinct()
+    part = part.join(_shared.shuffled(apart), "token", "left_semi")
+    pairs = part.alias("a").join(_shared.shuffled(part.alias("b")), "token").filter("a.c > b.c AND a.part <> b.part").filter(_fits("a", "b")).select(F.col("a.c").alias("a"), F.col("b.c").alias("b")).distinct()
     roots = components(links.union(_verified(pairs, classes, rows)))
     named = classes.select("key", "least", "c").join(roots, F.col("c") == roots.node, "left").select("key", "least", F.coalesce("root", "c").alias("root"))
     return found, _shared.settle(named, "named")

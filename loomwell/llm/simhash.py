@@ -171,7 +171,7 @@ def linked(fps: DataFrame, plan: Plan, *, radius: int = RADIUS, crowd: int = 64)
             full = sizes.filter(F.col("n") > crowd).select("v")
             crowded.append(probes.join(full, "v", "left_semi").select("fp"))
             index = index.join(full, "v", "left_anti")
-        met = index.withColumnRenamed("fp", "a").join(probes.withColumnRenamed("fp", "b"), "v")
+        met = index.withColumnRenamed("fp", "a").join(_shared.shuffled(probes.withColumnRenamed("fp", "b")), "v")
         if t == 0:
             met = met.filter("a < b")
         edges.append(met.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
