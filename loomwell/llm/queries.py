@@ -21,7 +21,7 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import _shared, token_files
 
     place = _shared.new_place(spark, "tokens")
-    token_files.write(_docs(spark, sf_dir), place, _path("byte_bpe_50k.json"), end_id=2)
+    token_files.write(_docs(spark, sf_dir), place, _path("byte_bpe_50k.json"), end_id=2, table_bytes=320 << 20)
     return token_files.read(spark, place).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 

@@ -19,9 +19,12 @@ from pyspark.sql import functions as F
 
 from . import _shared, pieces
 
+#: What the table of pieces of a worker may take, for 800,000 of them.
+TABLE_BYTES = 160 << 20
+
 
 def write(docs: DataFrame, place: str, tokenizer: str, *, end_id: int | None = None, id_col: str = "doc_id",
-          text_col: str = "text") -> dict:
+          text_col: str = "text", table_bytes: int = TABLE_BYTES) -> dict:
     """Encode ``docs`` in ascending order of ``id_col`` and write them to ``place``.
 
     A null text counts as empty; null ids come first; rows that share an id are
@@ -30,7 +33,8 @@ def write(docs: DataFrame, place: str, tokenizer: str, *, end_id: int | None = N
     another name and renamed when whole, so a task that is run again replaces
     its shard by an equal one. Texts of any length are encoded whole; columns
     other than the two named take no part. An empty table gives an index without
-    shards.
+    shards. ``table_bytes`` bounds the table of encoded pieces that a worker keeps;
+    it decides the cost only.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -39,7 +43,7 @@ def write(docs: DataFrame, place: str, tokenizer: str, *, end_id: int | None = N
     def shard(batches):
         import numpy as np
 
-        enc = pieces.encoder(tokenizer)
+        enc = pieces.encoder(tokenizer, 800_000 * table_bytes // TABLE_BYTES, table_bytes)
         end = b"" if end_id is None else np.array([end_id], enc.dtype).tobytes()
         ids, known, lengths = [], [], []
 
