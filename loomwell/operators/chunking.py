@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 # What str.split() and \s of the SQL engines have in common.
 RULES = ["first_not_at_zero", "index_not_consecutive", "start_not_increasing", "gap", "atom_not_covered", "overlap_too_long", "length_differs"]
-BATCH_BYTES = 8 << 20  # of text whose chunks are made at once
+BATCH_BYTES = 1 << 20  # of text whose chunks are made at once
+# Spark's own bounds of what goes to a Python worker at once, and smaller ones: a worker holds a batch as it comes, whatever is made of it.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4m")}
 _WORDS = re.compile(r"[^ \t\n\r\f\v]+")
 
 
@@ -38,6 +40,15 @@ def fold(lengths: list[int], size: int, overlap: int) -> list[tuple[int, int]]:
     return out
 
 
+def _small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after settings of the session that are still Spark's own are replaced by smaller ones; any other stays."""
+    conf = df.sparkSession.conf
+    for name, (usual, own) in BATCHES.items():
+        if conf.get(name, usual) == usual:
+            conf.set(name, own)
+    return df
+
+
 def _slices(batch):
     """A batch in parts that don't hold much text, one row at least."""
     import pyarrow.compute as pc
@@ -59,7 +70,8 @@ def chunk(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int
     ``atoms`` is ``lines`` (joined by line feeds) or ``words`` (by one space, so
     places count in the text with white space collapsed). Texts are folded one by
     one in Arrow batches; a null text counts as empty and gives no chunk of
-    words and one empty chunk of lines.
+    words and one empty chunk of lines. What a worker holds is bounded by a batch of 4 MB
+    and the chunks of 1 MB of text, or of one longer text, however large the table is.
     """
     joiner = "\n" if atoms == "lines" else " "
 
@@ -83,7 +95,7 @@ def chunk(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], [key, "chunk_index", "first_atom", "end_atom", "start", "end", "chunk", "oversize"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, F.coalesce(F.col(text), F.lit("")).alias(text)).mapInArrow(run, f"{key} {kind}, chunk_index int, first_atom int, end_atom int, start long, end long, chunk string, oversize boolean")
+    return _small_batches(docs.select(key, F.coalesce(F.col(text), F.lit("")).alias(text))).mapInArrow(run, f"{key} {kind}, chunk_index int, first_atom int, end_atom int, start long, end long, chunk string, oversize boolean")
 
 
 def violations(chunks: DataFrame, *, key: str = "doc_id", overlap: int = 10) -> DataFrame:
